@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .compression import quality_rules
 from .packing import pack
 
 VOCABULARY_JSON = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     return pack(docs, VOCABULARY_JSON, public_tokenizers.PATTERN)
 
@@ -21,6 +26,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op8_packing": op8_packing,
 }
 
