@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .compression import quality_rules
 from .packing import pack
+from .toxicity import toxicity_scores
 
 VOCABULARY_JSON = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +18,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     return pack(docs, VOCABULARY_JSON, public_tokenizers.PATTERN)
 
@@ -27,6 +32,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op8_packing": op8_packing,
 }
 
