@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int, n_toxic_to
 PREFIXES = (4, 5, 6, 7)
 #: Words that a worker remembers with their emission; it starts anew beyond that. No result depends on it.
 REMEMBERED = 300_000
+#: Characters of texts that are scored side by side.
+CHARS_AT_ONCE = 2_000_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -185,39 +188,44 @@ def score(docs: DataFrame, model: Field, threshold: float = 0.3, held_out_fold:
     def run(batches):
         known = worker_cache(f"emissions {hash((model.bias, len(model.weights)))}")
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            flat, lens = [], np.zeros(len(texts), np.int64)
-            for i, t in enumerate(texts):
-                words = t.split()
-                lens[i] = len(words)
-                flat += words
-            if new := set(flat).difference(known):
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = set(flat)
-                known.update((w, model.emission(w)) for w in new)
-            p, _ = marginals(np.fromiter(map(known.__getitem__, flat), float, len(flat)), lens, model.log_trans)
-            del flat
-            if model.calibration is None:
-                scores = np.zeros(len(texts))
-            else:
-                scores = 1 / (1 + np.exp(-np.clip(document_inputs(p, lens) @ model.calibration, -30, 30)))
-            at, spans, counts = offsets_of(lens), [], []
-            hits = np.flatnonzero(p >= 0.5)
-            for i, (a, b) in enumerate(zip(np.searchsorted(hits, at[:-1]), np.searchsorted(hits, at[1:]), strict=True)):
-                own = hits[a:b] - at[i]
-                counts.append(len(own))
-                found = []
-                if len(own):
-                    places = [m.span() for m in re.finditer(r"\S+", texts[i])]
-                    for run_ in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
-                        found.append({"start": places[run_[0]][0], "stop": places[run_[-1]][1], "marginal": float(p[at[i] + run_].max())})
-                spans.append(found)
-            span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("marginal", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(counts, pa.int64()), pa.array(spans, span)],
-                ["doc_id", "held_out", "score", "predicted", "n_toxic_tokens", "spans"],
-            )
+            size = pc.cumulative_sum(pc.fill_null(pc.utf8_length(batch.column("text")), 0)).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(size // CHARS_AT_ONCE)) + 1), len(size)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                yield scored(batch.slice(a, z - a), known)
+
+    def scored(batch, known):
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        flat, lens = [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            words = t.split()
+            lens[i] = len(words)
+            flat += words
+        if new := set(flat).difference(known):
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = set(flat)
+            known.update((w, model.emission(w)) for w in new)
+        p, _ = marginals(np.fromiter(map(known.__getitem__, flat), float, len(flat)), lens, model.log_trans)
+        if model.calibration is None:
+            scores = np.zeros(len(texts))
+        else:
+            scores = 1 / (1 + np.exp(-np.clip(document_inputs(p, lens) @ model.calibration, -30, 30)))
+        at, spans, counts = offsets_of(lens), [], []
+        hits = np.flatnonzero(p >= 0.5)
+        for i, (a, b) in enumerate(zip(np.searchsorted(hits, at[:-1]), np.searchsorted(hits, at[1:]), strict=True)):
+            own = hits[a:b] - at[i]
+            counts.append(len(own))
+            found = []
+            if len(own):
+                places = [m.span() for m in re.finditer(r"\S+", texts[i])]
+                for stretch in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+                    found.append({"start": places[stretch[0]][0], "stop": places[stretch[-1]][1], "marginal": float(p[at[i] + stretch].max())})
+            spans.append(found)
+        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("marginal", pa.float64())]))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(counts, pa.int64()), pa.array(spans, span)],
+            ["doc_id", "held_out", "score", "predicted", "n_toxic_tokens", "spans"],
+        )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCORED)
