@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import table
 from .compression import quality_rules
+from .fingerprints import as_text, fingerprints
 from .jaccard_join import jaccard_components
+from .line_dedup import drop_repeated_runs
 from .packing import pack
+from .preference import preference_pairs
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity_scores
 
@@ -18,6 +21,82 @@ VOCABULARY_JSON = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as place
+    from documents),
+filled as (
+    select doc_id, place, line, row_number() over (partition by doc_id order by place) as k
+    from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+runs as (
+    select doc_id, k, [line, lead(line, 1) over w, lead(line, 2) over w] as run, lead(k, 2) over w as last
+    from filled window w as (partition by doc_id order by k)),
+later as (
+    select doc_id, k from (
+        select doc_id, k, row_number() over (partition by run order by doc_id, k) as nth from runs where last is not null)
+    where nth > 1),
+gone as (select distinct doc_id, k + i as k from later, (values (0), (1), (2)) as shifts(i))
+select l.doc_id, coalesce(string_agg(l.line, chr(10) order by l.place) filter (where g.k is null), '') as text,
+       count(*) as n_lines, count(g.k) as n_removed
+from lines l
+left join filled f on f.doc_id = l.doc_id and f.place = l.place
+left join gone g on g.doc_id = f.doc_id and g.k = f.k
+group by l.doc_id
+"""
+
+
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n and 2n + 1 are the chosen and the rejected one of pair n."""
+    turns = table(spark, sf_dir, "conversations").select(F.expr("conv_id div 2").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text")
+    pairs = preference_pairs(turns.filter("side = 0"), turns.filter("side = 1"))
+    return pairs.select(
+        "pair_id", "n_common", "prompt", "chosen_completion", "rejected_completion",
+        *(F.array_join(F.transform(f"{side}_spans", lambda s: F.concat_ws("-", s["start"], s["stop"])), ",").alias(f"{side}_spans") for side in ("chosen", "rejected")),
+    )
+
+
+OP5_SQL = """
+with turns as (
+    select conv_id // 2 as pair_id, conv_id % 2 as side, coalesce(role, '') as role, coalesce(text, '') as text,
+           row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) as place
+    from conversations where conv_id is not null and turn is not null),
+pairs as (select pair_id from turns group by pair_id having count(distinct side) = 2),
+common as (
+    select pair_id, min(case when n < 2 or differ then place end) - 1 as found, max(place) as longest
+    from (select pair_id, place, count(*) as n, min(role) <> max(role) or min(text) <> max(text) as differ from turns group by pair_id, place)
+    group by pair_id),
+known as (select pair_id, coalesce(found, longest) as n_common from common join pairs using (pair_id)),
+parts as (
+    select t.*, k.n_common, '<|' || role || '|>' || chr(10) as head,
+           '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) as whole
+    from turns t join known k using (pair_id)),
+placed as (
+    select *, coalesce(sum(case when place > n_common then length(whole) end) over (partition by pair_id, side order by place rows between unbounded preceding and 1 preceding), 0) as before
+    from parts),
+spans as (select *, cast(before + length(head) as bigint) as a, cast(before + length(head) + length(text) as bigint) as z from placed)
+select pair_id, n_common,
+       coalesce(string_agg(whole, '' order by place) filter (where side = 0 and place <= n_common), '') as prompt,
+       coalesce(string_agg(whole, '' order by place) filter (where side = 0 and place > n_common), '') as chosen_completion,
+       coalesce(string_agg(whole, '' order by place) filter (where side = 1 and place > n_common), '') as rejected_completion,
+       coalesce(string_agg(a || '-' || z, ',' order by place) filter (where side = 0 and place > n_common and role = 'assistant'), '') as chosen_spans,
+       coalesce(string_agg(a || '-' || z, ',' order by place) filter (where side = 1 and place > n_common and role = 'assistant'), '') as rejected_spans
+from spans group by pair_id, n_common
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -52,12 +131,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_preference": op5_preference,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_preference": OP5_SQL}
