@@ -16,6 +16,7 @@ from .packing import pack
 from .preference import preference_pairs
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity_scores
+from .warc import archive_round_trip
 
 VOCABULARY_JSON = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -113,6 +114,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), revisit_bytes=0).drop("url", "body")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     return pack(docs, VOCABULARY_JSON, public_tokenizers.PATTERN)
 
@@ -136,6 +141,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_preference": op5_preference,
+    "op6_warc": op6_warc,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
