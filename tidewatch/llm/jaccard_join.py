@@ -14,8 +14,9 @@ columns that hold several components are then multiplied in full. So every link
 different sets either is computed or lies within a component, and exact copies and
 star-shaped groups of near copies stay linear.
 
-Null and empty texts have no shingles and are alone. Repeated rows return a row each;
-ids that are null get a null component. Other columns are ignored.
+Null and empty texts have no shingles and are alone. Repeated rows return a row each.
+Rows whose id is null take no part in links: they get the component of documents with an
+equal set, if there are any with an id, else null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -174,3 +175,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     found = sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     found = found.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, unchanged, that carry the smallest id of their component, and those that have none."""
+    stay = jaccard_components(docs, width, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")

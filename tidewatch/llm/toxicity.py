@@ -25,10 +25,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import offsets_of, worker_cache
 
-SCORED = "doc_id long, held_out boolean, score double, predicted int, n_toxic_tokens long, spans array<struct<start:long,stop:long,marginal:double>>"
+SCORED = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("held_out", T.BooleanType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("predicted", T.IntegerType()),
+        T.StructField("n_toxic_tokens", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("marginal", T.DoubleType())]))),
+    ]
+)
 PREFIXES = (4, 5, 6, 7)
 #: Words that a worker remembers with their emission; it starts anew beyond that. No result depends on it.
 REMEMBERED = 300_000
@@ -182,8 +192,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, held_out
     return [r.text for r in rows], [r.toxic for r in rows]
 
 
-def score(docs: DataFrame, model: Field, threshold: float = 0.3, held_out_fold: int = 2) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted, n_toxic_tokens, spans (code points)."""
+def score(docs: DataFrame, model: Field, threshold: float = 0.3, held_out_fold: int = 2, carry: bool = False) -> DataFrame:
+    """One row a document: doc_id, held_out, score, predicted, n_toxic_tokens, spans (code points); and the document's row if it is to be carried."""
 
     def run(batches):
         known = worker_cache(f"emissions {hash((model.bias, len(model.weights)))}")
@@ -222,15 +232,19 @@ def score(docs: DataFrame, model: Field, threshold: float = 0.3, held_out_fold:
                     found.append({"start": places[stretch[0]][0], "stop": places[stretch[-1]][1], "marginal": float(p[at[i] + stretch].max())})
             spans.append(found)
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("marginal", pa.float64())]))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(counts, pa.int64()), pa.array(spans, span)],
-            ["doc_id", "held_out", "score", "predicted", "n_toxic_tokens", "spans"],
-        )
+        columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(counts, pa.int64()), pa.array(spans, span)]
+        return pa.RecordBatch.from_arrays([*columns, *([batch.column("row")] if carry else [])], [*SCORED.fieldNames(), *(["row"] if carry else [])])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCORED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    return rows.mapInArrow(run, T.StructType([*SCORED.fields, *([rows.schema["row"]] if carry else [])]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.3, held_out_fold: int = 2) -> DataFrame:
     """Fits the field to a bounded labelled sample and scores every whole text."""
     return score(docs, train(*training_sample(docs, labels, per_class, held_out_fold)), threshold, held_out_fold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.3, held_out_fold: int = 2) -> DataFrame:
+    """The rows of docs, unchanged, whose text is not predicted to be toxic."""
+    model = train(*training_sample(docs, labels, per_class, held_out_fold))
+    return score(docs, model, threshold, held_out_fold, carry=True).filter("predicted = 0").select("row.*")
