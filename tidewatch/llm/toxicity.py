@@ -122,7 +122,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
-def train(texts: list[str], toxic: list[int], min_documents: int = 4, precision: float = 0.8, min_evidence: float = 12.0, max_tokens: int = 400_000, rounds: int = 60, rate: float = 0.5) -> Field:
+def train(texts: list[str], toxic: list[int], min_documents: int = 4, precision: float = 0.8, min_evidence: float = 9.0, max_tokens: int = 400_000, rounds: int = 60, rate: float = 0.5, toxic_odds: float | None = None) -> Field:
     """Fits the field to whole texts with document labels; sequences over max_tokens in all are left to the calibration."""
     y = np.array(toxic)
     if len(y) == 0 or y.min() == y.max():
@@ -178,18 +178,27 @@ def train(texts: list[str], toxic: list[int], min_documents: int = 4, precision:
     memo: dict[str, float] = {}
     p, _ = marginals(np.array([memo.setdefault(x, 0.0) if x in memo else memo.setdefault(x, model.emission(x)) for ws in words for x in ws]), lens, trans)
     model.calibration = fit_logistic(document_inputs(p, lens), y)
+    if toxic_odds:
+        # the sample's odds of the classes give way to those of all labels
+        model.calibration[0] += np.log(toxic_odds * (len(y) - y.sum()) / y.sum())
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, held_out_fold: int) -> tuple[list[str], list[int]]:
-    """At most per_class texts of each class from the training folds, the first by hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, held_out_fold: int) -> tuple[list[str], list[int], float | None]:
+    """At most per_class texts of each class from the training folds, the first by hash of the id; and the odds of the toxic class among all labels there."""
     labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labels = labels.filter(fold(F.col("doc_id")) != held_out_fold)
     ordered = [labels.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (1, 0)]
     sample = ordered[0].unionByName(ordered[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.xxhash64("doc_id"), "text").collect()
-    return [r.text for r in rows], [r.toxic for r in rows]
+    n = labels.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("all")).first()
+    return [r.text for r in rows], [r.toxic for r in rows], n.toxic / (n["all"] - n.toxic) if n.toxic and n.toxic < n["all"] else None
+
+
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int, held_out_fold: int) -> Field:
+    texts, toxic, odds = training_sample(docs, labels, per_class, held_out_fold)
+    return train(texts, toxic, toxic_odds=odds)
 
 
 def score(docs: DataFrame, model: Field, threshold: float = 0.3, held_out_fold: int = 2, carry: bool = False) -> DataFrame:
@@ -241,10 +250,9 @@ def score(docs: DataFrame, model: Field, threshold: float = 0.3, held_out_fold:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.3, held_out_fold: int = 2) -> DataFrame:
     """Fits the field to a bounded labelled sample and scores every whole text."""
-    return score(docs, train(*training_sample(docs, labels, per_class, held_out_fold)), threshold, held_out_fold)
+    return score(docs, fitted(docs, labels, per_class, held_out_fold), threshold, held_out_fold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.3, held_out_fold: int = 2) -> DataFrame:
     """The rows of docs, unchanged, whose text is not predicted to be toxic."""
-    model = train(*training_sample(docs, labels, per_class, held_out_fold))
-    return score(docs, model, threshold, held_out_fold, carry=True).filter("predicted = 0").select("row.*")
+    return score(docs, fitted(docs, labels, per_class, held_out_fold), threshold, held_out_fold, carry=True).filter("predicted = 0").select("row.*")
