@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import offsets_of, worker_cache
+from .common import mix64, offsets_of, worker_cache
+from .shingles import shingle_sets
 
 SCORED = T.StructType(
     [
@@ -122,8 +123,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
+def one_of_copies(texts: list[str], n_hashes: int = 4) -> list[int]:
+    """Texts that share no smallest shingle hash, under a few hash functions, with an earlier one: copies of one text are no evidence of their own."""
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    for i, own in enumerate(shingle_sets(texts)):
+        keys = {(k, int(mix64(own ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min())) for k in range(n_hashes) if len(own)}
+        if not keys & seen:
+            keep.append(i)
+        seen |= keys
+    return keep
+
+
 def train(texts: list[str], toxic: list[int], min_documents: int = 4, precision: float = 0.8, min_evidence: float = 9.0, max_tokens: int = 400_000, rounds: int = 60, rate: float = 0.5, toxic_odds: float | None = None) -> Field:
     """Fits the field to whole texts with document labels; sequences over max_tokens in all are left to the calibration."""
+    keep = one_of_copies(texts)
+    texts, toxic = [texts[i] for i in keep], [toxic[i] for i in keep]
     y = np.array(toxic)
     if len(y) == 0 or y.min() == y.max():
         return Field(calibration=None)
