@@ -105,10 +105,27 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     n_rows, n_parts = -(-n_docs // DOCS_PER_BLOCK), n_partitions(docs.sparkSession)
     n_cols = max(n_parts, -(-n_docs * WORDS_A_DOC // WORDS_PER_BLOCK))
     text = F.col("text").cast("string")
-    blocks = docs.select(block_of(F.col("doc_id"), text, n_rows).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartition(n_parts, "block")
+    rows = docs.select(block_of(F.col("doc_id"), text, n_rows).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+
+    def shrink(batches):
+        import zstandard
+
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [compressor.compress((t.as_py() or "").encode()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("doc_id"), pa.array(packed, pa.binary())], ["block", "doc_id", "packed"])
+
+    def texts(table) -> list[str]:
+        import zstandard
+
+        expander = zstandard.ZstdDecompressor()
+        return [expander.decompress(p.as_py()).decode() for p in table.column("packed")]
+
+    # texts cross the network once, compressed
+    blocks = rows.mapInArrow(shrink, "block int, doc_id long, packed binary").repartition(n_parts, "block")
 
     def deal(table):
-        found = Positions(table.column("text").to_pylist(), pattern)
+        found = Positions(texts(table), pattern)
         order, cuts = found.dealt(n_cols)
         block, rows = table.column("block")[0].as_py(), []
         for c in np.flatnonzero(np.diff(cuts)):
@@ -134,7 +151,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def join_back(table, answers):
         import zstandard
 
-        found = Positions(table.column("text").to_pylist(), pattern)
+        found = Positions(texts(table), pattern)
         order, cuts = found.dealt(n_cols)
         sizes, at = np.zeros(len(found.words), np.int64), np.zeros(len(found.words), np.int64)
         flat, used = [], 0
