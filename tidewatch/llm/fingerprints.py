@@ -78,7 +78,7 @@ def in_order(keys: DataFrame) -> DataFrame:
     ends = ends.select("part", F.coalesce(F.lag("last").over(across), F.last("last").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("previous"))
     found = ranged.withColumn("before", F.lag(row).over(own)).join(F.broadcast(ends), "part")
     before = F.coalesce("before", "previous")
-    return found.select("key", before["key"].alias("before"), before["n_chars"].alias("before_chars"))
+    return found.select("key", before["key"].alias("before"), before["doc_id"].alias("before_id"), before["n_chars"].alias("before_chars"))
 
 
 def fingerprints(docs: DataFrame, k: int = 256, width: int = 5, edited_part: int = 4) -> DataFrame:
@@ -87,13 +87,15 @@ def fingerprints(docs: DataFrame, k: int = 256, width: int = 5, edited_part: int
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     order = in_order(rows.select("doc_id", "key", F.char_length("text").cast("long").alias("n_chars")))
 
-    heads = rows.join(order, "key").dropDuplicates(["key"])
+    # both joins take the same columns, so that texts are shuffled once; ids come from the order
+    texts = rows.select("key", "text")
+    heads = texts.join(order, "key").dropDuplicates(["key"])
     heads = with_sketch(heads.withColumn("head", F.substring(F.col("text"), F.lit(1), F.floor(F.col("before_chars") / edited_part).cast("int"))), F.col("text"), "next_sketch", k, width)
-    heads = heads.select(F.col("before").alias("key"), "head", "next_sketch")
+    heads = heads.select(F.col("before").alias("key"), F.col("before_id").alias("doc_id"), "head", "next_sketch")
 
     n = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / edited_part).cast("int")), F.col("head"))
-    found = with_sketch(with_sketch(rows.join(heads, "key").withColumn("edited_text", edited), F.col("text"), "sketch", k, width), F.col("edited_text"), "edited_sketch", k, width)
+    found = with_sketch(with_sketch(texts.join(heads, "key").withColumn("edited_text", edited), F.col("text"), "sketch", k, width), F.col("edited_text"), "edited_sketch", k, width)
     return found.select(
         "doc_id", n.cast("long").alias("n_chars"), "edited_text", "sketch", "edited_sketch",
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
