@@ -5,8 +5,8 @@ cut off as sequences of their own; what remains of the documents is packed, with
 row blocks of some thousand documents, in descending order into the sequence of the
 lowest estimated cost (linear plus quadratic in the length of each piece, as attention
 is masked between pieces) that has room for it. A piece that fits nowhere is cut at
-the room of the lowest-cost sequence that is not full. Every block fills all its
-sequences but the last, so padding is under one sequence a block.
+the room of the lowest-cost sequence that is not full. Every block has the fewest
+sequences that hold its tokens, so padding is under one sequence a block.
 
 Null and empty texts are the end id alone. Rows with equal ids are packed each on its
 own; null ids are kept. The result does not depend on partitioning: blocks are chosen
