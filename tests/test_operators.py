@@ -134,3 +134,24 @@ def test_activity_index(spark):
     rows = [(50.0, True, False, [("a", 1.0)]), (None, False, False, [("b", 9.0)]), (90.0, False, True, [])]
     df = spark.createDataFrame(rows, "popularity double, is_spike boolean, is_closed boolean, sparkline array<struct<at:string,value:double>>")
     assert sc.activity_index(df).first().activity == 43  # 50 * 0.6 + 40 / 3
+
+
+def test_hotspot_groups_equal_a_search(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.uniform(10, 14), rng.uniform(10, 14)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    pairs = [(r.id, r.neighbour_id) for r in sp.neighbour_pairs(df).collect()]
+    group = {a: a for a, _ in pairs}
+    for _ in range(len(group)):
+        for a, b in pairs:
+            group[a] = min(group[a], group[b])
+    assert {r.id: r.group_id for r in sp.hotspot_groups(df).collect()} == group
+
+
+def test_sparkline_means_and_bands(spark):
+    df = spark.createDataFrame([("p", [(h, float(h)) for h in range(24)])], "place_id string, sparkline array<struct<hour:int,value:double>>")
+    means = {r.hour: r["mean"] for r in sc.sparkline_means(df).collect()}
+    assert means[0] == 3 and means[12] == 12 and means[23] == 20
+    assert value(spark, sc.anomaly_message(F.lit("drone"), F.lit(9), F.lit(2.0), F.lit(3.5))) == "drone: 9 reports in an hour, usually 2.0 (high, z 3.5)"
+    assert value(spark, nw.port_importance(F.lit("oil"), F.lit(5))) == 1.0
+    assert value(spark, sc.recent_flag(F.lit("2024-01-30 22:00:00").cast("timestamp_ntz"), "2024-01-31 00:00:00"))

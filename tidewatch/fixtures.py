@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-01-31 00:00:00"
-TABLES = {"fx_event": ("events", "nation"), "fx_source": ("events",), "fx_event_source": ("events",), "fx_headline": ("documents",), "fx_fix": ("events",), "fx_grid": ("orders",), "fx_landing": ("orders", "customer", "nation")}
+TABLES = {"fx_event": ("events", "nation"), "fx_source": ("events",), "fx_event_source": ("events",), "fx_headline": ("documents",), "fx_fix": ("events",), "fx_grid": ("orders",), "fx_landing": ("orders", "customer", "nation"), "fx_page": ("pages",)}
 
 VIEWS = {
     "fx_event": """select event_id as id,
@@ -46,6 +46,7 @@ from {events} join {nation} on user_id % 25 = n_nationkey""",
  cast(1 + count(*) % 9 as double) / 10 as capacity_share, count(*) % 2 = 0 as redundant
  from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey where c_custkey % 7 < 2
  group by 1, 2""",
+    "fx_page": """select page_id, url, html, concat('<meta property="og:image" content="http://img.example/', page_id, '.png">') as head from {pages}""",
     "fx_box": """select cast(seq as int) as seq, country, cast(min_lat as double) as min_lat, cast(max_lat as double) as max_lat,
  cast(min_lon as double) as min_lon, cast(max_lon as double) as max_lon from (values
   (1,'BOX_A',31.2,31.6,34.2,34.6),

@@ -145,3 +145,8 @@ def focal_points(mentions: DataFrame, signals: DataFrame, min_score: float = 5.0
     factor = F.when(news == 0, 1.0).when(urgency == "critical", 1.3).when(urgency == "elevated", 1.15).otherwise(1.0)
     score = F.round(F.least(F.lit(100.0), raw * factor), 1)
     return full.select("entity", "articles", score.alias("score"), urgency.alias("urgency")).filter((F.col("score") >= min_score) & ((F.col("articles") > 0) | (F.col("score") > 20)))
+
+
+def cluster_stats(clusters: DataFrame, min_articles: int = 2) -> DataFrame:
+    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("clusters"), F.count_if(F.col("n") >= min_articles).alias("multiple"), F.sum("n").alias("articles"))

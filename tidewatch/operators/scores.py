@@ -176,3 +176,20 @@ def activity_index(places: DataFrame) -> DataFrame:
     open_ = ~F.col("is_closed") & F.col("popularity").isNotNull()
     score = F.coalesce(F.avg(F.when(open_, F.col("popularity"))), F.avg(mean), F.lit(0.0)) * 0.6 + F.avg(F.col("is_spike").cast("double")) * 40
     return places.agg(F.least(F.lit(100), half_up(score)).alias("activity"))
+
+
+def sparkline_means(places: DataFrame, k: int = 7) -> DataFrame:
+    """For each point of a place's sparkline (place_id, sparkline of (hour, value)) the rounded mean of the k nearest in time; a line has 24 points."""
+    points = places.select("place_id", F.explode("sparkline").alias("p")).select("place_id", "p.hour", "p.value")
+    other = points.select("place_id", F.col("hour").alias("o_hour"), F.col("value").alias("o_value"))
+    near = points.join(other, "place_id").withColumn("rank", F.row_number().over(Window.partitionBy("place_id", "hour").orderBy(F.abs(F.col("hour") - F.col("o_hour")), "o_hour")))
+    return near.filter(F.col("rank") <= k).groupBy("place_id", "hour").agg(half_up(F.avg("o_value")).alias("mean"))
+
+
+def anomaly_message(kind: Column, n: Column, mean: Column, z: Column) -> Column:
+    level = banded(F.abs(z), [(4, "extreme"), (3, "high")], "notable")
+    return F.format_string("%s: %d reports in an hour, usually %.1f (%s, z %.1f)", kind, n.cast("long"), mean, level, z)
+
+
+def recent_flag(ts: Column, as_of: str, hours: int = 3) -> Column:
+    return F.lit(as_of).cast("timestamp_ntz") - ts < F.expr(f"interval {hours} hours")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
+from ..storage import written
 
 KM_A_DEGREE = 111.0
 
@@ -108,3 +109,39 @@ def population_exposure(events: DataFrame, grid: DataFrame, radii: dict[str, flo
     right = events.select("id", "event_type", F.col("latitude").alias("r_lat"), F.col("longitude").alias("r_lon"), radius.alias("radius_km"))
     pairs = radius_join(grid, right, max([default_km, *radii.values()])).filter(F.col("km") <= F.col("radius_km"))
     return pairs.groupBy("id", "event_type", "radius_km").agg(F.sum("population").alias("exposed")).filter("exposed > 0")
+
+
+def cells_near(points: DataFrame, cells: DataFrame, radius_km: float = 100.0, min_types: int = 2) -> DataFrame:
+    """The best score, with its number of kinds, and the number of convergence cells around each point; cells are (c_lat, c_lon, types, score)."""
+    near = radius_join(points, cells.filter(F.col("types") >= min_types), radius_km, None, ("lat", "lon", "c_lat", "c_lon"))
+    best = F.max(F.struct("score", "types"))
+    return near.groupBy("id").agg(best["score"].alias("score"), best["types"].alias("types"), F.count("*").alias("cells"))
+
+
+def alerts_near(hotspots: DataFrame, alerts: DataFrame, radius_km: float = 150.0) -> DataFrame:
+    """The best score and the number of alert cells within a planar radius (degrees times 111) of each hotspot. Broadcasts the hotspots, a fixed list."""
+    h = F.broadcast(hotspots.select(F.col("id").alias("hotspot_id"), F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon")))
+    far = F.sqrt(F.pow(F.col("c_lat") - F.col("h_lat"), 2) + F.pow(F.col("c_lon") - F.col("h_lon"), 2)) * KM_A_DEGREE
+    return alerts.join(h, far <= radius_km).groupBy("hotspot_id").agg(F.max("score").alias("score"), F.count("*").alias("alerts"))
+
+
+def access_edges(chokepoints: DataFrame, ports: DataFrame, radius_km: float = 500.0) -> DataFrame:
+    """controls_access edges from each chokepoint (id, lat, lon) to the ports (port_id, p_lat, p_lon) within the radius."""
+    near = radius_join(ports, chokepoints.select(F.col("id").alias("src"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), radius_km, None, ("p_lat", "p_lon", "r_lat", "r_lon"))
+    return near.select("src", F.col("port_id").alias("dst"), F.lit("controls_access").alias("kind"), F.lit(0.7).alias("strength"), F.lit(0.2).alias("redundancy"))
+
+
+def hotspot_groups(events: DataFrame, radius_km: float = 25.0) -> DataFrame:
+    """(id, group_id): events that are joined by chains of neighbours, named by the smallest id of the chain. Labels take the
+    smallest of their neighbours' and then their label's label, until none changes; rounds are written tables."""
+    pairs = written(neighbour_pairs(events, radius_km).select("id", "neighbour_id"), "pairs")
+    labels = pairs.groupBy("id").agg(F.least(F.min("neighbour_id"), F.col("id")).alias("group_id"))
+    while True:
+        labels = written(labels, "labels")
+        near = pairs.join(labels.select(F.col("id").alias("neighbour_id"), F.col("group_id").alias("near")), "neighbour_id").groupBy("id").agg(F.min("near").alias("near"))
+        lower = labels.join(near, "id").select("id", "group_id", F.least("group_id", "near").alias("low"))
+        jump = labels.select(F.col("id").alias("low"), F.col("group_id").alias("further"))
+        moved = written(lower.join(jump, "low").select("id", "group_id", F.least("low", "further").alias("low")), "moved")
+        if not moved.filter("low <> group_id").take(1):
+            return labels
+        labels = moved.select("id", F.col("low").alias("group_id"))

@@ -96,3 +96,43 @@ def importance(text: Column, tiers: list[tuple[str, int, int, list[str]]], demot
         n = weight_of(low, [(w, 1) for w in words])
         total = total + F.when(n > 0, base + n * bonus).otherwise(0)
     return F.greatest(F.lit(0), total - F.when(contains_any(text, demotions), 30).otherwise(0)).cast("long")
+
+
+SUFFIXES = ["", "s", "es", "ed", "d", "ing", "er", "ers", "or", "ion", "ions", "ment", "ments", "ly"]
+
+
+def _with_suffixes(base: Column) -> Column:
+    return F.array(*(F.concat(base, F.lit(s)) for s in SUFFIXES))
+
+
+def keyword_matches(df: DataFrame, key: str, text: str, keywords: DataFrame, min_length: int = 4) -> DataFrame:
+    """(key, keyword): keywords that a text holds, single words with inflections, phrases word by word in order.
+
+    Inflections of keywords of min_length or more are listed once in the dictionary (a final e may fall), so texts
+    are only cut into words and phrases and joined with it. Broadcasts the dictionary."""
+    words = F.filter(F.split(F.lower(F.col(text)), r"[^A-Za-z0-9_]+"), lambda w: w != "")
+    low = F.lower("keyword")
+    stem = F.when(low.endswith("e"), F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
+    forms = F.array_union(_with_suffixes(low), _with_suffixes(stem))
+    single = ~F.contains(low, F.lit(" "))
+    table = keywords.select("keyword", F.explode(F.when(single & (F.length(low) >= min_length), forms).otherwise(F.array(low))).alias("form")).filter((F.col("form") != "") & (single | (F.col("form") == low)))
+    longest = 3
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w")))
+    grams = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    found = df.select(key, words.alias("w")).filter(F.size("w") > 0).select(key, F.explode(F.array_distinct(grams)).alias("form"))
+    return found.join(F.broadcast(table), "form").select(key, "keyword").distinct()
+
+
+def affiliation(df: DataFrame, flags: DataFrame, sides: DataFrame, id_col: str = "object_id") -> DataFrame:
+    """Adds the flag of the id's first three digits and the flag's affiliation, neutral where none is listed; broadcasts both dictionaries."""
+    df = df.withColumn("_mid", F.substring(F.col(id_col).cast("string"), 1, 3)).join(F.broadcast(flags.withColumnRenamed("prefix", "_mid")), "_mid", "left").drop("_mid")
+    return df.join(F.broadcast(sides), "flag", "left").withColumn("side", F.coalesce("side", F.lit("neutral")))
+
+
+def ship_type(code: Column) -> Column:
+    """The name of a ship type by its number's decade, with single numbers in the thirties."""
+    tens = F.floor(code / 10)
+    out = F.when(code == 30, "fishing").when(code == 35, "military").when(code == 36, "sailing").when(code == 37, "pleasure")
+    for decade, name in ((2, "wing in ground"), (4, "high speed"), (5, "special"), (6, "passenger"), (7, "cargo"), (8, "tanker")):
+        out = out.when(tens == decade, name)
+    return out.otherwise("other")
