@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import mix64, offsets_of
+from .common import mix64, offsets_of, worker_cache
 
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 1_000_000
 _rng = np.random.default_rng(20240131)
 BYTE_CODE = _rng.integers(0, 2**64, 256, np.uint64)
 BASE = np.uint64(int(_rng.integers(0, 2**62)) * 2 + 1)
@@ -17,10 +17,16 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """The first n powers of base; a worker keeps those that ordinary buffers need."""
+    kept = worker_cache("powers")
+    if len(kept.get(int(base), ())) < n:
+        out = np.full(max(n, 2 * BYTES_AT_ONCE), base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        out = np.multiply.accumulate(out)
+        if n > 2 * BYTES_AT_ONCE:
+            return out
+        kept[int(base)] = out
+    return kept[int(base)][:n]
 
 
 def _hashes(data: bytes, doc_starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from .common import DOCS_PER_BLOCK, block_of, mix64, n_partitions, offsets_of, r
 from .jaccard_join import pack_sorted, unpack_sorted
 from .shingles import BASE, BYTE_CODE, INVERSE, powers
 
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 1_000_000
 #: Anchors that a column block holds about, and anchors that a document is taken to have.
 ANCHORS_PER_BLOCK, ANCHORS_A_DOC = 1_000_000, 32
 NOTHING, REPEATED, OPEN, STANDS = 0, 1, 2, 3
@@ -89,18 +89,16 @@ class Buffer:
         self.length, self.gram, n = length, gram, len(self.raw)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_CODE[self.raw] * powers(BASE, n), out=self.sums[1:])
-        self.inverse = powers(INVERSE, n + 1)
-        sizes = np.maximum(np.diff(self.ends) - length + 1, 0)
-        self.windows = ragged_index(self.ends[:-1], sizes)
 
     def prints(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[stop] - self.sums[start]) * self.inverse[start])
+        return mix64((self.sums[stop] - self.sums[start]) * powers(INVERSE, len(self.sums))[start])
 
     def anchors(self):
         """(first window, last window, anchor) of each anchor, in order."""
-        if not len(self.windows):
+        windows = ragged_index(self.ends[:-1], np.maximum(np.diff(self.ends) - self.length + 1, 0))
+        if not len(windows):
             return (np.zeros(0, np.int64),) * 3
-        grams = mix64((self.sums[self.gram :] - self.sums[: -self.gram]) * self.inverse[: len(self.sums) - self.gram])
+        grams = mix64((self.sums[self.gram :] - self.sums[: -self.gram]) * powers(INVERSE, len(self.sums) - self.gram))
         least = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
         span, width = self.length - self.gram + 1, 1
         while 2 * width <= span:
@@ -108,10 +106,10 @@ class Buffer:
             width *= 2
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        anchor = (least[self.windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        anchor = (least[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         last = np.append(first[1:], len(anchor)) - 1
-        return self.windows[first], self.windows[last], anchor[first]
+        return windows[first], windows[last], anchor[first]
 
     def indexed(self):
         """The anchors with the fingerprints of their suffix and stretch."""
@@ -121,7 +119,7 @@ class Buffer:
 
 
 def _buffers(texts: list[bytes], length: int, gram: int):
-    """Buffers of about two million bytes; texts too short for a window are left out but counted."""
+    """Buffers of about a million bytes, or of one text where that is longer."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
