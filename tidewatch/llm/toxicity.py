@@ -42,9 +42,9 @@ SCORED = T.StructType(
 )
 PREFIXES = (4, 5, 6, 7)
 #: Words that a worker remembers with their emission; it starts anew beyond that. No result depends on it.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Characters of texts that are scored side by side.
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 1_000_000
 
 
 def fold(doc_id: Column) -> Column:
