@@ -18,6 +18,10 @@ from tidewatch.llm.suffix_dedup import remove_repeats
 from tidewatch.llm.toxicity import drop_toxic
 
 
+#: Bytes of a passage of about fifty words, from which on it counts as a repeat.
+PASSAGE_BYTES = 300
+
+
 def with_text(found: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
     """The columns of docs with another text and its length; the others come from the rest that the operator carried."""
     changed = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.char_length(text).cast("long")}
@@ -37,9 +41,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of characters that a cut goes through go too, as do replacement characters."""
+    """Passages of about fifty words or more that occur more than once go. Bytes of characters that a cut goes through go too, as do replacement characters."""
     text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    return with_text(remove_repeats(docs), docs, text)
+    return with_text(remove_repeats(docs, PASSAGE_BYTES, PASSAGE_BYTES // 3), docs, text)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_stages(spark):
 
     before, after = rows["suffix-array dedup"]
     keys = sorted(before)
-    kept = dict(zip(keys, brute.without_repeats([before[k].text for k in keys], 400), strict=True))
+    kept = dict(zip(keys, brute.without_repeats([before[k].text for k in keys], corpus_pipeline.PASSAGE_BYTES), strict=True))
     assert {r.doc_id: r.text for r in after} == {k: t.decode(errors="replace").replace("�", "") for k, t in kept.items()}
 
     before, after = rows["packing"]
