@@ -48,3 +48,13 @@ def test_upsert_stream(spark, tmp_path):
     last = {r.external_id: (r.confidence, r.change) for r in spark.read.parquet(f"file://{tmp_path}/t/version=1").collect()}
     assert last == {"x-1": (53, "update"), "x-2": (10, "insert")}
     assert spark.read.parquet(f"file://{tmp_path}/feed/batch=1").count() == 2
+
+
+def test_cluster_stream_equals_batch_over_what_has_come(spark, tmp_path):
+    rows = [[(1, "missile strike reported near coast", 0), (2, "talks resume today again", 5)], [(3, "missile strike reported near town", 10)]]
+    schema = "id long, title string, minute int"
+    stream = arriving(spark, tmp_path, rows, schema).withColumn("published_at", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000))
+    streams.cluster_stream(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/o", f"file://{tmp_path}/cp", []).awaitTermination(180)
+    batch = spark.createDataFrame([r for x in rows for r in x], schema).withColumn("published_at", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000))
+    found = {r.id: r.cluster_id for r in spark.read.parquet(f"file://{tmp_path}/o/batch=1").collect()}
+    assert found == {r.id: r.cluster_id for r in hl.cluster_headlines(batch, []).collect()} == {1: 1, 2: 2, 3: 1}

@@ -102,3 +102,63 @@ def upsert_stream(stream: DataFrame, table: str, feed: str, checkpoint: str) ->
         change_feed(changed.filter("change = 'insert'"), "new_event").unionByName(change_feed(changed.filter("change = 'update'"), "update_event")).write.mode("overwrite").parquet(f"{feed}/batch={n}")
 
     return per_batch(stream, checkpoint, work)
+
+
+def recent_stream(stream: DataFrame, table: str, out: str, checkpoint: str, ts: str, hours: int, detect: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Runs a batch detector for each micro-batch over the rows of the last hours, this batch's included. Rows are kept by batch
+    and date, so that a batch that runs twice overwrites its own, and old dates are not read."""
+
+    def work(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("date", F.to_date(ts)).write.mode("overwrite").partitionBy("date").parquet(f"{table}/batch={n}")
+        rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*").filter(F.col("batch") <= n)
+        last = rows.agg(F.max(ts)).first()[0]
+        if last is None:
+            return
+        since = F.lit(last) - F.expr(f"interval {hours} hours")
+        recent = rows.filter((F.col("date") >= F.to_date(since)) & (F.col(ts) >= since)).drop("date", "batch")
+        detect(recent).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return per_batch(stream, checkpoint, work)
+
+
+def cluster_stream(headlines: DataFrame, table: str, out: str, checkpoint: str, stop_words: list[str], ttl_hours: int = 6) -> StreamingQuery:
+    """Clusters of the last hours after each micro-batch."""
+    from ..operators.headlines import cluster_headlines
+
+    return recent_stream(headlines, table, out, checkpoint, "published_at", ttl_hours, lambda df: cluster_headlines(df, stop_words, ttl_hours=ttl_hours))
+
+
+def baseline_stream(events: DataFrame, table: str, out: str, checkpoint: str, by: list[str], history_hours: int = 24 * 365) -> StreamingQuery:
+    """Anomalies of hourly counts against the history after each micro-batch."""
+    from ..operators.scores import baseline_anomalies, hourly_counts
+
+    return recent_stream(events, table, out, checkpoint, "occurred_at", history_hours, lambda df: baseline_anomalies(hourly_counts(df, "occurred_at", *by), by))
+
+
+def escalation_stream(scores: DataFrame, table: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Signals of hotspot scores (id, at, score) over the last day after each micro-batch."""
+    from ..operators.scores import escalation_signals
+
+    return recent_stream(scores, table, out, checkpoint, "at", 24, lambda df: escalation_signals(df, "id", "at", "score"))
+
+
+def instability_stream(signals: DataFrame, table: str, out: str, checkpoint: str, **weights) -> StreamingQuery:
+    """Weekly scores of countries as of the newest signal after each micro-batch."""
+    from ..operators.scores import country_instability
+
+    def detect(df: DataFrame) -> DataFrame:
+        return country_instability(df, str(df.agg(F.max("ts")).first()[0]), **weights)
+
+    return recent_stream(signals, table, out, checkpoint, "ts", 7 * 24, detect)
+
+
+def vessel_stream(messages: DataFrame, table: str, out: str, checkpoint: str, hours: int = 24) -> StreamingQuery:
+    """Vessel positions with the last static data of their object; messages are (object_id, updated_at, kind, lat, lon, name, ship_type)."""
+    from ..operators.scores import static_as_of
+
+    def detect(df: DataFrame) -> DataFrame:
+        positions = df.filter("kind = 'position'").select("object_id", "updated_at", "lat", "lon")
+        return static_as_of(positions, df.filter("kind = 'static'").select("object_id", "updated_at", "name", "ship_type"), ["name", "ship_type"])
+
+    return recent_stream(messages, table, out, checkpoint, "updated_at", hours, detect)
