@@ -98,17 +98,19 @@ def write_archives(pages: DataFrame, target: str, revisit_bytes: int = 0, roll_b
     rows = pages.filter(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     known = rows.select("page_id", F.sha2("payload", 256).alias("content"), F.octet_length("payload").alias("n"))
     first = known.filter(F.col("n") >= revisit_bytes).groupBy("content").agg(F.max("page_id").alias("response"), F.count("*").alias("size")).filter("size > 1").select("content", "response")
-    # only pages that revisit another are joined by page_id to their payload
     revisits = known.join(first, "content").filter("page_id <> response").select("page_id", "response").distinct()
     bounds = known.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count("*").alias("n")).first()
     n_shards = max(1, -(-bounds.n // pages_per_shard))
     low, width = bounds.low or 0, max(1, -(-((bounds.high or 0) - (bounds.low or 0) + 1) // n_shards))
-    shards = rows.join(revisits, "page_id", "left").withColumn("shard", F.floor((F.col("page_id") - low) / width).cast("long"))
-    shards = shards.repartitionByRange(max(n_partitions(spark), 1), "shard").sortWithinPartitions("shard", "page_id", "url", "payload")
+    # payloads are shuffled once: what a page revisits travels as a row of its own, which sorts before the page
+    none = {"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}
+    both = rows.withColumns({"kind": F.lit(1), "response": F.lit(None).cast("long")}).unionByName(revisits.withColumns({"kind": F.lit(0), **none}))
+    both = both.withColumn("shard", F.floor((F.col("page_id") - low) / width).cast("long"))
+    shards = both.repartitionByRange(max(n_partitions(spark), 1), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
 
     def write(batches):
         fs, root = store(target)
-        out, done, shard, part = None, [], None, 0
+        out, done, shard, part, revisit = None, [], None, 0, (None, None)
 
         def close():
             nonlocal out
@@ -123,14 +125,19 @@ def write_archives(pages: DataFrame, target: str, revisit_bytes: int = 0, roll_b
             out = None
 
         for batch in batches:
-            for at, page_id, url, payload, refers_to in zip(*(batch.column(c) for c in ("shard", "page_id", "url", "payload", "response")), strict=True):
+            for at, page_id, url, payload, response in zip(*(batch.column(c) for c in ("shard", "page_id", "url", "payload", "response")), strict=True):
+                page_id = page_id.as_py()
+                if not payload.is_valid:
+                    revisit = (page_id, response.as_py())
+                    continue
+                refers_to = revisit[1] if revisit[0] == page_id else None
                 if out and (at.as_py() != shard or out[0].tell() >= roll_bytes):
                     close()
                     part = part + 1 if at.as_py() == shard else 0
                 if at.as_py() != shard:
                     shard, part = at.as_py(), 0
                 out = out or (io.BytesIO(), 0)
-                out[0].write(gzip.compress(record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py()), level, mtime=0))
+                out[0].write(gzip.compress(record(page_id, url.as_py(), payload.as_py(), refers_to), level, mtime=0))
                 out = out[0], out[1] + 1
         if out:
             close()
