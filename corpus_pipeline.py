@@ -2,7 +2,7 @@
 
 Stages, in order: documents predicted to be toxic go; later repeats of runs of lines go from
 texts; of each group of near duplicates the document with the smallest id stays; long
-repeated passages go from texts; what is left is packed into token sequences.
+repeated passages go from texts, first by bytes, then by words; what is left is packed into token sequences.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from tidewatch.llm.toxicity import drop_toxic
 
 #: Bytes of a passage of about fifty words, from which on it counts as a repeat.
 PASSAGE_BYTES = 300
+#: Words of a passage from which on it counts as a repeat however short they are: more than fifty.
+PASSAGE_WORDS = 51
 
 
 def with_text(found: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
@@ -46,6 +48,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return with_text(remove_repeats(docs, PASSAGE_BYTES, PASSAGE_BYTES // 3), docs, text)
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of over fifty words that are too short in bytes for the stage before go."""
+    return with_text(remove_repeats(docs, PASSAGE_WORDS, PASSAGE_WORDS // 3, words=True), docs, F.col("kept").cast("string"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
 
@@ -55,6 +62,7 @@ STAGES = [
     ("line dedup", line_dedup),
     ("n-gram Jaccard join", jaccard_join),
     ("suffix-array dedup", suffix_dedup),
+    ("passage dedup", passage_dedup),
     ("packing", packing),
 ]
 

@@ -227,6 +227,18 @@ def test_repeats_in_periodic_and_equal_texts(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length, gram", [(12, 4), (51, 17)])
+def test_repeats_of_words_equal_brute_force(docs, known, length, gram):
+    counts = Counter(tuple(w[i : i + length]) for w in map(brute.words, known.values()) for i in range(len(w) - length + 1))
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length, gram, words=True).collect()}
+    for k, t in known.items():
+        w, raw = brute.words(t), (t or "").encode()
+        gone = {j for i in range(len(w) - length + 1) if counts[tuple(w[i : i + length])] > 1 for j in range(i, i + length)}
+        assert brute.words(bytes(rows[k].kept).decode()) == [x for j, x in enumerate(w) if j not in gone]
+        assert rows[k].n_bytes == len(raw) and (gone or bytes(rows[k].kept) == raw)
+        assert rows[k].n_bytes - sum(s.stop - s.start for s in rows[k].spans) == len(rows[k].kept)
+
+
 def test_family_levels_hold_powers_of_two():
     family, rng = suffix_dedup.Family(), np.random.default_rng(1)
     batches = [rng.integers(0, 500, 200).astype(np.uint64) for _ in range(7)]

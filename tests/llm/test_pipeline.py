@@ -1,5 +1,7 @@
 """The pipeline's stages, each on its own input, against plain forms."""
 
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -7,6 +9,7 @@ import corpus_pipeline
 from tidewatch.llm.common import table, written
 
 from . import brute
+from .data import documents
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,3 +46,22 @@ def test_stages(spark):
     assert sum(r.length for r in after) == total
 
     assert corpus_pipeline.run(spark, SF).count() == len(after)
+
+
+def test_short_passages_of_over_fifty_words_go(spark):
+    rng = random.Random(3)
+
+    def line(k, letters):
+        return " ".join("".join(rng.choices("abcdefgh", k=letters)) for _ in range(k))
+
+    over, under = line(51, 4), line(50, 4)
+    assert len(over) < corpus_pipeline.PASSAGE_BYTES
+    own = [line(40, 7) for _ in range(12)]
+    broken = over.replace(" ", "\n", 20)
+    rows = [own[0] + " " + over + " " + own[1], own[2] + "\n" + broken + "\n" + own[3], own[4] + "\n" + under + "\n" + own[5], own[6] + " " + under, over, None, "", own[7] + " é\n\n" + own[8]]
+    docs = written(documents(spark, rows), "docs")
+    for _, stage in corpus_pipeline.STAGES[3:-1]:
+        docs = written(stage(spark, docs, SF), "stage")
+    found = {r.doc_id // 3: r.text for r in docs.collect()}
+    expected = [own[0] + " " + own[1], own[2] + "\n" + own[3], *rows[2:4], "", "", "", rows[7]]
+    assert found == dict(enumerate(expected))

@@ -17,6 +17,10 @@ second round; of stretches with copies one stands for all, so groups of copies s
 linear. Suffixes are ordered by fingerprint, not by letter: the scan asks for equality
 only, and fingerprints let hot suffixes weigh 16 bytes.
 
+With words=True, length and gram count words (parted by the six ASCII white-space
+characters) instead of bytes: `length` words in a row that start anywhere else too go, with
+the white space behind them; between words, any white space is as good as any other.
+
 Null and empty texts, and texts shorter than `length`, lose nothing. Rows with equal ids
 or texts are rows of their own (equal long texts therefore go in full). Other columns are
 carried along in `rest`.
@@ -32,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import DOCS_PER_BLOCK, block_of, mix64, n_partitions, offsets_of, ragged_index, written
 from .jaccard_join import pack_sorted, unpack_sorted
-from .shingles import BASE, BYTE_CODE, INVERSE, powers
+from .shingles import BASE, BYTE_CODE, INVERSE, SPACE, powers
 
 BYTES_AT_ONCE = 1_000_000
 #: Anchors that a column block holds about, and anchors that a document is taken to have.
@@ -84,11 +88,19 @@ class Buffer:
     """Some texts end to end, with prefix sums for fingerprints of any stretch."""
 
     def __init__(self, texts: list[bytes], length: int, gram: int):
-        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.texts, self.length, self.gram = texts, length, gram
+        self.sums = self.summed(BYTE_CODE[np.frombuffer(b"".join(texts), np.uint8)])
         self.ends = offsets_of(np.array([len(t) for t in texts], np.int64))
-        self.length, self.gram, n = length, gram, len(self.raw)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODE[self.raw] * powers(BASE, n), out=self.sums[1:])
+
+    @staticmethod
+    def summed(codes: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * powers(BASE, len(codes)), out=sums[1:])
+        return sums
+
+    def bytes_of(self, i: int, spans: np.ndarray) -> list:
+        """Spans (start, stop) of text i, in bytes of it."""
+        return spans.tolist()
 
     def prints(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix64((self.sums[stop] - self.sums[start]) * powers(INVERSE, len(self.sums))[start])
@@ -118,13 +130,32 @@ class Buffer:
         return first, last, self.prints(anchor, anchor + self.gram), stretch
 
 
-def _buffers(texts: list[bytes], length: int, gram: int):
+class Words(Buffer):
+    """The same over the words of the texts, each taken by its fingerprint."""
+
+    def __init__(self, texts: list[bytes], length: int, gram: int):
+        self.texts, self.length, self.gram = texts, length, gram
+        self.begins = offsets_of(np.array([len(t) + 1 for t in texts], np.int64))
+        raw = np.frombuffer(b" ".join(texts), np.uint8)
+        edge = np.diff(np.concatenate([[True], SPACE[raw], [True]]).astype(np.int8))
+        self.first, self.last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self.sums = self.summed(BYTE_CODE[raw])
+        self.sums = self.summed(self.prints(self.first, self.last))
+        self.ends = np.searchsorted(self.first, self.begins)
+
+    def bytes_of(self, i: int, spans: np.ndarray) -> list:
+        start, stop = (spans + self.ends[i]).T
+        after = np.append(self.first, 0)[stop]
+        return (np.stack([self.first[start], np.where(stop < self.ends[i + 1], after, self.last[stop - 1])], 1) - self.begins[i]).tolist()
+
+
+def _buffers(texts: list[bytes], length: int, gram: int, kind: type[Buffer] = Buffer):
     """Buffers of about a million bytes, or of one text where that is longer."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
         if size >= BYTES_AT_ONCE or i == len(texts) - 1:
-            yield Buffer(texts[start : i + 1], length, gram)
+            yield kind(texts[start : i + 1], length, gram)
             start, size = i + 1, 0
 
 
@@ -135,9 +166,9 @@ def _dealt(keys: np.ndarray, n: int):
     return order, np.searchsorted(column[order], np.arange(n + 1))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, words: bool = False) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay), spans (removed, in bytes), and the other columns in rest."""
-    n_docs = max(1, docs.count())
+    n_docs, kind = max(1, docs.count()), Words if words else Buffer
     n_rows = -(-n_docs // DOCS_PER_BLOCK)
     n_parts = n_partitions(docs.sparkSession)
     n_cols = max(n_parts, -(-n_docs * ANCHORS_A_DOC // ANCHORS_PER_BLOCK))
@@ -150,7 +181,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128) -> DataF
         return [(t.as_py() or "").encode() for t in table.column("text")]
 
     def deal(table):
-        found = [b.indexed()[2:] for b in _buffers(raw(table), length, gram)]
+        found = [b.indexed()[2:] for b in _buffers(raw(table), length, gram, kind)]
         suffix, stretch = (np.concatenate(x) for x in zip(*found, strict=True))
         order, cuts = _dealt(suffix, n_cols)
         block = table.column("block")[0].as_py()
@@ -170,7 +201,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128) -> DataF
 
     def judged(table, answers):
         """Each buffer with its anchors' windows and what was found of them."""
-        buffers = [(b, *b.indexed()) for b in _buffers(raw(table), length, gram)]
+        buffers = [(b, *b.indexed()) for b in _buffers(raw(table), length, gram, kind)]
         suffix = np.concatenate([x[3] for x in buffers]) if buffers else np.zeros(0, np.uint64)
         order, cuts = _dealt(suffix, n_cols)
         found = np.zeros(len(suffix), np.uint8)
@@ -221,19 +252,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128) -> DataF
             repeated[order[cuts[c] : cuts[c + 1]]] = np.unpackbits(np.frombuffer(data, np.uint8), count=cuts[c + 1] - cuts[c]).astype(bool)
         sizes, kept, spans = [], [], []
         for (b, first, last, found), (start, own) in zip(parts, opened, strict=True):
-            starts = np.zeros(len(b.raw) + 1, np.int32)
+            starts = np.zeros(len(b.sums), np.int32)
             whole = np.isin(found, (REPEATED, STANDS))
             starts[ragged_index(first[whole], (last - first + 1)[whole])] = 1
             starts[start[repeated[np.searchsorted(prints, own)]]] = 1
-            sums = np.cumsum(starts)[: len(b.raw)]
+            sums = np.cumsum(starts)[:-1]
             sums[length:] -= sums[:-length].copy() if len(sums) > length else sums[:0]
             covered = sums > 0
-            for a, z in zip(b.ends[:-1], b.ends[1:], strict=True):
-                own_covered = covered[a:z]
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], own_covered, [False]]).astype(np.int8)))
-                sizes.append(z - a)
-                kept.append(b.raw[a:z][~own_covered].tobytes() if len(edge) else b.raw[a:z].tobytes())
-                spans.append([{"start": s, "stop": e} for s, e in edge.reshape(-1, 2).tolist()])
+            for i, (text, a, z) in enumerate(zip(b.texts, b.ends[:-1], b.ends[1:], strict=True)):
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], covered[a:z], [False]]).astype(np.int8)))
+                gone = b.bytes_of(i, edge.reshape(-1, 2))
+                sizes.append(len(text))
+                kept.append(b"".join(text[e:s] for e, s in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)], strict=True)))
+                spans.append([{"start": s, "stop": e} for s, e in gone])
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         out = [table.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)]
         return pa.table([*out, *([table.column("rest")] if others else [])], names=["doc_id", "n_bytes", "kept", "spans", *(["rest"] if others else [])])
