@@ -113,6 +113,23 @@ def test_quality_counts_and_bands(spark, docs, known):
     assert sum(held[i * 3] for i in range(60)) >= 58 and not held[180]
 
 
+def noise(rng, n):
+    return "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789      ", k=n))
+
+
+def test_quality_limits_hold_against_a_third_of_junk_and_in_small_tables(spark):
+    rng = random.Random(7)
+    plain = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota"], k=200)) for _ in range(60)]
+    junk = [noise(rng, len(plain[0])) for _ in range(30)]
+    held = {r.doc_id: r.kept for r in compression.quality_rules(documents(spark, plain + junk), max_repeat_percent=100).collect()}
+    assert sum(held[i * 3] for i in range(60)) >= 58 and not any(held[i * 3] for i in range(60, 90))
+    few = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 25 and n_chars between 1000 and 4000").orderBy("doc_id").collect()]
+    assert 1 < len(few) < 25
+    rows = {r.doc_id: r for r in compression.quality_rules(documents(spark, [*few, noise(rng, 2000)])).collect()}
+    last = rows[len(few) * 3]
+    assert not last.base_failed and not last.kept and any(rows[i * 3].kept for i in range(len(few)))
+
+
 # 4 toxicity
 
 
