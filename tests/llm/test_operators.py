@@ -130,6 +130,19 @@ def test_quality_limits_hold_against_a_third_of_junk_and_in_small_tables(spark):
     assert not last.base_failed and not last.kept and any(rows[i * 3].kept for i in range(len(few)))
 
 
+def test_every_byte_of_a_long_text_is_in_a_chunk():
+    for n in (0, 9, 10, 11, 19, 20, 25):
+        starts = compression.chunk_starts(n, 10)
+        assert {b for a in starts for b in range(a, a + 10)} == set(range(n if n >= 10 else 0))
+
+
+def test_junk_behind_the_chunk_grid_is_seen(spark):
+    rng = random.Random(11)
+    plain = " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota"], k=2000))[:4096]
+    rows = {r.doc_id: r for r in compression.quality_rules(documents(spark, [plain + noise(rng, 4000), plain]), max_repeat_percent=100).collect()}
+    assert rows[0].chunk_low < 1.5 < rows[3].chunk_low == rows[0].chunk_high
+
+
 # 4 toxicity
 
 

@@ -55,6 +55,12 @@ def base_counts(text: str, symbols: bytes) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - n_space, sum(raw.count(c) for c in symbols), len(lines) - len(set(lines)), repeated
 
 
+def chunk_starts(n: int, chunk_bytes: int) -> list[int]:
+    """Starts of chunks of one length that cover all n bytes, the last one overlapping where it must; none in shorter texts."""
+    starts = list(range(0, n - chunk_bytes + 1, chunk_bytes))
+    return [*starts, n - chunk_bytes] if starts and n % chunk_bytes else starts
+
+
 def compression_features(docs: DataFrame, level: int, chunk_bytes: int, symbols: str) -> DataFrame:
     def measure(batches):
         import zstandard
@@ -65,7 +71,7 @@ def compression_features(docs: DataFrame, level: int, chunk_bytes: int, symbols:
             for key, text, *more in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("source").to_pylist(), batch.column("print").to_pylist(), strict=True):
                 text = text.as_py() or ""
                 raw = text.encode()
-                chunks = [chunk_bytes / len(compressor.compress(raw[i : i + chunk_bytes])) for i in range(0, len(raw) - chunk_bytes + 1, chunk_bytes)]
+                chunks = [chunk_bytes / len(compressor.compress(raw[i : i + chunk_bytes])) for i in chunk_starts(len(raw), chunk_bytes)]
                 rows.append((key, len(raw), *base_counts(text, marks), len(raw) / len(compressor.compress(raw)) if raw else None, min(chunks, default=None), max(chunks, default=None), *more))
             fields = [x.split() for x in FEATURES.split(", ")]
             columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
