@@ -211,6 +211,13 @@ def test_preference_pairs(spark):
     assert preference.preference_pairs(none, none).count() == 0
 
 
+def test_replies_share_a_prompt_in_every_conversation(spark):
+    rows = queries.QUERIES["op5_preference_replies"](spark, SF).collect()
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    assert {r.pair_id for r in rows} == {r.conv_id for r in turns.filter("turn is not null and conv_id is not null").select("conv_id").distinct().collect()}
+    assert any(r.n_common and r.prompt and r.chosen_completion != r.rejected_completion for r in rows)
+
+
 # 6 WARC
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
@@ -98,6 +98,44 @@ from spans group by pair_id, n_common
 """
 
 
+def op5_preference_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself up to its last assistant turn, with the last reply of the next conversation (of the first, for the last) in that turn's place."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null").select(F.col("conv_id").alias("pair_id"), "turn", *text)
+    turns = turns.withColumn("place", F.row_number().over(Window.partitionBy("pair_id").orderBy("turn", "role", "text")).cast("long"))
+    own = F.when(F.col("role") == "assistant", F.struct("place", "text"))
+    ends = turns.groupBy("pair_id").agg(F.max(own).alias("own"), F.max("place").alias("n")).select("pair_id", F.coalesce("own.place", F.col("n") + 1).alias("last"), F.coalesce("own.text", F.lit("")).alias("reply"), F.floor(F.col("pair_id") / 1000).alias("bucket"))
+    # the next id lies in the same thousand of ids or is the least of a later one
+    firsts = ends.groupBy("bucket").agg(F.min("pair_id").alias("first"))
+    firsts = firsts.select("bucket", F.coalesce(F.lead("first").over(Window.orderBy("bucket")), F.min("first").over(Window.partitionBy())).alias("after"))
+    ids = ends.withColumn("lead", F.lead("pair_id").over(Window.partitionBy("bucket").orderBy("pair_id"))).join(firsts, "bucket")
+    replies = ids.select("pair_id", "last", F.coalesce("lead", "after").alias("other")).join(ends.select(F.col("pair_id").alias("other"), "reply"), "other")
+    chosen = turns.select("pair_id", F.col("place").alias("turn"), "role", "text")
+    kept = chosen.join(ends.select("pair_id", "last"), "pair_id").filter("turn < last").drop("last")
+    pairs = preference_pairs(chosen, kept.unionByName(replies.select("pair_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("reply").alias("text"))))
+    return pairs.select(
+        "pair_id", "n_common", "prompt", "chosen_completion", "rejected_completion",
+        *(F.array_join(F.transform(f"{side}_spans", lambda s: F.concat_ws("-", s["start"], s["stop"])), ",").alias(f"{side}_spans") for side in ("chosen", "rejected")),
+    )
+
+
+OP5_REPLIES_SQL = """
+with base as (
+    select conv_id as pair_id, coalesce(role, '') as role, coalesce(text, '') as text,
+           row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) as place
+    from conversations where conv_id is not null and turn is not null),
+ends as (
+    select pair_id, coalesce(max(case when role = 'assistant' then place end), max(place) + 1) as last,
+           coalesce(arg_max(text, place) filter (where role = 'assistant'), '') as reply
+    from base group by 1),
+nexts as (select pair_id, last, coalesce(lead(reply) over (order by pair_id), first_value(reply) over (order by pair_id)) as reply from ends),
+turns as (
+    select pair_id, 0 as side, role, text, place from base
+    union all select pair_id, 1, role, text, place from base join nexts using (pair_id) where place < last
+    union all select pair_id, 1, 'assistant', reply, last from nexts),
+""" + OP5_SQL[OP5_SQL.index("pairs as (") :]
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -141,6 +179,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_preference": op5_preference,
+    "op5_preference_replies": op5_preference_replies,
     "op6_warc": op6_warc,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
@@ -148,4 +187,4 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_preference": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_preference": OP5_SQL, "op5_preference_replies": OP5_REPLIES_SQL}
