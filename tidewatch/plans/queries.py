@@ -180,6 +180,14 @@ def live_union(events):
     return ev.live_union(rows.filter("id % 3 = 0"), rows.filter("id % 2 = 0"))
 
 
+@query("fx_event", "select id, case when occurred_at >= (select max(occurred_at) from fx_event) - interval 1 day then concat(title, ' (live)') else title end as title from fx_event")
+def live_union_whole(events):
+    """All events stored, those of the last day live with another title."""
+    since = events.agg((F.max("occurred_at") - F.expr("interval 1 day")).alias("since"))
+    live = events.join(F.broadcast(since)).filter(F.col("occurred_at") >= F.col("since")).select("id", F.concat("title", F.lit(" (live)")).alias("title"))
+    return ev.live_union(live, events.select("id", "title"))
+
+
 ADAPTIVE = """with leaves as (select cast(floor(epoch(occurred_at) / 21600) as bigint) as leaf, count(*) as n from fx_event group by 1),
 sums as (select leaf, n, sum(n) over (partition by leaf // 4) as n0, sum(n) over (partition by leaf // 2) as n1 from leaves),
 sized as (select leaf, n, case when n0 < 80 then 86400 when n1 < 80 then 43200 else 21600 end as size from sums)
