@@ -2,7 +2,7 @@
 
 Stages, in order: documents predicted to be toxic go; later repeats of runs of lines go from
 texts; of each group of near duplicates the document with the smallest id stays; long
-repeated passages go from texts, first by bytes, then by words; what is left is packed into token sequences.
+repeated passages, counted in words, go from texts; what is left is packed into token sequences.
 """
 
 from __future__ import annotations
@@ -18,9 +18,7 @@ from tidewatch.llm.suffix_dedup import remove_repeats
 from tidewatch.llm.toxicity import drop_toxic
 
 
-#: Bytes of a passage of about fifty words, from which on it counts as a repeat.
-PASSAGE_BYTES = 300
-#: Words of a passage from which on it counts as a repeat however short they are: more than fifty.
+#: Words of a passage from which on it counts as a repeat: more than fifty.
 PASSAGE_WORDS = 51
 
 
@@ -43,13 +41,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of about fifty words or more that occur more than once go. Bytes of characters that a cut goes through go too, as do replacement characters."""
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    return with_text(remove_repeats(docs, PASSAGE_BYTES, PASSAGE_BYTES // 3), docs, text)
-
-
-def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over fifty words that are too short in bytes for the stage before go."""
+    """Passages of over fifty words that occur more than once go wherever they occur, however long they are in bytes; shorter repeats stay."""
     return with_text(remove_repeats(docs, PASSAGE_WORDS, PASSAGE_WORDS // 3, words=True), docs, F.col("kept").cast("string"))
 
 
@@ -62,7 +54,6 @@ STAGES = [
     ("line dedup", line_dedup),
     ("n-gram Jaccard join", jaccard_join),
     ("suffix-array dedup", suffix_dedup),
-    ("passage dedup", passage_dedup),
     ("packing", packing),
 ]
 
