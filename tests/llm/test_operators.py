@@ -361,8 +361,12 @@ def test_encoding_and_decoding(spark, docs, known):
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=tokens.ranks_of_tiktoken(path), special_tokens={})
     rng = random.Random(6)
     odd = ["".join(rng.choices([" ", "  ", "\n", "a", "the", "'s", "é", "日", "12", "!", "<|endoftext|>", "\r", "🙂"], k=rng.randint(0, 12))) for _ in range(200)]
+    odd += ["a.\nb c,\n\nd", "\n a", "a\n", ".\nÀé.\nx y.\n z", "ab. c'd e\u00a0f", "Ωx λ. ª 1a a1."]
     for table, expected in ((docs, known), (documents(spark, odd), {i * 3: t for i, t in enumerate(odd)})):
         for r in bpe.encode_decode(table, path, PATTERN).collect():
             ids = library.encode_ordinary(expected[r.doc_id] or "")
             assert (r.n_tokens, bytes(r.ids), bytes(r.decoded)) == (len(ids), np.array(ids, "<u4").tobytes(), (expected[r.doc_id] or "").encode())
     assert bpe.encode_decode(empty(docs), path, PATTERN).count() == 0
+    twice = spark.createDataFrame([(None, "one two"), (None, "three"), (7, "one two"), (7, "one two"), (7, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, bytes(r.decoded).decode()) for r in bpe.encode_decode(twice, path, PATTERN).collect())
+    assert got == {(None, "one two"): 1, (None, "three"): 1, (7, "one two"): 2, (7, ""): 1}
