@@ -241,6 +241,28 @@ def test_archives_round_trip_and_are_equal_byte_by_byte(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_repeated_page_ids_keep_every_payload(spark):
+    df = spark.createDataFrame([(5, "u", "A" * 9), (5, "u", "B" * 9), (9, "u", "A" * 9), (5, "u", "A" * 9), (9, "v", "A" * 9)], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.payload_digest[:4], r.record_type, r.refers_to, r.body and bytes(r.body)) for r in warc.archive_round_trip(df).collect())
+    a, b = (warc.base32_sha1(x * 9)[:4] for x in (b"A", b"B"))
+    assert got == {(5, a, "revisit", 9, None): 2, (5, b, "response", None, b"B" * 9): 1, (9, a, "response", None, b"A" * 9): 2}
+
+
+def test_archives_are_read_only_when_committed(spark):
+    df = spark.createDataFrame([(k, "u", f"<p>{k}") for k in range(50)], "page_id long, url string, html string")
+    target = shared_dir(spark, "warc")
+    files = warc.write_archives(df, target, pages_per_shard=7)
+    assert files.count() >= 7 and warc.read_archives(spark, target).count() == 50
+    fs, root = warc.store(target)
+    assert not [x for x in fs.get_file_info(warc.FileSelector(root)) if x.base_name.startswith(".")]
+    with pytest.raises(ValueError, match="already"):
+        warc.write_archives(df, target)
+    # a commit that was killed before its end leaves part of a manifest, without the mark
+    fs.delete_file(f"{root}/manifest/_SUCCESS")
+    with pytest.raises(ValueError, match="no committed"):
+        warc.read_archives(spark, target)
+
+
 # 7 suffix-array dedup
 
 

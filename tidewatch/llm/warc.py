@@ -1,18 +1,20 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are dealt to shards by ranges of page_id, sorted within them and written as gzip
-members, one a record; a file is closed when its compressed size reaches a limit. Headers
+Records are dealt to shards by ranges of page_id that follow exact counts, sorted within
+them and written as gzip members, one a record; a file is closed when its compressed size
+reaches a limit. Headers
 are made anew from the record alone (fixed date, ids derived from page_id and payload), so
 the archives of equal tables are equal byte by byte. Each file is written under a
 temporary name and renamed; a task that runs twice renames equal files onto each other.
 The manifest names the files with their sizes, counts and digests, and is committed last,
-under its own temporary name; readers take only what it names.
+by one rename from a temporary name; readers ask for it and take only what it names.
 
 Payload digests are counted over the whole table first. Of the records whose payloads are
 equal and have at least `revisit_bytes` bytes, the one with the largest page_id is the
 response; the others revisit it. Null payloads are empty. Null urls are empty. Rows
-without a page_id are left out, as nothing could refer to them; repeated page_ids are
-records of their own, and equal payloads under the largest page_id are all responses.
+without a page_id are left out, as nothing could refer to them; rows of one page_id are
+records of their own, each judged by its own payload, and equal payloads under the largest
+page_id are all responses.
 Other columns are ignored.
 """
 
@@ -26,11 +28,14 @@ import posixpath
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSelector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_partitions, shared_dir
+from .common import n_partitions, shared_dir, written
 
+#: Ranges of page_id that are counted to place the shards; bytes that a partition holds about.
+CELLS, PARTITION_BYTES = 65_536, 64 << 20
 DATE = "2024-01-31T00:00:00Z"
 WRITTEN = "shard long, file string, n_records long, n_bytes long, sha256 string"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, body binary"
@@ -92,25 +97,43 @@ def parsed(stream) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
+def shards_of(known: DataFrame, pages_per_shard: int) -> DataFrame:
+    """cell, low, width, last, before: how the page_ids of each of CELLS equal ranges are cut, by the range's own
+    bounds and exact count, into shards, and how many shards come before. It has CELLS rows at most."""
+    ends = known.agg(F.min("page_id").alias("bottom"), F.max("page_id").alias("top"))
+    span = (F.col("top").cast("decimal(20,0)") - F.col("bottom")) / CELLS
+    cells = known.join(F.broadcast(ends.select("bottom", F.ceil(span + 1).cast("long").alias("step")))).withColumn("cell", cell_of("page_id"))
+    counts = cells.groupBy("cell", "bottom", "step").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.ceil(F.count("*") / pages_per_shard).alias("n"))
+    width = F.ceil((F.col("high").cast("decimal(20,0)") - F.col("low") + 1) / F.col("n")).cast("long")
+    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    return counts.select("cell", "bottom", "step", "low", F.greatest(width, F.lit(1)).alias("width"), before.cast("long").alias("before"))
+
+
+def cell_of(page_id: str) -> Column:
+    return F.floor((F.col(page_id).cast("decimal(20,0)") - F.col("bottom")) / F.col("step")).cast("long")
+
+
 def write_archives(pages: DataFrame, target: str, revisit_bytes: int = 0, roll_bytes: int = 32 << 20, pages_per_shard: int = 4096, level: int = 6) -> DataFrame:
     """Writes the archives and their manifest below target; returns the manifest."""
     spark = pages.sparkSession
     rows = pages.filter(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    known = rows.select("page_id", F.sha2("payload", 256).alias("content"), F.octet_length("payload").alias("n"))
+    rows = rows.withColumn("content", F.unhex(F.sha2("payload", 256)))
+    known = written(rows.select("page_id", "content", F.octet_length("payload").alias("n")), "pages")
     first = known.filter(F.col("n") >= revisit_bytes).groupBy("content").agg(F.max("page_id").alias("response"), F.count("*").alias("size")).filter("size > 1").select("content", "response")
-    revisits = known.join(first, "content").filter("page_id <> response").select("page_id", "response").distinct()
-    bounds = known.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count("*").alias("n")).first()
-    n_shards = max(1, -(-bounds.n // pages_per_shard))
-    low, width = bounds.low or 0, max(1, -(-((bounds.high or 0) - (bounds.low or 0) + 1) // n_shards))
-    # payloads are shuffled once: what a page revisits travels as a row of its own, which sorts before the page
+    revisits = known.join(first, "content").filter("page_id <> response").select("page_id", "content", "response").distinct()
+    n_parts = max(n_partitions(spark), -(-(known.agg(F.sum("n")).first()[0] or 0) // PARTITION_BYTES))
+    # payloads are shuffled once: what a page revisits travels as a row of its own, which sorts before the pages of that id and payload
     none = {"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}
     both = rows.withColumns({"kind": F.lit(1), "response": F.lit(None).cast("long")}).unionByName(revisits.withColumns({"kind": F.lit(0), **none}))
-    both = both.withColumn("shard", F.floor((F.col("page_id") - low) / width).cast("long"))
-    shards = both.repartitionByRange(max(n_partitions(spark), 1), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
+    cells = F.broadcast(written(shards_of(known, pages_per_shard), "shards"))
+    ends = F.broadcast(cells.select("bottom", "step").limit(1))
+    both = both.join(ends).withColumn("cell", cell_of("page_id")).drop("bottom", "step").join(cells, "cell")
+    both = both.withColumn("shard", F.col("before") + F.floor((F.col("page_id").cast("decimal(20,0)") - F.col("low")) / F.col("width")).cast("long"))
+    shards = both.select("shard", "page_id", "content", "kind", "url", "payload", "response").repartitionByRange(n_parts, "shard").sortWithinPartitions("shard", "page_id", "content", "kind", "url")
 
     def write(batches):
         fs, root = store(target)
-        out, done, shard, part, revisit = None, [], None, 0, (None, None)
+        out, done, shard, part, revisit = None, [], None, 0, (None, None, None)
 
         def close():
             nonlocal out
@@ -125,12 +148,12 @@ def write_archives(pages: DataFrame, target: str, revisit_bytes: int = 0, roll_b
             out = None
 
         for batch in batches:
-            for at, page_id, url, payload, response in zip(*(batch.column(c) for c in ("shard", "page_id", "url", "payload", "response")), strict=True):
-                page_id = page_id.as_py()
+            for at, page_id, content, url, payload, response in zip(*(batch.column(c) for c in ("shard", "page_id", "content", "url", "payload", "response")), strict=True):
+                page_id, content = page_id.as_py(), content.as_py()
                 if not payload.is_valid:
-                    revisit = (page_id, response.as_py())
+                    revisit = (page_id, content, response.as_py())
                     continue
-                refers_to = revisit[1] if revisit[0] == page_id else None
+                refers_to = revisit[2] if revisit[:2] == (page_id, content) else None
                 if out and (at.as_py() != shard or out[0].tell() >= roll_bytes):
                     close()
                     part = part + 1 if at.as_py() == shard else 0
@@ -146,8 +169,28 @@ def write_archives(pages: DataFrame, target: str, revisit_bytes: int = 0, roll_b
 
     fs, root = store(target)
     fs.create_dir(root, recursive=True)
-    # Parquet output is committed by renaming, so the manifest is there as a whole or not at all
-    shards.select("shard", "page_id", "url", "payload", "response").mapInArrow(write, WRITTEN).write.parquet(f"{target}/manifest")
+    if committed(target):
+        raise ValueError(f"{target} holds archives already")
+    # the manifest is written under a temporary name and gets its own by one rename, so that it is there as a whole or not at all
+    temporary = f".manifest-{uuid.uuid4().hex}"
+    shards.mapInArrow(write, WRITTEN).write.parquet(f"{target}/{temporary}")
+    fs.move(posixpath.join(root, temporary), posixpath.join(root, "manifest"))
+    for left in fs.get_file_info(FileSelector(root)):
+        # of attempts that failed or ran twice
+        if left.is_file and left.base_name.startswith(".part-"):
+            fs.delete_file(left.path)
+    return manifest(spark, target)
+
+
+def committed(target: str) -> bool:
+    """Whether the manifest is there, with the mark that Spark leaves when all of it is written."""
+    fs, root = store(target)
+    return fs.get_file_info(posixpath.join(root, "manifest", "_SUCCESS")).is_file
+
+
+def manifest(spark: SparkSession, target: str) -> DataFrame:
+    if not committed(target):
+        raise ValueError(f"{target} holds no committed archives")
     return spark.read.schema(WRITTEN).parquet(f"{target}/manifest")
 
 
@@ -185,8 +228,9 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
                 if not fields:
                     return
 
-    manifest = spark.read.schema(WRITTEN).parquet(f"{target}/manifest")
-    return manifest.repartition(max(n_partitions(spark), 1), "file").mapInArrow(read, READ)
+    files = manifest(spark, target)
+    n_parts = max(n_partitions(spark), -(-(files.agg(F.sum("n_bytes")).first()[0] or 0) // PARTITION_BYTES))
+    return files.repartition(n_parts, "file").mapInArrow(read, READ)
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
