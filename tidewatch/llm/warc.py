@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import n_partitions, shared_dir, written
 
 #: Ranges of page_id that are counted to place the shards; bytes that a partition holds about.
-CELLS, PARTITION_BYTES = 65_536, 64 << 20
+CELLS, PARTITION_BYTES = 4096, 64 << 20
 DATE = "2024-01-31T00:00:00Z"
 WRITTEN = "shard long, file string, n_records long, n_bytes long, sha256 string"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, body binary"
@@ -103,10 +103,11 @@ def shards_of(known: DataFrame, pages_per_shard: int) -> DataFrame:
     ends = known.agg(F.min("page_id").alias("bottom"), F.max("page_id").alias("top"))
     span = (F.col("top").cast("decimal(20,0)") - F.col("bottom")) / CELLS
     cells = known.join(F.broadcast(ends.select("bottom", F.ceil(span + 1).cast("long").alias("step")))).withColumn("cell", cell_of("page_id"))
-    counts = cells.groupBy("cell", "bottom", "step").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.ceil(F.count("*") / pages_per_shard).alias("n"))
+    counts = cells.groupBy("cell", "bottom", "step").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count("*").alias("size"), F.ceil(F.count("*") / pages_per_shard).alias("n"))
     width = F.ceil((F.col("high").cast("decimal(20,0)") - F.col("low") + 1) / F.col("n")).cast("long")
-    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    return counts.select("cell", "bottom", "step", "low", F.greatest(width, F.lit(1)).alias("width"), before.cast("long").alias("before"))
+    # neighbouring ranges of few pages share a shard
+    before = F.sum("size").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    return counts.select("cell", "bottom", "step", "low", F.greatest(width, F.lit(1)).alias("width"), F.floor(before / pages_per_shard).cast("long").alias("before"))
 
 
 def cell_of(page_id: str) -> Column:
