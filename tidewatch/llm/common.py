@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_dir, written  # noqa: F401  used by the operators
 
-#: Documents of one row block: the unit in which Python tasks hold whole texts.
-DOCS_PER_BLOCK = 2000
+#: Documents and bytes of texts of one row block, about: the unit in which Python tasks hold whole texts.
+DOCS_PER_BLOCK, BYTES_PER_BLOCK = 2000, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,15 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def block_count(docs: DataFrame, per_block: int = DOCS_PER_BLOCK) -> int:
-    return max(1, -(-docs.count() // per_block))
+def dealt_sizes(docs: DataFrame, per_block: int = DOCS_PER_BLOCK) -> tuple[int, int]:
+    """The number of documents and of row blocks: a block holds about per_block documents and BYTES_PER_BLOCK bytes at most on average."""
+    sizes = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()
+    return max(1, sizes.n), max(1, -(-sizes.n // per_block), -(-(sizes.bytes or 0) // BYTES_PER_BLOCK))
 
 
 def block_of(id_col: Column, text_col: Column, n: int) -> Column:
-    """A row block by hash of the id (of the text where the id is null, so that null ids spread)."""
-    return F.pmod(F.xxhash64(F.coalesce(id_col.cast("string"), text_col)), F.lit(n)).cast("int")
+    """A row block by hash of the id and the text, so that null and repeated ids spread."""
+    return F.pmod(F.xxhash64(id_col.cast("string"), text_col), F.lit(n)).cast("int")
 
 
 def worker_cache(name: str) -> dict:

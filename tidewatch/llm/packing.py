@@ -10,7 +10,7 @@ sequences that hold its tokens, so padding is under one sequence a block.
 
 Null and empty texts are the end id alone. Rows with equal ids are packed each on its
 own; null ids are kept. The result does not depend on partitioning: blocks are chosen
-by hash of the id, and ties are broken by length, id, then text.
+by hash of the id and text, and ties are broken by length, id, then text.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, block_of
+from .common import block_of, dealt_sizes
 from .tokens import Encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -49,7 +49,7 @@ def sequence_plan(lengths: np.ndarray, capacity: int, linear: float, quadratic:
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024, docs_per_block: int = 2000) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    n_blocks = block_count(docs, docs_per_block)
+    n_blocks = dealt_sizes(docs, docs_per_block)[1]
 
     def encode(batches):
         encoder = Encoder.of(vocabulary, pattern)
@@ -80,6 +80,6 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, e
         columns = list(zip(*out, strict=True)) or [[]] * 7
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), columns, strict=True)})
 
-    rows = docs.select(block_of(F.col("doc_id"), F.col("text"), n_blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(block_of(F.col("doc_id"), F.col("text").cast("string"), n_blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = rows.mapInArrow(encode, "block int, doc_id long, doc_tokens long, crcs array<long>, tail binary")
     return coded.groupBy("block").applyInArrow(place, PIECES)
