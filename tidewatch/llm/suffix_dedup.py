@@ -4,18 +4,18 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
 such string (window) has an anchor: the place in it whose next `gram` bytes have the
 smallest hash, the first of equal ones. Equal windows have their anchors at the same
 place, so suffixes need to be indexed at anchors only, about one in 140 bytes, and
-neighbouring windows of one anchor are handled together.
-
-Documents are dealt to row blocks. Each row block is a batch: its anchors, in the order
-of their suffix (by fingerprint of its first `gram` bytes, then of the whole stretch that
-the anchor's windows cover), are a sparse suffix array. Column blocks, ranges of that
-order by hash, take the batches one by one into levels that hold one, two, four ...
-batches; equal levels merge. At the end each batch is scanned against the levels. A
-stretch that is found twice is repeated as a whole. Where only the first `gram` bytes are
-found elsewhere, the windows of the anchor are fingerprinted one by one and counted in a
-second round; of stretches with copies one stands for all, so groups of copies stay
-linear. Suffixes are ordered by fingerprint, not by letter: the scan asks for equality
-only, and fingerprints let hot suffixes weigh 16 bytes.
+neighbouring windows of one anchor are handled together as a stretch.
+
+Documents are dealt to row blocks. A row block's anchors, ordered by the first bytes of
+their suffix (`gram` of them, 128 at most) and then by a 128-bit digest of the stretch, are
+its sparse suffix array. Column blocks, by hash of those first bytes, take the row blocks'
+arrays batch by batch: each batch is merge-scanned against the levels that are there, which
+marks long matches on both sides, and then joins them; levels hold one, two, four ...
+batches, and equal ones merge. A stretch that is met again is repeated as a whole. Where
+only a suffix is met again, with another stretch around it, the windows of the anchor are
+looked at one by one in a second round, by suffix and digest; of stretches with copies one
+stands for all, so groups of copies stay linear. All stretches and windows are told apart by digests of
+their bytes; the rolling hash chooses anchors and nothing else.
 
 With words=True, length and gram count words (parted by the six ASCII white-space
 characters) instead of bytes: `length` words in a row that start anywhere else too go, with
@@ -34,32 +34,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOCS_PER_BLOCK, block_of, mix64, n_partitions, offsets_of, ragged_index, written
-from .jaccard_join import pack_sorted, unpack_sorted
-from .shingles import BASE, BYTE_CODE, INVERSE, SPACE, powers
+from .common import block_of, dealt_sizes, mix64, n_partitions, offsets_of, ragged_index, worker_cache, written
 
 BYTES_AT_ONCE = 1_000_000
-#: Anchors that a column block holds about, and anchors that a document is taken to have.
-ANCHORS_PER_BLOCK, ANCHORS_A_DOC = 1_000_000, 32
+#: Anchors that a column block holds about, anchors that a document is taken to have, and batches of a column block.
+ANCHORS_PER_BLOCK, ANCHORS_A_DOC, BATCHES = 250_000, 32, 8
+#: Bytes of a suffix that are compared, at most, and of a digest.
+SUFFIX, DIGEST = 128, 16
 NOTHING, REPEATED, OPEN, STANDS = 0, 1, 2, 3
 
+_rng = np.random.default_rng(20240131)
+BYTE_CODE = _rng.integers(0, 2**64, 256, np.uint64)
+BASE = np.uint64(int(_rng.integers(0, 2**62)) * 2 + 1)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-class Family:
-    """Levels of (stretch, suffix, occurrences), each sorted by stretch; level i holds 2^i batches."""
 
-    def __init__(self):
-        self.levels: list[tuple | None] = []
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of base; a worker keeps those that ordinary buffers need."""
+    kept = worker_cache("powers")
+    if len(kept.get(int(base), ())) < n:
+        out = np.full(max(n, 2 * BYTES_AT_ONCE), base, np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n > 2 * BYTES_AT_ONCE:
+            return out
+        kept[int(base)] = out
+    return kept[int(base)][:n]
+
+
+def squeezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
-    @staticmethod
-    def merged(*runs: tuple) -> tuple:
-        stretch, suffix, n = (np.concatenate(x) for x in zip(*runs, strict=True))
-        order = np.argsort(stretch, kind="stable")
-        stretch, suffix, n = stretch[order], suffix[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]])[: len(stretch)])
-        return stretch[first], suffix[first], np.add.reduceat(n, first) if len(first) else n
 
-    def add(self, stretch: np.ndarray, suffix: np.ndarray) -> None:
-        run = self.merged((stretch, suffix, np.ones(len(stretch), np.int64)))
+def expanded(data: pa.Scalar) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data.as_py())
+
+
+class Family:
+    """Levels of suffix arrays (keys in order, numbers); level i holds about 2^i batches.
+
+    A key is a suffix of `width` bytes and the digest of its stretch. Entries are numbered as they come."""
+
+    def __init__(self, width: int):
+        self.width, self.levels = width, []
+        self.repeated, self.opened, self.copies = (np.zeros(0, bool) for _ in range(3))
+
+    def suffixes(self, keys: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(keys.view(np.uint8).reshape(len(keys), -1)[:, : self.width]).view(f"S{self.width}").ravel()
+
+    def merged(self, *runs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs as one, in order; of equal keys those of earlier runs come first."""
+        keys, numbers = (np.concatenate(x) for x in zip(*runs, strict=True))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], numbers[order]
+
+    def scan(self, level: tuple, batch: tuple) -> None:
+        """Marks the matches between a level and a batch, on both sides: neighbours in the order of both with equal keys, and with equal suffixes but other stretches."""
+        keys, numbers = self.merged(level, batch)
+        if not len(keys):
+            return
+        suffixes = self.suffixes(keys)
+        new_key, new_suffix = (np.concatenate([[True], x[1:] != x[:-1]]) for x in (keys, suffixes))
+        stretch, suffix = np.cumsum(new_key) - 1, np.cumsum(new_suffix) - 1
+        twice = (np.bincount(stretch) > 1)[stretch]
+        self.repeated[numbers[twice]] = True
+        self.copies[numbers[~new_key]] = True
+        self.opened[numbers[(np.bincount(suffix, new_key) > 1)[suffix]]] = True
+
+    def add(self, keys: np.ndarray, repeated: np.ndarray) -> None:
+        """Takes a batch of keys, some of which are known to be repeated."""
+        numbers = np.arange(len(self.repeated), len(self.repeated) + len(keys))
+        self.repeated = np.concatenate([self.repeated, repeated])
+        self.opened, self.copies = (np.concatenate([x, np.zeros(len(keys), bool)]) for x in (self.opened, self.copies))
+        none = keys[:0], numbers[:0]
+        run = self.merged((keys, numbers))
+        for level in (none, *(x for x in self.levels if x is not None)):
+            self.scan(level, run)
+        # the first of equal stretches stays for all
+        stays = ~self.copies[run[1]]
+        run = run[0][stays], run[1][stays]
         for i, level in enumerate(self.levels):
             if level is None:
                 self.levels[i] = run
@@ -67,50 +126,38 @@ class Family:
             run, self.levels[i] = self.merged(level, run), None
         self.levels.append(run)
 
-    def close(self) -> None:
-        """Brings the levels together and notes for each stretch what else its suffix is found in."""
-        self.stretch, self.suffix, self.n = self.merged(*(x for x in self.levels if x is not None))
-        _, which, kinds = np.unique(self.suffix, return_inverse=True, return_counts=True)
-        self.mixed = (kinds > 1)[which] & (np.bincount(which, self.n == 1) > 0)[which]
-        self.stood = np.zeros(len(self.n), bool)
-
-    def scan(self, stretch: np.ndarray) -> np.ndarray:
-        """What becomes of a batch's anchors; batches are to be scanned in one fixed order."""
-        at = np.searchsorted(self.stretch, stretch)
-        first = np.zeros(len(at), bool)
-        first[np.unique(at, return_index=True)[1]] = True
-        stands = first & self.mixed[at] & ~self.stood[at]
-        self.stood[at[stands]] = True
-        return np.where(self.n[at] > 1, np.where(stands, STANDS, REPEATED), np.where(self.mixed[at], OPEN, NOTHING)).astype(np.uint8)
+    def found(self) -> np.ndarray:
+        """What has become of each entry."""
+        return np.where(self.copies, REPEATED, np.where(self.repeated, np.where(self.opened, STANDS, REPEATED), np.where(self.opened, OPEN, NOTHING))).astype(np.uint8)
 
 
 class Buffer:
-    """Some texts end to end, with prefix sums for fingerprints of any stretch."""
+    """Some texts end to end, as symbols: here bytes."""
 
     def __init__(self, texts: list[bytes], length: int, gram: int):
         self.texts, self.length, self.gram = texts, length, gram
-        self.sums = self.summed(BYTE_CODE[np.frombuffer(b"".join(texts), np.uint8)])
+        self.raw = b"".join(texts)
         self.ends = offsets_of(np.array([len(t) for t in texts], np.int64))
-
-    @staticmethod
-    def summed(codes: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * powers(BASE, len(codes)), out=sums[1:])
-        return sums
+        self.codes = BYTE_CODE[np.frombuffer(self.raw, np.uint8)]
 
     def bytes_of(self, i: int, spans: np.ndarray) -> list:
         """Spans (start, stop) of text i, in bytes of it."""
         return spans.tolist()
 
-    def prints(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[stop] - self.sums[start]) * powers(INVERSE, len(self.sums))[start])
+    def cut(self, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        """The bytes of the symbols from start to stop, one or more."""
+        raw = self.raw
+        return [raw[a:z] for a, z in zip(start.tolist(), stop.tolist(), strict=True)]
 
     def anchors(self):
         """(first window, last window, anchor) of each anchor, in order."""
         windows = ragged_index(self.ends[:-1], np.maximum(np.diff(self.ends) - self.length + 1, 0))
         if not len(windows):
             return (np.zeros(0, np.int64),) * 3
-        grams = mix64((self.sums[self.gram :] - self.sums[: -self.gram]) * powers(INVERSE, len(self.sums) - self.gram))
+        n = len(self.codes)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.codes * powers(BASE, n), out=sums[1:])
+        grams = mix64((sums[self.gram :] - sums[: -self.gram]) * powers(INVERSE, n + 1 - self.gram))
         least = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
         span, width = self.length - self.gram + 1, 1
         while 2 * width <= span:
@@ -123,24 +170,40 @@ class Buffer:
         last = np.append(first[1:], len(anchor)) - 1
         return windows[first], windows[last], anchor[first]
 
-    def indexed(self):
-        """The anchors with the fingerprints of their suffix and stretch."""
+    def indexed(self, width: int):
+        """The anchors' windows, with the keys of their suffix and stretch and a hash of the suffix."""
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
         first, last, anchor = self.anchors()
-        stretch = mix64(self.prints(first, last + self.length) ^ mix64(((anchor - first) * 65536 + (last - first)).astype(np.uint64)))
-        return first, last, self.prints(anchor, anchor + self.gram), stretch
+        suffixes = [x[:width].ljust(width, b"\0") for x in self.cut(anchor, anchor + self.gram)]
+        keys = np.frombuffer(b"".join(x + xxh3_128_digest(y) for x, y in zip(suffixes, self.cut(first, last + self.length), strict=True)), f"S{width + DIGEST}")
+        return first, last, keys, np.fromiter(map(xxh3_64_intdigest, suffixes), np.uint64, len(suffixes))
+
+    def prints(self, start: np.ndarray) -> np.ndarray:
+        """Digests of the windows that start there."""
+        from xxhash import xxh3_64_intdigest
+
+        return np.fromiter(map(xxh3_64_intdigest, self.cut(start, start + self.length)), np.uint64, len(start))
 
 
 class Words(Buffer):
-    """The same over the words of the texts, each taken by its fingerprint."""
+    """The same over the words of the texts, as if one space parted them."""
 
     def __init__(self, texts: list[bytes], length: int, gram: int):
+        from xxhash import xxh3_64_intdigest
+
         self.texts, self.length, self.gram = texts, length, gram
         self.begins = offsets_of(np.array([len(t) + 1 for t in texts], np.int64))
-        raw = np.frombuffer(b" ".join(texts), np.uint8)
-        edge = np.diff(np.concatenate([[True], SPACE[raw], [True]]).astype(np.int8))
+        joined = b" ".join(texts)
+        edge = np.diff(np.concatenate([[True], SPACE[np.frombuffer(joined, np.uint8)], [True]]).astype(np.int8))
         self.first, self.last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.sums = self.summed(BYTE_CODE[raw])
-        self.sums = self.summed(self.prints(self.first, self.last))
+        words = joined.split()
+        self.raw, self.starts = b" ".join(words), offsets_of(self.last - self.first + 1)
+        distinct = dict.fromkeys(words)
+        hashes = np.fromiter(map(xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        for i, w in enumerate(distinct):
+            distinct[w] = i
+        self.codes = hashes[np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))]
         self.ends = np.searchsorted(self.first, self.begins)
 
     def bytes_of(self, i: int, spans: np.ndarray) -> list:
@@ -148,6 +211,9 @@ class Words(Buffer):
         after = np.append(self.first, 0)[stop]
         return (np.stack([self.first[start], np.where(stop < self.ends[i + 1], after, self.last[stop - 1])], 1) - self.begins[i]).tolist()
 
+    def cut(self, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        return super().cut(self.starts[start], self.starts[stop] - 1)
+
 
 def _buffers(texts: list[bytes], length: int, gram: int, kind: type[Buffer] = Buffer):
     """Buffers of about a million bytes, or of one text where that is longer."""
@@ -159,82 +225,140 @@ def _buffers(texts: list[bytes], length: int, gram: int, kind: type[Buffer] = Bu
             start, size = i + 1, 0
 
 
-def _dealt(keys: np.ndarray, n: int):
-    """Order of keys by column and key, and the columns' bounds in it."""
-    column = (mix64(keys) % np.uint64(n)).astype(np.int64)
-    order = np.lexsort((keys, column))
+class Block:
+    """The suffix array of a row block: its distinct keys in order, how they are dealt to columns, and where each anchor has its key."""
+
+    def __init__(self, texts: list[bytes], length: int, gram: int, width: int, n_cols: int, kind: type[Buffer]):
+        # only what later steps need is kept of a buffer
+        self.buffers = []
+        keys, self.hashes = [np.zeros(0, f"S{width + DIGEST}")], []
+        for b in _buffers(texts, length, gram, kind):
+            first, last, own, hashes = b.indexed(width)
+            b.codes = None
+            self.buffers.append((b, first, last, hashes))
+            keys.append(own)
+        self.keys, self.at, self.which, counts = np.unique(np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True)
+        self.twice = counts > 1
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in self.buffers)])[self.at]
+        self.order, self.cuts = by_column(hashes, n_cols)
+
+    def judged(self, found: np.ndarray):
+        """Each buffer with its anchors' windows, suffix hashes and what was found of them: of equal stretches the first stands."""
+        state = found[self.which]
+        first = np.zeros(len(state), bool)
+        first[self.at] = True
+        state[~first] = np.where(state[~first] == NOTHING, NOTHING, REPEATED)
+        at = 0
+        for b, start, last, hashes in self.buffers:
+            yield b, start, last, hashes, state[at : at + len(start)]
+            at += len(start)
+
+    def answered(self, answers) -> np.ndarray:
+        found = np.zeros(len(self.keys), np.uint8)
+        for c, data in answers:
+            found[self.order[self.cuts[c] : self.cuts[c + 1]]] = np.frombuffer(data, np.uint8)
+        return found
+
+
+def by_column(hashes: np.ndarray, n: int):
+    """Places by column, otherwise in order, and the columns' bounds."""
+    column = (mix64(hashes) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(column, kind="stable")
     return order, np.searchsorted(column[order], np.arange(n + 1))
 
 
+def open_windows(parts):
+    """Suffix hashes, starts and digests of all windows of open and standing anchors, buffer by buffer."""
+    for b, first, last, hashes, found in parts:
+        pick = found >= OPEN
+        n = (last - first + 1)[pick]
+        start = ragged_index(first[pick], n)
+        yield np.repeat(hashes[pick], n), start, b.prints(start)
+
+
+class Windows:
+    """The distinct windows of a row block, by suffix hash and digest, and how they are dealt to columns."""
+
+    def __init__(self, parts: list, n_cols: int):
+        empty = np.zeros(0, np.uint64)
+        groups, prints = (np.concatenate([empty, *x]) for x in ((p[i] for p in parts) for i in (0, 2)))
+        order = np.lexsort((prints, groups))
+        groups, prints = groups[order], prints[order]
+        new = np.concatenate([np.ones(min(1, len(groups)), bool), (groups[1:] != groups[:-1]) | (prints[1:] != prints[:-1])])
+        at = np.cumsum(new) - 1
+        self.which = np.zeros(len(order), np.int64)
+        self.which[order] = at
+        self.groups, self.prints, self.twice = groups[new], prints[new], np.bincount(at, minlength=int(new.sum())) > 1
+        self.order, self.cuts = by_column(self.groups, n_cols)
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, words: bool = False) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay), spans (removed, in bytes), and the other columns in rest."""
-    n_docs, kind = max(1, docs.count()), Words if words else Buffer
-    n_rows = -(-n_docs // DOCS_PER_BLOCK)
+    kind = Words if words else Buffer
+    n_docs, n_rows = dealt_sizes(docs)
     n_parts = n_partitions(docs.sparkSession)
     n_cols = max(n_parts, -(-n_docs * ANCHORS_A_DOC // ANCHORS_PER_BLOCK))
+    width = SUFFIX if words else min(gram, SUFFIX)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     text = F.col("text").cast("string")
     own = [block_of(F.col("doc_id"), text, n_rows).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")]
     blocks = docs.select(*own, *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else [])).repartition(n_parts, "block")
 
-    def raw(table) -> list[bytes]:
-        return [(t.as_py() or "").encode() for t in table.column("text")]
+    def block_in(table) -> Block:
+        return Block([(t.as_py() or "").encode() for t in table.column("text")], length, gram, width, n_cols, kind)
+
+    def binary_table(rows: list, names: list[str], n_ints: int = 2):
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.table([pa.array(c, pa.int32() if i < n_ints else pa.binary()) for i, c in enumerate(columns)], names=names)
 
     def deal(table):
-        found = [b.indexed()[2:] for b in _buffers(raw(table), length, gram, kind)]
-        suffix, stretch = (np.concatenate(x) for x in zip(*found, strict=True))
-        order, cuts = _dealt(suffix, n_cols)
-        block = table.column("block")[0].as_py()
-        rows = [(int(c), block, suffix[order[cuts[c] : cuts[c + 1]]].tobytes(), stretch[order[cuts[c] : cuts[c + 1]]].tobytes()) for c in np.flatnonzero(np.diff(cuts))]
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["column", "block", "suffix", "stretch"])
+        b, block, rows = block_in(table), table.column("block")[0].as_py(), []
+        for c in np.flatnonzero(np.diff(b.cuts)):
+            pick = b.order[b.cuts[c] : b.cuts[c + 1]]
+            rows.append((int(c), block, squeezed(b.keys[pick].tobytes()), np.packbits(b.twice[pick]).tobytes()))
+        return binary_table(rows, ["column", "block", "keys", "twice"])
 
     def index(table):
-        order = np.argsort(np.asarray(table.column("block")), kind="stable")
-        stretches = [np.frombuffer(table.column("stretch")[int(i)].as_py(), np.uint64) for i in order]
-        family = Family()
-        for i, stretch in zip(order, stretches, strict=True):
-            family.add(stretch, np.frombuffer(table.column("suffix")[int(i)].as_py(), np.uint64))
-        family.close()
-        found = [family.scan(s).tobytes() for s in stretches]
-        return pa.table([table.column("block").take(pa.array(order)), table.column("column").take(pa.array(order)), pa.array(found, pa.binary())], names=["block", "column", "found"])
-
-    def judged(table, answers):
-        """Each buffer with its anchors' windows and what was found of them."""
-        buffers = [(b, *b.indexed()) for b in _buffers(raw(table), length, gram, kind)]
-        suffix = np.concatenate([x[3] for x in buffers]) if buffers else np.zeros(0, np.uint64)
-        order, cuts = _dealt(suffix, n_cols)
-        found = np.zeros(len(suffix), np.uint8)
-        for c, data in answers:
-            found[order[cuts[c] : cuts[c + 1]]] = np.frombuffer(data, np.uint8)
-        at = 0
-        for b, first, last, *_ in buffers:
-            own, at = found[at : at + len(first)], at + len(first)
-            yield b, first, last, own
-
-    def open_windows(parts, kinds):
-        """Starts and fingerprints of all windows of anchors of these kinds, buffer by buffer."""
-        for b, first, last, found in parts:
-            pick = np.isin(found, kinds)
-            start = ragged_index(first[pick], (last - first + 1)[pick])
-            yield start, b.prints(start, start + length)
+        order = np.argsort(np.asarray(table.column("block")), kind="stable").tolist()
+        keys = [np.frombuffer(expanded(table.column("keys")[i]), f"S{width + DIGEST}") for i in order]
+        twice = [np.unpackbits(np.frombuffer(table.column("twice")[i].as_py(), np.uint8), count=len(k)).astype(bool) for i, k in zip(order, keys, strict=True)]
+        ends = offsets_of(np.array([len(k) for k in keys], np.int64))
+        # neighbouring row blocks are a batch together
+        batch = ends[:-1] // max(1, -(-int(ends[-1]) // BATCHES))
+        cuts = [0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(keys)]
+        family = Family(width)
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            family.add(np.concatenate(keys[a:z]), np.concatenate(twice[a:z]))
+        found = family.found()
+        parts = [found[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table([table.column("block").take(pa.array(order)), table.column("column").take(pa.array(order)), pa.array(parts, pa.binary())], names=["block", "column", "found"])
 
     def deal_windows(table, answers):
-        prints = [p for _, p in open_windows(judged(table, zip(answers.column("column").to_pylist(), answers.column("found").to_pylist(), strict=True)), (OPEN, STANDS))]
-        prints, counts = np.unique(np.concatenate(prints), return_counts=True) if prints else (np.zeros(0, np.uint64),) * 2
-        order, cuts = _dealt(prints, n_cols)
-        block, rows = answers.column("block")[0].as_py() if len(answers) else None, []
-        for c in np.flatnonzero(np.diff(cuts)):
-            own = order[cuts[c] : cuts[c + 1]]
-            rows.append((int(c), block, pack_sorted(prints[own]), np.packbits(counts[own] > 1).tobytes()))
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["column", "block", "prints", "twice"])
+        if not len(answers) or not len(table):
+            return binary_table([], ["column", "block", "groups", "prints", "twice"])
+        b, block, rows = block_in(table), answers.column("block")[0].as_py(), []
+        found = b.answered(zip(answers.column("column").to_pylist(), answers.column("found").to_pylist(), strict=True))
+        w = Windows(list(open_windows(b.judged(found))), n_cols)
+        for c in np.flatnonzero(np.diff(w.cuts)):
+            pick = w.order[w.cuts[c] : w.cuts[c + 1]]
+            groups, counts = np.unique(w.groups[pick], return_counts=True)
+            rows.append((int(c), block, groups.tobytes() + counts.astype(np.uint64).tobytes(), w.prints[pick].tobytes(), np.packbits(w.twice[pick]).tobytes()))
+        return binary_table(rows, ["column", "block", "groups", "prints", "twice"])
+
+    def spread(data: bytes) -> np.ndarray:
+        groups, counts = np.frombuffer(data, np.uint64).reshape(2, -1)
+        return np.repeat(groups, counts.astype(np.int64))
 
     def count_windows(table):
-        prints = [unpack_sorted(x.as_py()) for x in table.column("prints")]
+        prints = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("prints")]
+        groups = [spread(x.as_py()) for x in table.column("groups")]
         twice = np.concatenate([np.unpackbits(np.frombuffer(t.as_py(), np.uint8), count=len(p)) for t, p in zip(table.column("twice"), prints, strict=True)])
-        _, which, n = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
-        repeated = ((n > 1) | (np.bincount(which, twice) > 0))[which]
+        group, flat = np.concatenate(groups), np.concatenate(prints)
+        order = np.lexsort((flat, group))
+        group, flat = group[order], flat[order]
+        which = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (flat[1:] != flat[:-1])])) - 1
+        repeated = np.zeros(len(order), bool)
+        repeated[order] = ((np.bincount(which) > 1) | (np.bincount(which, twice[order]) > 0))[which]
         ends = np.cumsum([len(p) for p in prints])
         found = [np.packbits(repeated[e - len(p) : e]).tobytes() for e, p in zip(ends, prints, strict=True)]
         return pa.table([table.column("block"), table.column("column"), pa.array(found, pa.binary()), pa.array([1] * len(found), pa.int32())], names=["block", "column", "found", "round"])
@@ -243,19 +367,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, words: b
         rounds: tuple[list, list] = ([], [])
         for r, c, data in zip(*(answers.column(n).to_pylist() for n in ("round", "column", "found")), strict=True):
             rounds[r].append((c, data))
-        parts = list(judged(table, rounds[0]))
-        opened = list(open_windows(parts, (OPEN, STANDS)))
-        prints = np.unique(np.concatenate([p for _, p in opened])) if opened else np.zeros(0, np.uint64)
-        order, cuts = _dealt(prints, n_cols)
-        repeated = np.zeros(len(prints), bool)
+        block = block_in(table)
+        parts = list(block.judged(block.answered(rounds[0])))
+        opened = list(open_windows(parts))
+        w = Windows(opened, n_cols)
+        repeated = np.zeros(len(w.prints), bool)
         for c, data in rounds[1]:
-            repeated[order[cuts[c] : cuts[c + 1]]] = np.unpackbits(np.frombuffer(data, np.uint8), count=cuts[c + 1] - cuts[c]).astype(bool)
-        sizes, kept, spans = [], [], []
-        for (b, first, last, found), (start, own) in zip(parts, opened, strict=True):
-            starts = np.zeros(len(b.sums), np.int32)
-            whole = np.isin(found, (REPEATED, STANDS))
+            repeated[w.order[w.cuts[c] : w.cuts[c + 1]]] = np.unpackbits(np.frombuffer(data, np.uint8), count=w.cuts[c + 1] - w.cuts[c]).astype(bool)
+        sizes, kept, spans, at = [], [], [], 0
+        for (b, first, last, _, found), (_, start, _) in zip(parts, opened, strict=True):
+            n = int(b.ends[-1])
+            starts = np.zeros(n + 1, np.int32)
+            whole = (found == REPEATED) | (found == STANDS)
             starts[ragged_index(first[whole], (last - first + 1)[whole])] = 1
-            starts[start[repeated[np.searchsorted(prints, own)]]] = 1
+            starts[start[repeated[w.which[at : at + len(start)]]]] = 1
+            at += len(start)
             sums = np.cumsum(starts)[:-1]
             sums[length:] -= sums[:-length].copy() if len(sums) > length else sums[:0]
             covered = sums > 0
@@ -270,8 +396,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, words: b
         return pa.table([*out, *([table.column("rest")] if others else [])], names=["doc_id", "n_bytes", "kept", "spans", *(["rest"] if others else [])])
 
     answers = "block int, column int, found binary"
-    anchors = written(blocks.groupBy("block").applyInArrow(deal, "column int, block int, suffix binary, stretch binary").groupBy("column").applyInArrow(index, answers), "anchors")
-    windows = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(deal_windows, "column int, block int, prints binary, twice binary")
+    anchors = written(blocks.groupBy("block").applyInArrow(deal, "column int, block int, keys binary, twice binary").groupBy("column").applyInArrow(index, answers), "anchors")
+    windows = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(deal_windows, "column int, block int, groups binary, prints binary, twice binary")
     counted = windows.groupBy("column").applyInArrow(count_windows, f"{answers}, round int")
     both = anchors.withColumn("round", F.lit(0)).unionByName(counted)
     schema = T.StructType(
