@@ -40,6 +40,12 @@ def repeated(docs):
     return docs.unionByName(docs.filter("doc_id in (0, 12)"))
 
 
+def doubling(n):
+    """Two letters as a doubling sequence, and its complement: their polynomial hashes modulo a power of two are equal for any base."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 # 1 fingerprints
 
 
@@ -298,16 +304,40 @@ def test_repeats_of_words_equal_brute_force(docs, known, length, gram):
         assert rows[k].n_bytes - sum(s.stop - s.start for s in rows[k].spans) == len(rows[k].kept)
 
 
-def test_family_levels_hold_powers_of_two():
-    family, rng = suffix_dedup.Family(), np.random.default_rng(1)
-    batches = [rng.integers(0, 500, 200).astype(np.uint64) for _ in range(7)]
-    for b in batches:
-        family.add(b, b % np.uint64(50))
-    assert [x is not None for x in family.levels] == [True, True, True]
-    family.close()
-    count = Counter(int(x) for b in batches for x in b)
-    assert dict(zip(family.stretch.tolist(), family.n.tolist(), strict=True)) == count
-    assert all((family.scan(b) != suffix_dedup.NOTHING)[[count[int(x)] > 1 for x in b]].all() for b in batches)
+def keys_of(rng, n):
+    """Keys of two bytes of suffix and one of stretch, as digests go."""
+    return np.array([bytes([97 + int(a), 97 + int(b)]) + bytes([98 + int(c)]) * suffix_dedup.DIGEST for a, b, c in rng.integers(0, (6, 6, 3), (n, 3))], f"S{2 + suffix_dedup.DIGEST}")
+
+
+def test_batches_are_scanned_against_the_levels_that_are_there():
+    rng = np.random.default_rng(1)
+    for n in (3, 30, 90):
+        family, batches = suffix_dedup.Family(2), [np.unique(keys_of(rng, n)) for _ in range(7)]
+        for b in batches:
+            family.add(b, np.zeros(len(b), bool))
+        assert [x is not None for x in family.levels] == [True, True, True]
+        assert all((x[0][1:] > x[0][:-1]).all() for x in family.levels)
+        every = [k for b in batches for k in b.tolist()]
+        count, stretches, seen = Counter(every), {}, set()
+        for k in every:
+            stretches.setdefault(k[:2], set()).add(k)
+        for k, found in zip(every, family.found().tolist(), strict=True):
+            mixed = len(stretches[k[:2]]) > 1
+            first, seen = k not in seen, seen | {k}
+            assert found == (suffix_dedup.REPEATED if not first or (count[k] > 1 and not mixed) else suffix_dedup.STANDS if count[k] > 1 else suffix_dedup.OPEN if mixed else suffix_dedup.NOTHING)
+
+
+def test_strings_of_one_polynomial_hash_are_told_apart(spark):
+    a, b = doubling(256)
+    rows = []
+    for seed in range(40):
+        rng = random.Random(seed)
+        left, right = ("".join(rng.choices("cdefgh", k=390)) for _ in range(2))
+        rows += [left + a + right, left[::-1] + b + right[::-1]]
+    rows += [doubling(600)[0], doubling(600)[1].upper()]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute.without_repeats(rows, 400)))
 
 
 # 8 packing
@@ -375,6 +405,31 @@ def test_links_at_exactly_the_bound_and_among_near_copies(spark):
     assert got[3][1] == 0
 
 
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    rows = [*doubling(512), *doubling(1024), *doubling(2048)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
+    assert got == {i * 3: i * 3 for i in range(len(rows))}
+
+
+def test_sets_that_share_a_passage_meet_only_where_sizes_allow(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(120))
+    # of each pair the shared passage is less than the bound, but for the pairs of equal own parts
+    own = [" ".join(f"o{i}x{k}" for k in range(rng.randint(12, 40))) for i in range(12)]
+    rows = [f"{passage} {own[i % 12]}" + (f" {own[(i + 1) % 12]}" if i > 23 else "") + f" e{i}" for i in range(36)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
+    assert got == brute.components((i * 3, t) for i, t in enumerate(rows))
+
+
+def test_rows_of_one_id_and_rows_of_none(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(5, a), (5, b), (9, a + " x"), (4, b + " y"), (5, a), (None, a), (None, "lone words here"), (None, None), (None, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == {(5, 56, 5): 2, (5, 56, 4): 1, (9, 57, 5): 1, (4, 57, 4): 1, (None, 56, 5): 1, (None, 1, None): 1, (None, 0, None): 2}
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(df).collect())
+    assert kept[4, b + " y"] == kept[5, a] == kept[None, "lone words here"] == 1 and kept[9, a + " x"] == 0
+
+
 # 10 byte-level BPE
 
 

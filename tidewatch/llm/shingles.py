@@ -2,46 +2,29 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
-from .common import mix64, offsets_of, worker_cache
+from .common import mix64, offsets_of
 
 BYTES_AT_ONCE = 1_000_000
 _rng = np.random.default_rng(20240131)
-BYTE_CODE = _rng.integers(0, 2**64, 256, np.uint64)
-BASE = np.uint64(int(_rng.integers(0, 2**62)) * 2 + 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 STEP = _rng.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """The first n powers of base; a worker keeps those that ordinary buffers need."""
-    kept = worker_cache("powers")
-    if len(kept.get(int(base), ())) < n:
-        out = np.full(max(n, 2 * BYTES_AT_ONCE), base, np.uint64)
-        out[0] = 1
-        out = np.multiply.accumulate(out)
-        if n > 2 * BYTES_AT_ONCE:
-            return out
-        kept[int(base)] = out
-    return kept[int(base)][:n]
 
+def _hashes(words: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of all shingles of texts that come as lists of words; each distinct word is hashed once, from its bytes."""
+    from xxhash import xxh3_64_intdigest
 
-def _hashes(data: bytes, doc_starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of all shingles of texts that are joined with a space between them."""
-    raw = np.frombuffer(data, np.uint8)
-    space = SPACE[raw]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(first):
+    distinct = dict.fromkeys(chain.from_iterable(words))
+    if not distinct:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[raw] * powers(BASE, len(raw)), out=sums[1:])
-    words = mix64((sums[last] - sums[first]) * powers(INVERSE, len(raw))[first])
-    doc = np.searchsorted(doc_starts, first, side="right") - 1
-    n = np.bincount(doc, minlength=len(doc_starts))
+    codes = np.fromiter(map(xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    for i, w in enumerate(distinct):
+        distinct[w] = i
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    codes = codes[np.fromiter(map(distinct.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))]
     start = offsets_of(n)[:-1]
     size = np.minimum(n, width)
     owners = np.repeat(np.arange(len(n)), np.where(n > 0, n - size + 1, 0))
@@ -49,21 +32,22 @@ def _hashes(data: bytes, doc_starts: np.ndarray, width: int) -> tuple[np.ndarray
     total = np.zeros(len(owners), np.uint64)
     for k in range(width):
         inside = k < size[owners]
-        total[inside] += words[at[inside] + k] * STEP[k]
+        total[inside] += codes[at[inside] + k] * STEP[k]
     return owners, mix64(total ^ size[owners].astype(np.uint64))
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     """Per text the sorted distinct 64-bit hashes of its shingles: words parted by the six ASCII white-space
-    characters, A-Z in lower case, `width` in a row, or all of them where there are fewer."""
+    characters (which are what bytes.split() parts at), A-Z in lower case, `width` in a row, or all of them where there are fewer."""
     out: list[np.ndarray] = []
-    pending: list[bytes] = []
+    pending: list[list[bytes]] = []
     size = 0
     for i, text in enumerate(texts):
-        pending.append((text or "").encode().lower())
-        size += len(pending[-1]) + 1
+        raw = (text or "").encode().lower()
+        pending.append(raw.split())
+        size += len(raw) + 1
         if size >= BYTES_AT_ONCE or i == len(texts) - 1:
-            owners, hashes = _hashes(b" ".join(pending), offsets_of(np.array([len(p) + 1 for p in pending]))[:-1], width)
+            owners, hashes = _hashes(pending, width)
             cuts = np.searchsorted(owners, np.arange(len(pending) + 1))
             out += [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             pending, size = [], 0
