@@ -156,7 +156,6 @@ def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     lens, trans = np.array([4, 0, 1, 3]), rng.normal(size=(2, 2))
     e = rng.normal(size=lens.sum())
-    p, pairs = toxicity.marginals(e, lens, trans)
     at, expected, moves = 0, [], np.zeros((2, 2))
     for n in lens:
         total, one, m = 0.0, np.zeros(n), np.zeros((2, 2))
@@ -171,7 +170,9 @@ def test_marginals_equal_enumeration():
             expected += list(one / total)
             moves += m / total
         at += n
-    assert p == pytest.approx(np.array(expected)) and pairs == pytest.approx(moves)
+    for stretch in (1, 2, 3, 128):
+        p, pairs = toxicity.marginals(e, lens, trans, stretch)
+        assert p == pytest.approx(np.array(expected)) and pairs == pytest.approx(moves)
 
 
 def test_toxicity_on_held_out_texts(spark):
@@ -199,6 +200,41 @@ def test_toxicity_on_held_out_texts(spark):
     assert {r.score for r in toxicity.toxicity_scores(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()} == {0.0}
 
 
+def test_words_that_are_toxic_only_next_to_each_other(spark):
+    rng = random.Random(6)
+    plain = [f"w{i}" for i in range(300)] + ["clever", "sod"]
+    rows, labels = [], []
+    for i in range(600):
+        w = rng.choices(plain, k=rng.randint(30, 60))
+        for _ in range(2):
+            w[rng.randrange(len(w))] = rng.choice(["clever", "sod"])
+        # no word tells the classes apart: each has both words, only toxic texts have them side by side
+        w = [x for k, x in enumerate(w) if not (k and w[k - 1] == "clever" and x == "sod")]
+        if i % 3 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = ["Clever", "sod!"]
+        else:
+            w += ["Clever", "w1", "sod!"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    # one very long training text, early in the order, costs no other text its place
+    rows += [(5000 + k, " ".join(rng.choices(plain[:300], k=300_000))) for k in range(2)]
+    labels += [(5000 + k, 0) for k in range(2)]
+    found = toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    truth, text = dict(labels), dict(rows)
+    held = [r for r in found if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
+    assert any("Clever sod!" in text[r.doc_id][max(0, s.start - 10) : s.stop] for r in held for s in r.spans)
+
+
+def test_toxic_rows_go_and_others_stay_whole(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join([*rng.choices([f"word{k}" for k in range(200)], k=40), *(["vile", "rotten"] if i % 4 == 0 else [])]), f"s{i}", i, "x") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, predicted string")
+    left = toxicity.drop_toxic(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    assert left.columns == docs.columns and {tuple(r) for r in left.collect()} == {r for r in rows if r[0] % 4}
+
+
 # 5 preference
 
 
