@@ -93,6 +93,15 @@ def test_overlapping_repeats_of_one_line(spark):
     assert {r.doc_id: r.text for r in line_dedup.drop_repeated_runs(df).collect()} == {1: "a", 2: "", 3: "x\ny"}
 
 
+def test_line_runs_of_rows_without_id_and_of_chance_neighbours(spark):
+    rng = random.Random(13)
+    rows = [(k, "\n".join(rng.choices("abcdef", k=rng.randint(0, 14)))) for k in range(120)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.without_repeated_lines(rows)
+    df = spark.createDataFrame([(None, "p\nq\nr\ns"), (None, "x\np\nq\nr"), (3, "q\nr\ns")], "doc_id long, text string")
+    assert Counter(r.text for r in line_dedup.drop_repeated_runs(df).collect()) == {"p\nq\nr\ns": 1, "x": 1, "": 1} or Counter(r.text for r in line_dedup.drop_repeated_runs(df).collect()) == {"x\np\nq\nr": 1, "s": 1, "": 1}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, name):
     same(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])

@@ -84,7 +84,8 @@ def in_order(keys: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, k: int = 256, width: int = 5, edited_part: int = 4) -> DataFrame:
     """doc_id, n_chars, edited_text, the sketches of both texts, near_edited and near_next."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    # a document is known by its id and a hash of its text
+    rows = rows.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text"))).alias("key"), "doc_id", "text")
     order = in_order(rows.select("doc_id", "key", F.char_length("text").cast("long").alias("n_chars")))
 
     # both joins take the same columns, so that texts are shuffled once; ids come from the order
