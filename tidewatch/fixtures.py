@@ -44,7 +44,7 @@ from {events} join {nation} on user_id % 25 = n_nationkey""",
  from {orders} group by 1, 2""",
     "fx_landing": """select concat('cable', c_custkey % 60) as cable_id, n_name as country,
  cast(1 + count(*) % 9 as double) / 10 as capacity_share, count(*) % 2 = 0 as redundant
- from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey where c_custkey % 7 < 2
+ from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
  group by 1, 2""",
     "fx_page": """select page_id, url, html, concat('<meta property="og:image" content="http://img.example/', page_id, '.png">') as head from {pages}""",
     "fx_box": """select cast(seq as int) as seq, country, cast(min_lat as double) as min_lat, cast(max_lat as double) as max_lat,

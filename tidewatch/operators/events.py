@@ -75,6 +75,27 @@ def with_source_count(events: DataFrame, links: DataFrame) -> DataFrame:
     return events.join(counts, "id", "left").withColumn("source_count", F.coalesce("source_count", F.lit(0)).cast("long"))
 
 
+def relative_start(as_of: str, hours: int, minutes: int = 5) -> Column:
+    """The start of a range that ends at as_of, brought down to whole steps of some minutes."""
+    return F.timestamp_seconds(F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - hours * 3600) / (60 * minutes)) * (60 * minutes)).cast("timestamp_ntz")
+
+
+def source_page(sources: DataFrame, limit: int = 200, offset: int = 0) -> DataFrame:
+    """The latest sources, 200 at most."""
+    return sources.orderBy(F.desc("created_at"), "source_id").offset(offset).limit(min(limit, 200))
+
+
+def last_of(df: DataFrame, at: str, n: int, key: str = "id") -> DataFrame:
+    """The n latest rows."""
+    return df.orderBy(F.desc(at), F.desc(key)).limit(n)
+
+
+def ranked(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """The n rows of the highest value with their rank; the smaller key goes first."""
+    top = df.orderBy(F.desc(by), key).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), key)).cast("long"))
+
+
 def event_page(events: DataFrame, limit: int = 4000, offset: int = 0) -> DataFrame:
     """The latest events, 5000 at most."""
     return events.orderBy(F.desc("occurred_at"), "id").offset(offset).limit(min(limit, 5000))

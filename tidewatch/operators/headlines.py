@@ -19,6 +19,12 @@ def distinct_headlines(headlines: DataFrame) -> DataFrame:
     return headlines.dropDuplicates(["source", "link", "title", "published_at"])
 
 
+def distinct_of_spike(headlines: DataFrame) -> DataFrame:
+    """Of headlines of one source and title, in any case, the first by id."""
+    first = Window.partitionBy(F.lower(F.concat_ws("|", "source", "title"))).orderBy("id")
+    return headlines.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+
+
 def trending_terms(headlines: DataFrame, as_of: str, min_count: int = 5, multiplier: float = 3.0, min_sources: int = 2, blocked: tuple[str, ...] = (), exclude_current: bool = False) -> DataFrame:
     """Terms of the last two hours against their daily mean of the last seven days. Terms are counted once a headline."""
     now = F.lit(as_of).cast("timestamp_ntz")
@@ -91,9 +97,17 @@ def cluster_headlines(headlines: DataFrame, stop_words: list[str], threshold: fl
     df = heads.select("head", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     ranked = heads.select("head", "at", "last", "words", F.explode("words").alias("w")).join(df, "w").withColumn("nth", F.row_number().over(Window.partitionBy("head").orderBy("df", "w")))
     prefix = ranked.filter(F.col("nth") <= F.size("words") - F.ceil(F.size("words") * F.lit(threshold)) + 1).select("head", "at", "last", "words", "w")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    earlier = (F.struct("y.at", "y.head") < F.struct("x.at", "x.head")) & (F.col("x.at") - F.col("y.last") <= ttl_hours * 3600)
-    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & earlier).select(F.col("x.head").alias("head"), F.col("y.head").alias("parent"), F.col("y.at").alias("p_at"), jaccard(F.col("x.words"), F.col("y.words")).alias("like"))
+    # a set meets those of the time buckets that its own bucket can reach: buckets are part of the join key, so a common token pairs
+    # headlines of neighbouring hours only; ids alone go through the join, and each pair is scored once
+    ttl = ttl_hours * 3600
+    prefix = prefix.withColumn("size", F.size("words")).select("head", "at", "last", "size", "w")
+    x = prefix.withColumn("bucket", F.floor(F.col("at") / ttl)).alias("x")
+    y = prefix.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at") / ttl), F.floor(F.col("last") / ttl) + 1))).alias("y")
+    earlier = (F.struct("y.at", "y.head") < F.struct("x.at", "x.head")) & (F.col("x.at") - F.col("y.last") <= ttl)
+    sizes = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9
+    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.bucket") == F.col("y.bucket")) & earlier & sizes).select(F.col("x.head").alias("head"), F.col("y.head").alias("parent"), F.col("y.at").alias("p_at")).distinct()
+    mine, theirs = heads.select("head", F.col("words").alias("x_words")), heads.select(F.col("head").alias("parent"), F.col("words").alias("y_words"))
+    pairs = pairs.join(mine, "head").join(theirs, "parent").withColumn("like", jaccard(F.col("x_words"), F.col("y_words")))
     best = pairs.filter(F.col("like") >= threshold).groupBy("head").agg(F.max_by("parent", F.struct("like", -F.col("p_at"), -F.col("parent"))).alias("root"))
     roots = heads.select("head").join(best, "head", "left").select("head", F.coalesce("root", "head").alias("root"))
     while True:
@@ -126,11 +140,12 @@ def hotspot_matches(headlines: DataFrame, words: DataFrame, hotspots: DataFrame)
 
 
 def entity_mentions(mentions: DataFrame, headlines: DataFrame) -> DataFrame:
-    """Per entity its headlines, sources and first three titles."""
-    joined = mentions.join(headlines, "id")
-    ranked = joined.withColumn("nth", F.row_number().over(Window.partitionBy("entity").orderBy("id")))
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= 3, F.struct("nth", "title")))), lambda t: t["title"]), " | ")
-    return ranked.groupBy("entity").agg(F.count("*").alias("articles"), F.countDistinct("source").alias("sources"), first.alias("titles"))
+    """Per entity its headlines, sources and first three titles; all but three rows of an entity are left before the titles are shuffled."""
+    joined = mentions.join(headlines, "id").select("entity", "id", "source", "title")
+    counts = joined.groupBy("entity").agg(F.count("*").alias("articles"), F.countDistinct("source").alias("sources"))
+    ranked = joined.withColumn("nth", F.row_number().over(Window.partitionBy("entity").orderBy("id"))).filter("nth <= 3")
+    titles = ranked.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "title"))), lambda t: t["title"]), " | ").alias("titles"))
+    return counts.join(titles, "entity")
 
 
 def focal_points(mentions: DataFrame, signals: DataFrame, min_score: float = 5.0) -> DataFrame:

@@ -23,25 +23,39 @@ def with_sequence(edges: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def cascade(edges: DataFrame, sources: DataFrame | None = None, disruption: float = 1.0, depth: int = 3, mode: str = "first_edge_wins", weakest: float = 0.05) -> DataFrame:
-    """(source, node, level, impact) of what a loss of each source reaches in at most depth steps.
+    """(source, node, level, impact, capacity along the chain, severity) of what a loss of each source reaches in at most depth steps.
 
     Each step joins the frontier to the edges. A node is taken at its first edge, in the order of the frontier and of edges,
     even if that is too weak to pass anything on; with mode strongest_edge at its strongest."""
     start = (edges.select("src").distinct() if sources is None else sources.select("src")).select(F.col("src").alias("source"), F.col("src").alias("node"))
-    visited = start.select("source", "node", F.lit(0).alias("level"), F.lit(disruption).alias("impact"), F.lit(0).cast("long").alias("rank"), F.lit(True).alias("passes"))
+    visited = start.select("source", "node", F.lit(0).alias("level"), F.lit(disruption).alias("impact"), F.lit(0).cast("long").alias("rank"), F.lit(True).alias("passes"), F.lit(1.0).alias("capacity"))
     frontier = visited
     for level in range(1, depth + 1):
-        reach = frontier.filter("passes").join(edges, frontier.node == edges.src).select("source", "dst", "rank", "edge_seq", (F.col("strength") * (1 - F.col("redundancy")) * disruption).alias("impact"))
+        reach = frontier.filter("passes").join(edges, frontier.node == edges.src).select("source", "dst", "rank", "edge_seq", (F.col("strength") * (1 - F.col("redundancy")) * disruption).alias("impact"), (F.col("capacity") * F.col("strength") * (1 - F.col("redundancy"))).alias("capacity"))
         new = reach.join(visited.select("source", F.col("node").alias("dst")), ["source", "dst"], "left_anti")
         order = (F.col("rank"), F.col("edge_seq")) if mode == "first_edge_wins" else (F.desc("impact"), F.col("rank"), F.col("edge_seq"))
         first = new.withColumn("nth", F.row_number().over(Window.partitionBy("source", "dst").orderBy(*order))).filter("nth = 1")
         numbered = first.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("rank", "edge_seq")).cast("long"))
-        frontier = written(numbered.select("source", F.col("dst").alias("node"), F.lit(level).alias("level"), "impact", F.col("place").alias("rank"), (F.col("impact") >= weakest).alias("passes")), "frontier")
+        frontier = written(numbered.select("source", F.col("dst").alias("node"), F.lit(level).alias("level"), "impact", F.col("place").alias("rank"), (F.col("impact") >= weakest).alias("passes"), "capacity"), "frontier")
         visited = visited.unionByName(frontier)
-    found = visited.filter("level > 0 and passes").select("source", "node", "level", "impact")
+    found = visited.filter("level > 0 and passes").select("source", "node", "level", "impact", "capacity")
     return found.withColumn("severity", banded(F.col("impact"), [(0.8, "critical"), (0.5, "high"), (0.2, "medium")], "low"))
 
 
+def affected_countries(impacts: DataFrame, edges: DataFrame, landings: DataFrame, countries: DataFrame) -> DataFrame:
+    """Countries that cascades reach, with their lost capacity and rank: of a cable the share it serves, else the strongest direct
+    edge, else the product along the chain; by severity, then capacity. Countries are (country)."""
+    hit = impacts.join(countries.select(F.col("country").alias("node")), "node", "left_semi")
+    served = landings.groupBy(F.col("cable_id").alias("source"), F.col("country").alias("node")).agg(F.max("capacity_share").alias("served"))
+    cables = landings.select(F.col("cable_id").alias("source")).distinct().withColumn("is_cable", F.lit(True))
+    direct = edges.groupBy(F.col("src").alias("source"), F.col("dst").alias("node")).agg(F.max(F.col("strength") * (1 - F.col("redundancy"))).alias("direct"))
+    known = hit.join(served, ["source", "node"], "left").join(direct, ["source", "node"], "left").join(cables, "source", "left")
+    lost = F.when(F.col("is_cable"), F.coalesce("served", F.lit(0.0))).otherwise(F.coalesce("direct", "capacity"))
+    level = F.array_position(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), F.col("severity"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(level, F.desc("lost"), "node"))
+    return known.withColumn("lost", lost).withColumn("rank", rank.cast("long")).select("source", F.col("node").alias("country"), "severity", "lost", "rank")
+
+
 def graph_stats(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().agg(F.count("*").alias("nodes"))
     return edges.groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets")).join(F.broadcast(nodes))

@@ -76,22 +76,41 @@ def corroborate(a: DataFrame, b: DataFrame, hours: int, radius_km: float) -> Dat
 
 
 def box_country(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """The country of the first box that holds each point; points in none are dropped. Boxes are a fixed list, so a broadcast range join."""
-    box = F.broadcast(boxes.withColumnRenamed("country", "box_country"))
-    inside = F.col(lat).between(F.col("min_lat"), F.col("max_lat")) & F.col(lon).between(F.col("min_lon"), F.col("max_lon"))
-    return points.join(box, inside).groupBy(*points.columns).agg(F.min_by("box_country", "seq").alias("box_country"))
-
-
-def location_name(points: DataFrame, hotspots: DataFrame, boxes: DataFrame, radius_km: float = 150.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """The name of the nearest hotspot within the radius, else the first box, else the coordinates."""
-    sites = F.broadcast(hotspots.select(F.col("name").alias("site"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")))
-    km = haversine_km(F.col(lat), F.col(lon), F.col("s_lat"), F.col("s_lon"))
-    near = points.join(sites).withColumn("_km", km).groupBy(*points.columns).agg(F.min_by("site", F.when(F.col("_km") < radius_km, F.col("_km"))).alias("site"), F.min("_km").alias("_km"))
-    named = near.withColumn("site", F.when(F.col("_km") < radius_km, F.col("site"))).drop("_km")
-    box = box_country(points, boxes, lat, lon)
-    found = named.join(box, list(points.columns), "left")
-    plain = F.concat(F.format_string("%.1f", F.floor(F.col(lat) * 10 + 0.5) / 10), F.lit("°, "), F.format_string("%.1f", F.floor(F.col(lon) * 10 + 0.5) / 10), F.lit("°"))
-    return found.select(*points.columns, F.coalesce("site", "box_country", plain).alias("place"))
+    """The country of the first box that holds each point; points in none are dropped. Each row looks through the fixed list of boxes."""
+    return with_list(points, boxes, "_boxes").withColumn("box_country", first_box(F.col(lat), F.col(lon))).drop("_boxes").filter(F.col("box_country").isNotNull())
+
+
+def with_list(df: DataFrame, fixed: DataFrame, name: str) -> DataFrame:
+    """df with a fixed list (boxes, sites: some hundred rows) as an array in each row; it is joined as a single row, so nothing is shuffled."""
+    return df.join(F.broadcast(fixed.agg(F.sort_array(F.collect_list(F.struct("*"))).alias(name))))
+
+
+def first_box(lat: Column, lon: Column) -> Column:
+    inside = F.filter("_boxes", lambda b: lat.between(b["min_lat"], b["max_lat"]) & lon.between(b["min_lon"], b["max_lon"]))
+    return F.array_min(F.transform(inside, lambda b: F.struct(b["seq"], b["country"])))["country"]
+
+
+def first_within(sites: str, lat: Column, lon: Column, km: float) -> Column:
+    """The name of the first site of the list, by seq, that is nearer."""
+    near = F.filter(sites, lambda s: haversine_km(lat, lon, s["lat"], s["lon"]) < km)
+    return F.array_min(F.transform(near, lambda s: F.struct(s["seq"], s["name"])))["name"]
+
+
+def location_name(points: DataFrame, hotspots: DataFrame, boxes: DataFrame, radius_km: float = 150.0, lat: str = "lat", lon: str = "lon", zones: DataFrame | None = None, waterways: DataFrame | None = None) -> DataFrame:
+    """The first zone within 300 km, else the first waterway within 200 km (both (seq, name, lat, lon), by seq), else the
+    nearest hotspot within the radius, else the first box, else the coordinates. Lists are fixed, so each row looks through them."""
+    y, x = F.col(lat), F.col(lon)
+    choices = []
+    found = points
+    for name, sites, km in (("_zones", zones, 300.0), ("_waterways", waterways, 200.0)):
+        if sites is not None:
+            found = with_list(found, sites.select("seq", "name", "lat", "lon"), name)
+            choices.append(first_within(name, y, x, km))
+    found = with_list(with_list(found, hotspots.select("name", "lat", "lon"), "_sites"), boxes, "_boxes")
+    near = F.array_min(F.transform("_sites", lambda s: F.struct(haversine_km(y, x, s["lat"], s["lon"]).alias("km"), s["name"].alias("name"))))
+    plain = F.concat(F.format_string("%.1f", F.floor(y * 10 + 0.5) / 10), F.lit("°, "), F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10), F.lit("°"))
+    place = F.coalesce(*choices, F.when(near["km"] < radius_km, near["name"]), first_box(y, x), plain)
+    return found.withColumn("place", place).select(*points.columns, "place")
 
 
 def objects_near(hotspots: DataFrame, fixes: DataFrame, radius_km: float = 200.0) -> DataFrame:

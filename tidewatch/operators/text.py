@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import AFTER, BEFORE, clamp, contains_any, half_up, quoted
+from ..functions.columns import AFTER, BEFORE, clamp, contains_any, domain_of, half_up, quoted
 
 
 def weight_of(text: Column, keywords: list[tuple[str, int]]) -> Column:
@@ -36,16 +36,27 @@ def classify_events(df: DataFrame, text: str, keywords: list[tuple[str, str, int
     )
 
 
-def classify_threat(text: Column, threats: list[tuple[str, str, str]], exclusions: list[str], confidence: dict[str, float]) -> Column:
-    """Level, category and confidence by the first keyword in order; excluded texts are info."""
+def classify_threat(text: Column, threats: list[tuple[str, str, str]], exclusions: list[str], confidence: dict[str, float], bounds: dict[str, str] | None = None, actions: tuple[str, ...] = (), targets: tuple[str, ...] = (), escalated: float = 0.85) -> Column:
+    """Level, category and confidence by the first keyword in order; excluded texts are info.
+
+    A keyword matches anywhere, or as bounds has it: as a whole word (word), where no word goes on behind it (trailing) or
+    where none comes before it (leading). A high military or conflict match with an action and a target is critical."""
     low = F.lower(text)
+    around = {"word": (BEFORE, AFTER), "trailing": ("", "(?![A-Za-z0-9_-])"), "leading": (BEFORE, "")}
+
+    def holds(words: tuple[str, ...]) -> Column:
+        return low.rlike(f"{BEFORE}(?:{quoted(list(words))}){AFTER}") if words else F.lit(False)
 
-    def made(level: str, category: str) -> Column:
-        return F.struct(F.lit(level).alias("level"), F.lit(category).alias("category"), F.lit(confidence[level]).alias("confidence"))
+    def made(level: str, category: str, sure: float | None = None) -> Column:
+        return F.struct(F.lit(level).alias("level"), F.lit(category).alias("category"), F.lit(confidence[level] if sure is None else sure).alias("confidence"))
 
     out = F.when(contains_any(text, exclusions), made("info", "general"))
     for level, word, category in threats:
-        out = out.when(low.rlike(BEFORE + quoted([word])), made(level, category))
+        before, after = around.get((bounds or {}).get(word, ""), ("", ""))
+        hit = low.rlike(before + quoted([word]) + after)
+        if level == "high" and category in ("military", "conflict") and actions and targets:
+            out = out.when(hit & holds(actions) & holds(targets), made("critical", category, escalated))
+        out = out.when(hit, made(level, category))
     return out.otherwise(made("info", "general"))
 
 
@@ -80,6 +91,16 @@ def looked_up(df: DataFrame, on: Column, dictionary: DataFrame, name: str, value
     return df.join(table, on == F.col("_name"), "left").withColumn(value, F.coalesce("_value", F.lit(default))).drop("_name", "_value")
 
 
+def source_tiers(df: DataFrame, name: Column, url: Column, tiers: DataFrame, default: int = 4) -> DataFrame:
+    """source_tier by the source's name in lower case, else by the host of its address without www., else the default. Tiers are
+    (name, tier), a list of feeds; of equal names the last by seq counts. Broadcasts the list."""
+    known = tiers.groupBy(F.lower("name").alias("_name")).agg(F.max_by("tier", "seq").alias("_tier"))
+    by_name = F.broadcast(known.select(F.col("_name").alias("_n"), F.col("_tier").alias("_nt")))
+    by_host = F.broadcast(known.select(F.col("_name").alias("_h"), F.col("_tier").alias("_ht")))
+    found = df.join(by_name, F.lower(name) == F.col("_n"), "left").join(by_host, domain_of(url) == F.col("_h"), "left")
+    return found.withColumn("source_tier", F.coalesce("_nt", "_ht", F.lit(default))).drop("_n", "_nt", "_h", "_ht")
+
+
 def domain_reliability(domain: Column, scores: list[tuple[str, int]], default: int = 58) -> Column:
     """The score of the first entry that the domain contains."""
     out = None

@@ -311,7 +311,7 @@ THREAT_SQL = ", ".join(map(sql_threat, ("level", "category", "confidence")))
 
 
 def threats_of(headlines: DataFrame) -> DataFrame:
-    return headlines.withColumn("threat", tx.classify_threat(F.col("title"), d.THREATS, d.EXCLUSIONS, d.THREAT_CONFIDENCE)).select(*headlines.columns, "threat.*")
+    return headlines.withColumn("threat", tx.classify_threat(F.col("title"), d.THREATS, d.EXCLUSIONS, d.THREAT_CONFIDENCE, {w: "leading" for _, w, _ in d.THREATS})).select(*headlines.columns, "threat.*")
 
 
 @query("fx_headline", f"select id, {THREAT_SQL} from fx_headline")
@@ -611,7 +611,7 @@ def static_enrichment(fixes):
     return sc.static_as_of(fixes.filter("fix_id % 10 <> 1"), static, ["heading"]).select("fix_id", "heading")
 
 
-@query("fx_fix")
+@query("fx_fix", "with b as (select object_id, max([floor(epoch(updated_at)), fix_id]) filter (where fix_id % 3 = 0) as p, max([floor(epoch(updated_at)), fix_id]) as l from fx_fix group by 1) select object_id, cast(case when p is not null and l[1] - p[1] < 30 then p[2] else l[2] end as bigint) as fix_id from b")
 def guarded_track(fixes):
     return sc.guarded_latest(fixes.withColumn("source", F.when(F.col("fix_id") % 3 == 0, "primary").otherwise("secondary")), "primary").select("object_id", "fix_id")
 
@@ -636,11 +636,128 @@ def graph_stats(landings):
     return nw.graph_stats(graph(landings))
 
 
-@query("fx_landing")
+IMPACT = "case when impact >= 0.8 then 'critical' when impact >= 0.5 then 'high' when impact >= 0.2 then 'medium' else 'low' end"
+
+
+# each cable reaches its countries in one step, first by the edge that serves them
+@query("fx_landing", f"with i as (select cable_id as source, country as node, 1 as level, capacity_share * (1 - case when redundant then 0.5 else 0.0 end) as impact from fx_landing) select *, {IMPACT} as severity from i where impact >= 0.05")
 def cascade(landings):
-    return nw.cascade(graph(landings))
+    return nw.cascade(graph(landings)).drop("capacity")
+
+
+@query("fx_landing", f"with i as (select cable_id as source, country, capacity_share as lost, capacity_share * (1 - case when redundant then 0.5 else 0.0 end) as impact from fx_landing), s as (select *, {IMPACT} as severity from i where impact >= 0.05) select source, country, severity, lost, row_number() over (partition by source order by list_position(['critical', 'high', 'medium', 'low'], severity), lost desc, country) as rank from s")
+def affected_countries(landings):
+    edges = graph(landings)
+    return nw.affected_countries(nw.cascade(edges), edges, landings, landings.select("country").distinct())
 
 
 @query("fx_landing", "with p as (select a.cable_id, b.cable_id as other_id, count(*) as shared, avg(b.capacity_share) as mean_share from fx_landing a join fx_landing b on a.country = b.country and a.cable_id <> b.cable_id group by 1, 2), r as (select *, row_number() over (partition by cable_id order by shared desc, round(mean_share, 9) desc, other_id) as rank from p) select cable_id, other_id, shared, round(mean_share, 4) as mean_share, rank from r where rank <= 5")
 def cable_alternatives(landings):
     return nw.cable_alternatives(landings).withColumn("mean_share", F.round("mean_share", 4))
+
+
+# ---- pages, ranks and forms
+
+
+@query("fx_source", "select source_id, name, created_at from fx_source order by created_at desc, source_id limit 200 offset 10")
+def source_page(sources):
+    return ev.source_page(sources, 200, 10).select("source_id", "name", "created_at")
+
+
+@query("fx_event", f"select id, occurred_at from fx_event where occurred_at >= to_timestamp(floor((epoch({NOW} - interval 3 minutes) - 7 * 86400) / 300) * 300)::timestamp")
+def recent_range(events):
+    return events.filter(F.col("occurred_at") >= ev.relative_start("2024-01-30 23:57:00", 7 * 24)).select("id", "occurred_at")
+
+
+@query("fx_headline", "select min(id) as id, lower(concat(source, '|', title)) as spike_key from fx_headline group by 2")
+def spike_headlines(headlines):
+    return hl.distinct_of_spike(headlines.unionByName(headlines)).select("id", F.lower(F.concat_ws("|", "source", "title")).alias("spike_key"))
+
+
+@query("fx_headline", ORACLE_SQL["importance_rank"][len(with_views("fx_headline")) + 2 :].replace("select * from s where score >= 40", "select *, row_number() over (order by score desc, id) as rank from s where score >= 40 order by score desc, id limit 50").replace("g as (select", "with g as (select", 1))
+def importance_ranks(headlines):
+    return ev.ranked(importance_rank(headlines), "score", "id", 50)
+
+
+@query("fx_headline", GEOCODE.replace("select id, name as place", "select id, importance, name as place") + " select id, place, case when importance >= 2 then 'approximate' else 'area' end as precision from hits where nth = 1")
+def geocode_precision(headlines):
+    named = dimension(headlines, [(name, importance) for name, _, _, _, importance, _ in d.GAZETTEER], "place string, importance int")
+    return geocode(headlines).join(F.broadcast(named), "place").select("id", "place", c.precision_of(F.col("importance")).alias("precision"))
+
+
+@query("fx_event", "select id, occurred_at from fx_event where event_type = 'missile' order by occurred_at desc, id desc limit 50")
+def last_alerts(events):
+    return ev.last_of(events.filter("event_type = 'missile'"), "occurred_at", 50).select("id", "occurred_at")
+
+
+@query("fx_event", "select country, total, row_number() over (order by total desc, country) as rank from (select country, count(*) as total from fx_event group by 1) order by total desc, country limit 5")
+def top_countries(events):
+    return ev.ranked(ev.event_stats(events, "country").select("country", "total"), "total", "country", 5)
+
+
+WHOLE, TRAILING = ("talks", "troops"), ("airstrike", "protest")
+ACTIONS, TARGETS = ("attack", "strikes", "explosion", "killed"), ("iraq", "beirut", "gaza")
+
+
+def sql_level(what: str) -> str:
+    made = {"level": lambda lv, ct, cf: f"'{lv}'", "category": lambda lv, ct, cf: f"'{ct}'", "confidence": lambda lv, ct, cf: f"cast({cf or d.THREAT_CONFIDENCE[lv]} as double)"}[what]
+    whole, after, low = "(^|[^a-z0-9_])(?:{w})($|[^a-z0-9_])", "{w}($|[^a-z0-9_-])", "lower(title)"
+    rules = ""
+    for lv, w, ct in d.THREATS:
+        hit = f"regexp_matches({low}, '{(whole if w in WHOLE else after if w in TRAILING else '{w}').format(w=w)}')"
+        if lv == "high" and ct in ("military", "conflict"):
+            rules += f" when {hit} and regexp_matches({low}, '{whole.format(w='|'.join(ACTIONS))}') and regexp_matches({low}, '{whole.format(w='|'.join(TARGETS))}') then {made('critical', ct, 0.85)}"
+        rules += f" when {hit} then {made(lv, ct, None)}"
+    return f"case when {sql_any('title', d.EXCLUSIONS)} then {made('info', 'general', None)}{rules} else {made('info', 'general', None)} end as {what}"
+
+
+@query("fx_headline", "select id, " + ", ".join(map(sql_level, ("level", "category", "confidence"))) + " from fx_headline")
+def threat_levels(headlines):
+    bounds = {w: "word" for w in WHOLE} | {w: "trailing" for w in TRAILING}
+    threat = tx.classify_threat(F.col("title"), d.THREATS, d.EXCLUSIONS, d.THREAT_CONFIDENCE, bounds, ACTIONS, TARGETS)
+    return headlines.select("id", threat.alias("threat")).select("id", "threat.*")
+
+
+HOSTS = [("SRC0", 1, 1), ("src1.example.org", 2, 2), ("src2.example.org", 3, 3), ("src2.example.org", 2, 4)]
+
+
+@query("fx_headline", f"with {values(HOSTS, 't', 'name, tier, seq')}, k as (select lower(name) as name, arg_max(tier, seq) as tier from t group by 1) select x.id, coalesce(a.tier, b.tier, 4) as source_tier from fx_headline x left join k a on lower(x.source) = a.name left join k b on split_part(substr(x.link, 8), '/', 1) = b.name")
+def source_tier_host(headlines):
+    return tx.source_tiers(headlines.select("id", "source", "link"), F.col("source"), F.col("link"), dimension(headlines, HOSTS, "name string, tier int, seq int")).select("id", "source_tier")
+
+
+ZONES, WATERWAYS = [(1, "North Zone", 36.0, 44.0), (2, "Gulf Zone", 27.0, 51.0)], [(1, "Long Strait", 20.0, 38.5), (2, "East Passage", 14.0, 60.0)]
+
+
+@query("fx_fix fx_hotspot fx_box", f"""with {values(ZONES, 'zones', 'seq, name, z_lat, z_lon')}, {values(WATERWAYS, 'ways', 'seq, name, w_lat, w_lon')},
+z as (select fix_id, arg_min(name, seq) as zone from fx_fix join zones on {km('lat', 'lon', 'z_lat', 'z_lon')} < 300 group by 1),
+w as (select fix_id, arg_min(name, seq) as way from fx_fix join ways on {km('lat', 'lon', 'w_lat', 'w_lon')} < 200 group by 1),
+near as (select fix_id, arg_min(name, km) as site from (select f.fix_id, h.name, {km('f.lat', 'f.lon', 'h.lat', 'h.lon')} as km from fx_fix f cross join fx_hotspot h) where km < 150 group by 1),
+boxed as (select fix_id, arg_min(country, seq) as country from fx_fix join fx_box on lat between min_lat and max_lat and lon between min_lon and max_lon group by 1)
+select fix_id, coalesce(zone, way, site, country, printf('%.1f°, %.1f°', floor(lat * 10 + 0.5) / 10, floor(lon * 10 + 0.5) / 10)) as place from fx_fix left join z using (fix_id) left join w using (fix_id) left join near using (fix_id) left join boxed using (fix_id)""")
+def location_name_zones(fixes, hotspots, boxes):
+    zones, ways = (dimension(fixes, rows, "seq int, name string, lat double, lon double") for rows in (ZONES, WATERWAYS))
+    return sp.location_name(fixes.select("fix_id", "lat", "lon"), hotspots, boxes, zones=zones, waterways=ways).select("fix_id", "place")
+
+
+STOP = "('" + "', '".join(d.COMMON_WORDS) + "')"
+CLUSTERS = f"""with recursive sets as (select id, cast(epoch(published_at) as bigint) as secs, list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(title), '[^A-Za-z0-9_\\s''-]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 and w not in {STOP}))) as words from fx_headline),
+lagged as (select *, array_to_string(words, ' ') as key, lag(secs) over (partition by array_to_string(words, ' ') order by secs, id) as p_at from sets where len(words) >= 2),
+chained as (select *, sum(case when p_at is null or secs - p_at > 21600 then 1 else 0 end) over (partition by key order by secs, id) as chain from lagged),
+heads as (select key, chain, arg_min(id, secs * 10000000 + id) as head, min(secs) as secs, max(secs) as last, any_value(words) as words from chained group by 1, 2),
+pairs as (select x.head, y.head as parent, y.secs as p_at, len(list_intersect(x.words, y.words)) / len(list_distinct(list_concat(x.words, y.words))) as likeness from heads x join heads y on (y.secs < x.secs or (y.secs = x.secs and y.head < x.head)) and x.secs - y.last <= 21600),
+best as (select head, parent from (select *, row_number() over (partition by head order by likeness desc, p_at, parent) as nth from pairs where likeness >= 0.3) where nth = 1),
+climb as (select head, head as node from heads union all select c.head, b.parent from climb c join best b on b.head = c.node),
+roots as (select head, node as cluster_id from climb where node not in (select head from best)),
+clusters as (select c.id, r.cluster_id from chained c join heads h using (key, chain) join roots r using (head))"""
+
+
+def clusters_sql(rest: str) -> str:
+    head = with_views("fx_headline").replace("with ", "with recursive ", 1)
+    return head + ",\n" + CLUSTERS.removeprefix("with recursive ") + "\n" + rest
+
+
+ORACLE_SQL["headline_clusters"] = clusters_sql("select id, cluster_id from clusters")
+ORACLE_SQL["cluster_summary"] = clusters_sql("""select cluster_id, count(*) as articles, first(title order by tier, published_at desc, id) as title, count(distinct source) as sources, min(tier) as best_tier, min(published_at) as created, max(published_at) as updated
+from clusters join fx_headline using (id) group by 1 having count(*) >= 2""")
+ORACLE_SQL["cluster_stats"] = clusters_sql("select count(*) as clusters, count(*) filter (where n >= 2) as multiple, cast(sum(n) as bigint) as articles from (select cluster_id, count(*) as n from clusters group by 1)")
