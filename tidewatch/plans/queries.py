@@ -651,9 +651,9 @@ def affected_countries(landings):
     return nw.affected_countries(nw.cascade(edges), edges, landings, landings.select("country").distinct())
 
 
-@query("fx_landing", "with p as (select a.cable_id, b.cable_id as other_id, count(*) as shared, avg(b.capacity_share) as mean_share from fx_landing a join fx_landing b on a.country = b.country and a.cable_id <> b.cable_id group by 1, 2), r as (select *, row_number() over (partition by cable_id order by shared desc, round(mean_share, 9) desc, other_id) as rank from p) select cable_id, other_id, shared, round(mean_share, 4) as mean_share, rank from r where rank <= 5")
+@query("fx_landing", "with p as (select a.cable_id, b.cable_id as other_id, count(*) as shared, avg(b.capacity_share) as mean_share from fx_landing a join fx_landing b on a.country = b.country and a.cable_id <> b.cable_id group by 1, 2), r as (select *, row_number() over (partition by cable_id order by shared desc, round(mean_share, 9) desc, other_id) as rank from p) select cable_id, other_id, shared, round(mean_share, 6) as mean_share, rank from r where rank <= 5")
 def cable_alternatives(landings):
-    return nw.cable_alternatives(landings).withColumn("mean_share", F.round("mean_share", 4))
+    return nw.cable_alternatives(landings).withColumn("mean_share", F.round("mean_share", 6))
 
 
 # ---- pages, ranks and forms
