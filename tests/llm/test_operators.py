@@ -118,6 +118,7 @@ def test_quality_counts_and_bands(spark, docs, known):
         covered = {i + j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(3)}
         lines = [x for x in (t or "").split("\n") if brute.words(x)]
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
+        assert r.n_symbols == sum((t or "").count(x) for x in "#*$%&|<>")
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert not (r.base_failed and r.kept)
     assert compression.quality_rules(empty(docs)).count() == 0
@@ -128,6 +129,12 @@ def test_quality_counts_and_bands(spark, docs, known):
     assert sum(held[i * 3] for i in range(60)) >= 58 and not held[180]
 
 
+def test_quality_counts_symbols_and_judges_repeated_rows_alike(spark):
+    rows = [(1, "a # b * $5 % & | < > ## \n\n# #"), (1, "a # b * $5 % & | < > ## \n\n# #"), (None, "x"), (2, None)]
+    got = compression.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_symbols, r.n_words, r.kept) for r in got) == {(1, 12, 13, False): 2, (None, 0, 1, False): 1, (2, 0, 0, False): 1}
+
+
 def noise(rng, n):
     return "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789      ", k=n))
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -70,3 +71,23 @@ def test_short_passages_of_over_fifty_words_go(spark):
     found = {r.doc_id // 3: r.text for r in docs.collect()}
     expected = [own[0] + " " + own[1], own[2] + "\n" + own[3], *rows[2:4], "", "", "", rows[7]]
     assert found == dict(enumerate(expected))
+
+
+def test_stages_take_nulls_empty_and_repeated_rows_and_clashing_columns(spark):
+    rng = random.Random(9)
+    own = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(70)) for _ in range(6)]
+    rows = [None, "", own[0], own[0], own[1] + "\ufffd", own[2] + "\n\n" + own[3], None, own[4]]
+    docs = documents(spark, rows)
+    docs = written(docs.unionByName(docs.filter("doc_id = 12")).withColumns({c: F.lit("clash") for c in ("row", "key", "kept", "spans", "shard", "stays")}), "docs")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = written(stage(spark, docs, SF), "stage")
+        assert docs.columns == columns
+    found = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    # of equal texts the smaller id stays, of equal rows one; nothing else is touched
+    assert found == sorted((i * 3, t or "") for i, t in enumerate(rows) if i != 3)
+    assert all(r.n_chars == len(r.text or "") and r.key == "clash" for r in docs.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(found)
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0

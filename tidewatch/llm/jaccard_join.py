@@ -232,6 +232,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("stays")).agg(F.count("*").alias("copies"))
 
     def those(copies: str) -> DataFrame:
-        return docs.join(stay.filter(copies), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+        those_ids = stay.filter(copies)
+        # columns by their table: docs may have any names
+        return docs.join(those_ids, docs["doc_id"].eqNullSafe(those_ids["stays"]), "left_semi")
 
     return those("copies = 1").unionByName(those("copies > 1").dropDuplicates(["doc_id", "text"]))
