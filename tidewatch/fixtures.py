@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-01-31 00:00:00"
-TABLES = {"fx_event": ("events", "nation"), "fx_source": ("events",), "fx_event_source": ("events",), "fx_headline": ("documents",), "fx_fix": ("events",), "fx_grid": ("orders",), "fx_landing": ("orders", "customer", "nation"), "fx_page": ("pages",)}
+TABLES = {"fx_event": ("events", "nation"), "fx_source": ("events",), "fx_event_source": ("events",), "fx_headline": ("documents",), "fx_fix": ("events",), "fx_grid": ("orders",), "fx_landing": ("orders", "customer", "nation"), "fx_page": ("pages",), "fx_pipeline": ("supplier", "nation"), "fx_port": ("customer", "nation"), "fx_route": ("customer", "nation"), "fx_dependent": ("supplier", "nation")}
 
 VIEWS = {
     "fx_event": """select event_id as id,
@@ -46,6 +46,13 @@ from {events} join {nation} on user_id % 25 = n_nationkey""",
  cast(1 + count(*) % 9 as double) / 10 as capacity_share, count(*) % 2 = 0 as redundant
  from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
  group by 1, 2""",
+    "fx_pipeline": """select distinct concat('pipe', s_suppkey % 50) as pipeline_id, n_name as country from {supplier} join {nation} on s_nationkey = n_nationkey""",
+    "fx_port": """select concat('port', n) as port_id, country, case n % 6 when 0 then 'oil' when 1 then 'lng' when 2 then 'container' when 3 then 'mixed' when 4 then 'naval' else 'ferry' end as kind, cast(1 + n % 30 as int) as rank,
+ cast(12 + n % 30 as double) + 0.5 as p_lat, cast(40 + n % 25 as double) + 0.25 as p_lon
+ from (select c_custkey % 97 as n, min(n_name) as country from {customer} join {nation} on c_nationkey = n_nationkey group by 1) q""",
+    "fx_route": """select concat('port', c_custkey % 97) as port_id, n_name as country, cast(1 + count(*) % 9 as double) / 10 as strength from {customer} join {nation} on c_nationkey = n_nationkey group by 1, 2""",
+    "fx_dependent": """select concat('h', 1 + s_suppkey % 4) as chokepoint_id, n_name as country, cast(1 + count(*) % 9 as double) / 10 as strength, cast(count(*) % 4 as double) / 10 as redundancy
+ from {supplier} join {nation} on s_nationkey = n_nationkey group by 1, 2""",
     "fx_page": """select page_id, url, html, concat('<meta property="og:image" content="http://img.example/', page_id, '.png">') as head from {pages}""",
     "fx_box": """select cast(seq as int) as seq, country, cast(min_lat as double) as min_lat, cast(max_lat as double) as max_lat,
  cast(min_lon as double) as min_lon, cast(max_lon as double) as max_lon from (values

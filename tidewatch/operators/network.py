@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import banded
@@ -16,6 +18,30 @@ def cable_edges(landings: DataFrame) -> DataFrame:
     return serves.unionByName(lands)
 
 
+#: Kinds of edges in the order in which a source's edges are taken.
+EDGE_KINDS = ["serves", "lands_at", "trade_route", "controls_access", "trade_dependency"]
+
+
+def _edges(df: DataFrame, src: str, dst: str, kind: str, strength: Column, redundancy: Column) -> DataFrame:
+    return df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind"), strength.cast("double").alias("strength"), redundancy.cast("double").alias("redundancy"))
+
+
+def dependency_edges(landings: DataFrame, pipelines: DataFrame, ports: DataFrame, routes: DataFrame, access: DataFrame, dependents: DataFrame) -> DataFrame:
+    """All edges, numbered by source: cables as in cable_edges; pipelines (pipeline_id, country) serve countries with 0.2; ports
+    (port_id, country, kind, rank) serve theirs by importance and others by trade routes (port_id, country, strength); chokepoints
+    control access to ports (edges of access_edges) and countries depend on them (chokepoint_id, country, strength, redundancy)."""
+    served = _edges(ports, "port_id", "country", "serves", port_importance(F.col("kind"), F.col("rank")), F.when(F.col("rank") <= 5, 0.2).otherwise(0.4))
+    every = [
+        cable_edges(landings),
+        _edges(pipelines, "pipeline_id", "country", "serves", F.lit(0.2), F.lit(0.3)),
+        served,
+        _edges(routes, "port_id", "country", "trade_route", F.col("strength"), F.lit(0.5)),
+        access,
+        _edges(dependents, "chokepoint_id", "country", "trade_dependency", F.col("strength"), F.col("redundancy")),
+    ]
+    return with_sequence(reduce(DataFrame.unionByName, every), EDGE_KINDS)
+
+
 def with_sequence(edges: DataFrame, kinds: list[str]) -> DataFrame:
     """Numbers the edges of each source in the order of their kind, then target."""
     order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
@@ -44,13 +70,13 @@ def cascade(edges: DataFrame, sources: DataFrame | None = None, disruption: floa
 
 def affected_countries(impacts: DataFrame, edges: DataFrame, landings: DataFrame, countries: DataFrame) -> DataFrame:
     """Countries that cascades reach, with their lost capacity and rank: of a cable the share it serves, else the strongest direct
-    edge, else the product along the chain; by severity, then capacity. Countries are (country)."""
+    edge, else the product along the chain; by severity, then capacity to six places. Countries are (country)."""
     hit = impacts.join(countries.select(F.col("country").alias("node")), "node", "left_semi")
     served = landings.groupBy(F.col("cable_id").alias("source"), F.col("country").alias("node")).agg(F.max("capacity_share").alias("served"))
     cables = landings.select(F.col("cable_id").alias("source")).distinct().withColumn("is_cable", F.lit(True))
     direct = edges.groupBy(F.col("src").alias("source"), F.col("dst").alias("node")).agg(F.max(F.col("strength") * (1 - F.col("redundancy"))).alias("direct"))
     known = hit.join(served, ["source", "node"], "left").join(direct, ["source", "node"], "left").join(cables, "source", "left")
-    lost = F.when(F.col("is_cable"), F.coalesce("served", F.lit(0.0))).otherwise(F.coalesce("direct", "capacity"))
+    lost = F.round(F.when(F.col("is_cable"), F.coalesce("served", F.lit(0.0))).otherwise(F.coalesce("direct", "capacity")), 6)
     level = F.array_position(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), F.col("severity"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy(level, F.desc("lost"), "node"))
     return known.withColumn("lost", lost).withColumn("rank", rank.cast("long")).select("source", F.col("node").alias("country"), "severity", "lost", "rank")

@@ -656,6 +656,46 @@ def cable_alternatives(landings):
     return nw.cable_alternatives(landings).withColumn("mean_share", F.round("mean_share", 6))
 
 
+def whole_graph(landings: DataFrame, pipelines: DataFrame, ports: DataFrame, routes: DataFrame, dependents: DataFrame, hotspots: DataFrame) -> DataFrame:
+    return nw.dependency_edges(landings, pipelines, ports.select("port_id", "country", "kind", "rank"), routes, sp.access_edges(hotspots, ports.select("port_id", "p_lat", "p_lon")), dependents)
+
+
+GRAPH_VIEWS = "fx_landing fx_pipeline fx_port fx_route fx_dependent fx_hotspot"
+WHOLE_GRAPH = f"""{EDGES.replace('edges as', 'cables as', 1)},
+every as (select * from cables union all select pipeline_id, country, 'serves', cast(0.2 as double), cast(0.3 as double) from fx_pipeline
+ union all select port_id, country, 'serves', least(cast(1.0 as double), cast(case kind when 'oil' then 0.9 when 'lng' then 0.85 when 'container' then 0.7 when 'mixed' then 0.6 when 'naval' then 0.4 else 0.5 end as double) + greatest(cast(0 as double), (20 - rank) / cast(20 as double)) * cast(0.3 as double)), cast(case when rank <= 5 then 0.2 else 0.4 end as double) from fx_port
+ union all select port_id, country, 'trade_route', strength, cast(0.5 as double) from fx_route
+ union all select h.id, port_id, 'controls_access', cast(0.7 as double), cast(0.2 as double) from fx_hotspot h, fx_port where {km('h.lat', 'h.lon', 'p_lat', 'p_lon')} <= 500
+ union all select chokepoint_id, country, 'trade_dependency', strength, redundancy from fx_dependent),
+graph as (select *, row_number() over (partition by src order by list_position(['serves', 'lands_at', 'trade_route', 'controls_access', 'trade_dependency'], kind), dst) as edge_seq from every)"""
+
+
+@query(GRAPH_VIEWS, f"with {WHOLE_GRAPH} select src, dst, kind, round(strength, 6) as strength, redundancy, edge_seq from graph")
+def dependency_edges(*tables):
+    return whole_graph(*tables).withColumn("strength", F.round("strength", 6))
+
+
+# only chokepoints reach further than one step: through ports to countries
+CHAINS = """one as (select src as source, dst as node, 1 as level, strength * (1 - redundancy) as impact, strength * (1 - redundancy) as capacity, edge_seq, row_number() over (partition by src, dst order by edge_seq) as nth from graph),
+first as (select * from one where nth = 1),
+ranked as (select *, row_number() over (partition by source order by edge_seq) as rank from first),
+two as (select r.source, g.dst as node, 2 as level, g.strength * (1 - g.redundancy) as impact, r.capacity * g.strength * (1 - g.redundancy) as capacity, row_number() over (partition by r.source, g.dst order by r.rank, g.edge_seq) as nth from ranked r join graph g on g.src = r.node where r.impact >= 0.05 and not exists (select 1 from first f where f.source = r.source and f.node = g.dst) and g.dst <> r.source),
+hit as (select source, node, level, impact, capacity from first where impact >= 0.05 union all select source, node, level, impact, capacity from two where nth = 1 and impact >= 0.05)"""
+
+
+@query(GRAPH_VIEWS, f"with {WHOLE_GRAPH}, {CHAINS} select source, node, level, round(impact, 6) as impact, round(capacity, 6) as capacity, {IMPACT} as severity from hit")
+def dependency_cascade(*tables):
+    return nw.cascade(whole_graph(*tables)).withColumn("impact", F.round("impact", 6)).withColumn("capacity", F.round("capacity", 6))
+
+
+@query(GRAPH_VIEWS, f"""with {WHOLE_GRAPH}, {CHAINS}, direct as (select src as source, dst as node, max(strength * (1 - redundancy)) as direct from graph group by 1, 2), shares as (select cable_id as source, country as node, max(capacity_share) as share from fx_landing group by 1, 2),
+lost as (select source, node as country, {IMPACT} as severity, round(case when source in (select cable_id from fx_landing) then coalesce(share, 0) else coalesce(direct, capacity) end, 6) as lost from hit left join direct using (source, node) left join shares using (source, node) where node in (select country from fx_landing))
+select *, row_number() over (partition by source order by list_position(['critical', 'high', 'medium', 'low'], severity), lost desc, country) as rank from lost""")
+def lost_capacity(landings, *others):
+    edges = whole_graph(landings, *others)
+    return nw.affected_countries(nw.cascade(edges), edges, landings, landings.select("country").distinct())
+
+
 # ---- pages, ranks and forms
 
 
