@@ -58,3 +58,49 @@ def test_cluster_stream_equals_batch_over_what_has_come(spark, tmp_path):
     batch = spark.createDataFrame([r for x in rows for r in x], schema).withColumn("published_at", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000))
     found = {r.id: r.cluster_id for r in spark.read.parquet(f"file://{tmp_path}/o/batch=1").collect()}
     assert found == {r.id: r.cluster_id for r in hl.cluster_headlines(batch, []).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_terms_are_silent_for_the_cooldown(spark, tmp_path):
+    rows = [[(f"s{i}", f"l{n}-{i}", "quake felt", n * 20) for i in range(5)] for n in range(4)]
+    stream = arriving(spark, tmp_path, rows, "source string, link string, title string, minute int").withColumn("published_at", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000))
+    streams.trending_stream(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/o", f"file://{tmp_path}/cp").awaitTermination(180)
+    found = spark.read.parquet(f"file://{tmp_path}/o").filter("term = 'quake'").collect()
+    assert sorted((r.batch, r.recent_count) for r in found) == [(0, 5), (2, 15)]
+
+
+def test_upserts_rewrite_only_touched_buckets(spark, tmp_path):
+    rows = [[(i, f"x-{i}", 50, "drone") for i in range(1, 41)], [(41, "x-1", 40, "missile")]]
+    stream = arriving(spark, tmp_path, rows, "id long, external_id string, confidence_score int, event_type string")
+    table = f"file://{tmp_path}/t"
+    streams.upsert_stream(stream, table, f"file://{tmp_path}/feed", f"file://{tmp_path}/cp", buckets=8).awaitTermination(120)
+    last = {r.external_id: (r.confidence, r.event_type) for r in streams.current_table(spark, table, 1).collect()}
+    assert len(last) == 40 and last["x-1"] == (53, "missile") and last["x-2"] == (50, "drone")
+    assert len(list((tmp_path / "t" / "version=1").glob("bucket=*"))) == 1
+
+
+def test_static_data_is_kept_between_batches(spark, tmp_path):
+    schema = "object_id long, kind string, lat double, lon double, name string, ship_type long, s long"
+    rows = [[(1, "position", 1.0, 1.0, None, None, 1), (1, "static", None, None, "A", 35, 2)], [(1, "static", None, None, "B", None, 4), (1, "position", 2.0, 2.0, None, None, 3), (1, "position", 3.0, 3.0, None, None, 5), (2, "position", 9.0, 9.0, None, None, 5)]]
+    stream = arriving(spark, tmp_path, rows, schema).withColumn("updated_at", F.timestamp_seconds("s"))
+    found = drained(streams.with_static(stream), "static", "append", tmp_path).collect()
+    assert sorted((r.object_id, r.lat, r.name, r.ship_type) for r in found if r.name) == [(1, 2.0, "A", 35), (1, 3.0, "B", 35)]
+    assert sorted((r.object_id, r.lat, r.ship_type) for r in found if not r.name) == [(1, 1.0, None), (2, 9.0, None)]
+
+
+def test_baseline_state_goes_on_between_batches(spark, tmp_path):
+    from tidewatch.operators import scores as sc
+
+    counts = [3, 4] * 15 + [30, 40, 35, 3, 50]
+    rows = [("a", n, h) for h, n in enumerate(counts)]
+    schema = "key string, n long, h long"
+    stream = arriving(spark, tmp_path, [rows[:27], rows[27:]], schema).withColumn("hour", F.timestamp_seconds(F.col("h") * 3600))
+    found = drained(streams.baseline_alerts(stream, "key"), "baseline", "append", tmp_path).collect()
+    batch = sc.baseline_anomalies(spark.createDataFrame(rows, schema).withColumn("hour", F.timestamp_seconds(F.col("h") * 3600).cast("timestamp_ntz")), ["key"]).collect()
+    assert sorted((r.n, round(r.z, 4)) for r in found) == sorted((r.n, r.z) for r in batch) and found
+
+
+def test_an_alert_a_cell_and_day(spark, tmp_path):
+    rows = [(1.5, 1.5, k, 3600 * h) for h, k in ((1, "a"), (2, "b"), (3, "c"), (100, "a"))] + [(7.5, 7.5, "a", 3600)]
+    stream = arriving(spark, tmp_path, [rows], "lat double, lon double, kind string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    found = drained(streams.convergence_alerts(stream), "cells", "append", tmp_path).collect()
+    assert sorted((r.cell, r.day.isoformat()) for r in found) == [("1,1", "1970-01-01"), ("1,1", "1970-01-02")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import feeds, sinks
 from ..storage import shared_dir
 from ..streaming import streams
-from .queries import AS_OF, NOW, query
+from .queries import AS_OF, FOLD, NOW, ORACLE_SQL, TERMS, query
 
 #: Records of one landed file.
 PER_FILE = 500
@@ -219,3 +219,72 @@ def convergence_streamed(events):
 def distinct_headlines_streamed(headlines):
     rows = headlines.select("id", "source", "link", "title", F.col("published_at").cast("timestamp").alias("published_at"))
     return streamed(streams.distinct_headlines(arriving(rows.unionByName(rows)))).select("id", "source", "title")
+
+
+# ---- streams with state
+
+
+def closed_only(table: str) -> str:
+    """Hourly counts whose window ends before the latest time less the delay."""
+    return f"hourly as (select event_type, date_trunc('hour', occurred_at)::timestamp as hour, count(*) as n from {table} where date_trunc('hour', occurred_at) + interval 1 hour <= (select max(occurred_at) from {table}) - interval 1 hour group by 1, 2)"
+
+
+@query("fx_event", ORACLE_SQL["baseline_anomalies"][ORACLE_SQL["baseline_anomalies"].index("hourly as") :].replace(ORACLE_SQL["baseline_anomalies"][ORACLE_SQL["baseline_anomalies"].index("hourly as") : ORACLE_SQL["baseline_anomalies"].index(", t as")], "with " + closed_only("fx_event")))
+def baseline_alerts_streamed(events):
+    rows = events.select("event_type", F.col("occurred_at").cast("timestamp").alias("occurred_at"))
+    hourly = streamed(streams.hourly_events(arriving(rows), "event_type")).select("event_type", F.col("window.start").alias("hour"), "n")
+    found = streamed(streams.baseline_alerts(arriving(hourly), "event_type"))
+    return found.select("event_type", F.timestamp_millis("ms").cast("timestamp_ntz").alias("hour"), "n", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"))
+
+
+ORACLE_SQL["baseline_alerts_streamed"] = ORACLE_SQL["baseline_alerts_streamed"].replace("with ", "with recursive ", 1)
+
+
+# coarse cells, so that small tables have some
+@query("fx_event", "with w as (select date_trunc('hour', occurred_at)::timestamp - to_hours(h) as start, concat(floor(latitude / 6)::bigint, ',', floor(longitude / 6)::bigint) as cell, event_type from fx_event, range(24) as r(h)), g as (select start, cell from w where start + interval 24 hours <= (select max(occurred_at) from fx_event) - interval 24 hours group by 1, 2 having count(distinct event_type) >= 3) select distinct cell, cast(start + interval 24 hours as date) as day from g")
+def convergence_alerts_streamed(events):
+    rows = events.select((F.col("latitude") / 6).alias("lat"), (F.col("longitude") / 6).alias("lon"), F.col("event_type").alias("kind"), F.col("occurred_at").cast("timestamp").alias("ts"))
+    return streamed(streams.convergence_alerts(arriving(rows)))
+
+
+@query("fx_fix", "with s as (select object_id, updated_at, fix_id, fix_id % 7 as ship_type from fx_fix where fix_id % 10 = 1), p as (select object_id, updated_at, lat, lon from fx_fix where fix_id % 10 <> 1) select p.object_id, epoch_us(p.updated_at) as us, p.lat, p.lon, (select arg_max(concat('n', s.ship_type), s.updated_at) from s where s.object_id = p.object_id and s.updated_at <= p.updated_at) as name, (select arg_max(s.ship_type, s.updated_at) from s where s.object_id = p.object_id and s.updated_at <= p.updated_at) as ship_type from p")
+def with_static_streamed(fixes):
+    is_static, value = F.col("fix_id") % 10 == 1, F.col("fix_id") % 7
+    rows = fixes.select(
+        "object_id", F.col("updated_at").cast("timestamp").alias("updated_at"), F.when(is_static, "static").otherwise("position").alias("kind"), F.when(~is_static, F.col("lat")).alias("lat"), F.when(~is_static, F.col("lon")).alias("lon"),
+        F.when(is_static, F.concat(F.lit("n"), value)).alias("name"), F.when(is_static, value).alias("ship_type"),
+    )
+    return streamed(streams.with_static(arriving(rows)))
+
+
+@query("fx_fix", "select object_id, epoch_us(updated_at) // 1000 as ms, lat, lon from (select *, row_number() over (partition by object_id order by updated_at desc, fix_id) as nth from fx_fix) where nth = 1")
+def latest_positions_streamed(fixes):
+    rows = fixes.select("object_id", "lat", "lon", F.col("updated_at").cast("timestamp").alias("updated_at"))
+    spark = fixes.sparkSession
+    out = shared_dir(spark, "positions")
+    streams.per_batch(streams.latest_positions(arriving(rows)), shared_dir(spark, "stream-checkpoint"), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), mode="update").awaitTermination()
+    return spark.read.parquet(out).groupBy("object_id").agg(F.max_by(F.struct("ms", "lat", "lon"), "ms").alias("f")).select("object_id", "f.*")
+
+
+# half of the reports come in a second file
+@query("fx_event", "with t as (select external_id, arg_max(event_type, id) as event_type from fx_event group by 1), f as (" + FOLD + ") select external_id, event_type, confidence from f join t using (external_id)")
+def upserted_events_streamed(events):
+    spark = events.sparkSession
+    path, table = shared_dir(spark, "arriving"), shared_dir(spark, "upserted")
+    rows = events.select("id", "external_id", "confidence_score", "event_type")
+    half = events.agg((F.floor(F.max("id") / 2)).alias("half"))
+    parts = rows.join(F.broadcast(half))
+    for when in (F.col("id") < F.col("half"), F.col("id") >= F.col("half")):
+        parts.filter(when).drop("half").write.mode("append").parquet(path)
+        streams.upsert_stream(spark.readStream.schema(rows.schema).parquet(path), table, f"{table}-feed", f"{table}-checkpoint", buckets=32).awaitTermination()
+    return streams.current_table(spark, table, 1).select("external_id", "event_type", "confidence")
+
+
+@query("fx_headline", TERMS.replace("from fx_headline where", "from (select min(id) as id, source, link, title, min(published_at) as published_at from fx_headline group by source, link, title) where"))
+def trending_streamed(headlines):
+    spark = headlines.sparkSession
+    table = shared_dir(spark, "trending")
+    rows = headlines.select("source", "link", "title", F.col("published_at").cast("timestamp").alias("published_at")).filter(F.col("published_at") <= F.lit(AS_OF).cast("timestamp"))
+    streams.trending_stream(arriving(rows), table, f"{table}-out", f"{table}-checkpoint", blocked=("near", "over")).awaitTermination()
+    found = spark.read.parquet(f"{table}-out").drop("batch", "found_at")
+    return found.withColumn("baseline", F.round("baseline", 4)).withColumn("multiplier", F.round("multiplier", 4))

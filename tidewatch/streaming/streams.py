@@ -8,9 +8,10 @@ positions keep a little state a key.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,6 +36,55 @@ def convergence(points: DataFrame, late: str = "24 hours", min_types: int = 3) -
     return counts.filter(F.col("types") >= min_types)
 
 
+def convergence_alerts(points: DataFrame, late: str = "24 hours", min_types: int = 3) -> DataFrame:
+    """(cell, day): cells where several kinds meet, once for each day on which such a window ends."""
+    closed = convergence(points, late, min_types).select("cell", F.window_time("window").alias("at"), F.to_date(F.col("window.end")).alias("day"))
+    return closed.dropDuplicatesWithinWatermark(["cell", "day"]).select("cell", "day")
+
+
+def baseline_alerts(hourly: DataFrame, by: str, late: str = "2 hours", min_samples: int = 24, z: float = 2.5, min_sd: float = 0.5, cooldown_h: int = 2) -> DataFrame:
+    """Hours of a key (by, hour, n) whose count lies z deviations off those before, with count, mean and squared deviations of each
+    key as its state; alerts of a key are cooldown_h apart at least. Hours must come in order, as closed windows do."""
+
+    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        samples, mean, m2, alerted = state.get if state.exists else (0, 0.0, 0.0, None)
+        found = []
+        for ms, n in pd.concat(list(frames)).sort_values("ms")[["ms", "n"]].itertuples(index=False):
+            sd = (m2 / (samples - 1)) ** 0.5 if samples > 1 else 0.0
+            score = (n - mean) / sd if sd >= min_sd else 0.0
+            if samples + 1 >= min_samples and abs(score) >= z and (alerted is None or ms - alerted >= cooldown_h * 3_600_000):
+                alerted = int(ms)
+                found.append((key[0], alerted, int(n), mean, score))
+            samples, step = samples + 1, n - mean
+            mean += step / samples
+            m2 += step * (n - mean)
+        state.update((samples, float(mean), float(m2), alerted))
+        yield pd.DataFrame(found, columns=[by, "ms", "n", "mean", "z"])
+
+    rows = hourly.withWatermark("hour", late).select(by, F.unix_millis("hour").alias("ms"), "n", "hour")
+    return rows.groupBy(by).applyInPandasWithState(judge, f"{by} string, ms long, n long, mean double, z double", "samples long, mean double, m2 double, alerted long", "append", GroupStateTimeout.NoTimeout)
+
+
+def with_static(messages: DataFrame) -> DataFrame:
+    """Positions with the last static data of their object: messages are (object_id, updated_at, kind, lat, lon, name, ship_type) with kind
+    position or static, and an object's last name and type are its state, without end. Rows of a micro-batch are taken in order of time, static data first."""
+
+    def fill(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames))
+        rows["static"] = rows["kind"] == "static"
+        rows = rows.sort_values(["us", "static"], ascending=[True, False], kind="stable")
+        known = dict(zip(("name", "ship_type"), state.get if state.exists else (None, None)))
+        for field, before in known.items():
+            filled = rows[field].ffill()
+            rows[field] = filled if before is None else filled.fillna(before)
+        last = rows.iloc[-1]
+        state.update((None if pd.isna(last["name"]) else str(last["name"]), None if pd.isna(last["ship_type"]) else int(last["ship_type"])))
+        yield rows[~rows["static"]][["object_id", "us", "lat", "lon", "name", "ship_type"]].astype({"ship_type": "Int64"})
+
+    rows = messages.select("object_id", F.unix_micros("updated_at").alias("us"), "kind", "lat", "lon", "name", F.col("ship_type").cast("long").alias("ship_type"))
+    return rows.groupBy("object_id").applyInPandasWithState(fill, "object_id long, us long, lat double, lon double, name string, ship_type long", "name string, ship_type long", "append", GroupStateTimeout.NoTimeout)
+
+
 def distinct_headlines(headlines: DataFrame, late: str = "7 days") -> DataFrame:
     return headlines.withWatermark("published_at", late).dropDuplicatesWithinWatermark(["source", "link", "title"])
 
@@ -82,46 +132,92 @@ def latest_positions(fixes: DataFrame, ttl_minutes: int = 8, late: str = "1 minu
     return rows.groupBy("object_id").applyInPandasWithState(keep, "object_id long, ms long, lat double, lon double", "ms long, lat double, lon double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def per_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], **trigger) -> StreamingQuery:
+def per_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], mode: str = "append", **trigger) -> StreamingQuery:
     """Runs a batch operator on each micro-batch: upserts with change feed, clustering over recent tables, scores of each trigger.
     A batch may run twice after a failure, so work must write by its id."""
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def state_of(spark: SparkSession, table: str, n: int) -> dict[int, int]:
+    """Which version holds each bucket of a table after batch n: a row a bucket, so its size is fixed."""
+    return {r.bucket: r.held for r in spark.read.parquet(f"{table}-index/version={n}").collect()} if n >= 0 else {}
+
+
+def current_table(spark: SparkSession, table: str, n: int) -> DataFrame:
+    """The table after batch n: each bucket from the version that last wrote it."""
+    return spark.read.parquet(*(f"{table}/version={held}/bucket={b}" for b, held in sorted(state_of(spark, table, n).items())))
 
 
-def upsert_stream(stream: DataFrame, table: str, feed: str, checkpoint: str) -> StreamingQuery:
-    """Merges raw events into versions of a table, one folder a batch, and writes what changed as messages."""
+def upsert_stream(stream: DataFrame, table: str, feed: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+    """Merges raw events into a table of buckets by external id, and writes what changed as messages. A batch reads and writes
+    only the buckets that it touches, into a version of its own, and then the list of which version holds each bucket; a batch
+    that runs twice starts from the list before it."""
     from ..operators.events import upsert_events
     from ..sources.sinks import change_feed
 
+    bucket = F.pmod(F.xxhash64("external_id"), F.lit(buckets)).cast("int")
+    kept = "external_id string, confidence_score int, event_type string"
+
     def work(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        existing = spark.read.parquet(f"{table}/version={n - 1}").select("external_id", F.col("confidence").cast("int").alias("confidence_score"), "event_type") if n else spark.createDataFrame([], "external_id string, confidence_score int, event_type string")
-        merged = upsert_events(existing, batch)
-        merged.write.mode("overwrite").parquet(f"{table}/version={n}")
-        changed = spark.read.parquet(f"{table}/version={n}").filter("change <> 'none'")
-        change_feed(changed.filter("change = 'insert'"), "new_event").unionByName(change_feed(changed.filter("change = 'update'"), "update_event")).write.mode("overwrite").parquet(f"{feed}/batch={n}")
+        held = state_of(spark, table, n - 1)
+        touched = [r.b for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most one row a bucket
+        paths = [f"{table}/version={held[b]}/bucket={b}" for b in touched if b in held]
+        existing = spark.read.parquet(*paths).select("external_id", F.col("confidence").cast("int").alias("confidence_score"), "event_type") if paths else spark.createDataFrame([], kept)
+        merged = upsert_events(existing, batch).withColumn("bucket", bucket)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={n}")
+        if touched:
+            changed = spark.read.parquet(f"{table}/version={n}").drop("bucket").filter("change <> 'none'")
+            change_feed(changed.filter("change = 'insert'"), "new_event").unionByName(change_feed(changed.filter("change = 'update'"), "update_event")).write.mode("overwrite").parquet(f"{feed}/batch={n}")
+        index = list((held | dict.fromkeys(touched, n)).items())
+        spark.createDataFrame(index, "bucket int, held long").coalesce(1).write.mode("overwrite").parquet(f"{table}-index/version={n}")
 
     return per_batch(stream, checkpoint, work)
 
 
-def recent_stream(stream: DataFrame, table: str, out: str, checkpoint: str, ts: str, hours: int, detect: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Runs a batch detector for each micro-batch over the rows of the last hours, this batch's included. Rows are kept by batch
-    and date, so that a batch that runs twice overwrites its own, and old dates are not read."""
+def recent_stream(stream: DataFrame, table: str, out: str, checkpoint: str, ts: str, hours: int, detect: Callable[[DataFrame], DataFrame], key: str | None = None, cooldown_minutes: int = 0) -> StreamingQuery:
+    """Runs a batch detector for each micro-batch over the rows of the last hours, this batch's included. Rows are kept by date
+    and batch, so that a batch that runs twice overwrites its own, and only the dates of the last hours are listed and read; the
+    newest time travels from batch to batch as one row. With a key and a cooldown, a key that was found less than the cooldown
+    before the newest time is not found again; results then have that time in the column found_at."""
 
     def work(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("date", F.to_date(ts)).write.mode("overwrite").partitionBy("date").parquet(f"{table}/batch={n}")
-        rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*").filter(F.col("batch") <= n)
-        last = rows.agg(F.max(ts)).first()[0]
+        dated = batch.withColumn("date", F.to_date(ts)).withColumn("batch", F.lit(n))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(table)
+        newest = batch.agg(F.max(ts).alias("newest"))
+        if n:
+            newest = newest.unionByName(spark.read.parquet(f"{table}-newest/batch={n - 1}")).agg(F.max("newest").alias("newest"))
+        newest.coalesce(1).write.mode("overwrite").parquet(f"{table}-newest/batch={n}")
+        last = spark.read.parquet(f"{table}-newest/batch={n}").first()[0]
         if last is None:
             return
-        since = F.lit(last) - F.expr(f"interval {hours} hours")
-        recent = rows.filter((F.col("date") >= F.to_date(since)) & (F.col(ts) >= since)).drop("date", "batch")
-        detect(recent).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        since = last - timedelta(hours=hours)
+        days = ",".join(f"date={since.date() + timedelta(days=i)}" for i in range((last.date() - since.date()).days + 1))
+        rows = spark.read.option("basePath", table).parquet(f"{table}/{{{days}}}").filter((F.col("batch") <= n) & (F.col(ts) >= F.lit(since)))
+        found = detect(rows.drop("date", "batch"))
+        if key:
+            found = found.withColumn("found_at", F.lit(last))
+            if n:
+                before = spark.read.parquet(f"{out}/batch=*").filter(F.col("found_at") > F.lit(last - timedelta(minutes=cooldown_minutes)))
+                found = found.join(before.select(key).distinct(), key, "left_anti")
+        found.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return per_batch(stream, checkpoint, work)
 
 
+def trending_stream(headlines: DataFrame, table: str, out: str, checkpoint: str, cooldown_minutes: int = 30, **limits) -> StreamingQuery:
+    """Terms of the last two hours that stand out against seven days, after each micro-batch; a term is silent for the cooldown
+    after it was found. Headlines without title or seen before within seven days do not count again."""
+    from ..operators.headlines import trending_terms
+
+    def detect(df: DataFrame) -> DataFrame:
+        named = df.filter(F.trim("title") != "").groupBy("source", "link", "title").agg(F.min("published_at").alias("published_at"))
+        return trending_terms(named, df.agg(F.max("published_at")).first()[0].isoformat(sep=" "), **limits)
+
+    return recent_stream(headlines, table, out, checkpoint, "published_at", 7 * 24, detect, "term", cooldown_minutes)
+
+
 def cluster_stream(headlines: DataFrame, table: str, out: str, checkpoint: str, stop_words: list[str], ttl_hours: int = 6) -> StreamingQuery:
     """Clusters of the last hours after each micro-batch."""
     from ..operators.headlines import cluster_headlines
@@ -129,13 +225,6 @@ def cluster_stream(headlines: DataFrame, table: str, out: str, checkpoint: str,
     return recent_stream(headlines, table, out, checkpoint, "published_at", ttl_hours, lambda df: cluster_headlines(df, stop_words, ttl_hours=ttl_hours))
 
 
-def baseline_stream(events: DataFrame, table: str, out: str, checkpoint: str, by: list[str], history_hours: int = 24 * 365) -> StreamingQuery:
-    """Anomalies of hourly counts against the history after each micro-batch."""
-    from ..operators.scores import baseline_anomalies, hourly_counts
-
-    return recent_stream(events, table, out, checkpoint, "occurred_at", history_hours, lambda df: baseline_anomalies(hourly_counts(df, "occurred_at", *by), by))
-
-
 def escalation_stream(scores: DataFrame, table: str, out: str, checkpoint: str) -> StreamingQuery:
     """Signals of hotspot scores (id, at, score) over the last day after each micro-batch."""
     from ..operators.scores import escalation_signals
@@ -151,14 +240,3 @@ def instability_stream(signals: DataFrame, table: str, out: str, checkpoint: str
         return country_instability(df, str(df.agg(F.max("ts")).first()[0]), **weights)
 
     return recent_stream(signals, table, out, checkpoint, "ts", 7 * 24, detect)
-
-
-def vessel_stream(messages: DataFrame, table: str, out: str, checkpoint: str, hours: int = 24) -> StreamingQuery:
-    """Vessel positions with the last static data of their object; messages are (object_id, updated_at, kind, lat, lon, name, ship_type)."""
-    from ..operators.scores import static_as_of
-
-    def detect(df: DataFrame) -> DataFrame:
-        positions = df.filter("kind = 'position'").select("object_id", "updated_at", "lat", "lon")
-        return static_as_of(positions, df.filter("kind = 'static'").select("object_id", "updated_at", "name", "ship_type"), ["name", "ship_type"])
-
-    return recent_stream(messages, table, out, checkpoint, "updated_at", hours, detect)
