@@ -30,6 +30,11 @@ def cell_id(lat: Column, lon: Column) -> Column:
     return F.concat_ws(",", F.floor(lat), F.floor(lon))
 
 
+def cell_centre(lat: Column, lon: Column) -> Column:
+    """The middle of a place's cell."""
+    return F.struct((F.floor(lat) + 0.5).alias("lat"), (F.floor(lon) + 0.5).alias("lon"))
+
+
 def in_bbox(lat: Column, lon: Column, min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> Column | None:
     """Whether a place is in the box, edges included; None where the box is invalid, which filters drop."""
     valid = -180 <= min_lon < max_lon <= 180 and -90 <= min_lat < max_lat <= 90
@@ -67,6 +72,12 @@ def coded_entities(text: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+def named_entities(text: Column, names: list[str]) -> Column:
+    """Codes as in coded_entities, then those of the names (in lower case) that the text holds as whole words, in their order."""
+    found = F.array(*(F.when(F.lower(text).rlike(f"{BEFORE}{quoted([n])}{AFTER}"), n) for n in names)) if names else F.array().cast("array<string>")
+    return F.concat(coded_entities(text), F.filter(found, lambda n: n.isNotNull()))
+
+
 def plain_text(html: Column) -> Column:
     """Text of a scrap of HTML: tags become spaces, then five entities, then white space is collapsed."""
     out = F.regexp_replace(html, "<[^>]*>", " ")
@@ -80,7 +91,9 @@ def hashed_id(prefix: str, key: Column) -> Column:
 
 
 def domain_of(url: Column) -> Column:
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1))
+    """The host of a search for one site (site:), else of the address, without www."""
+    searched = F.regexp_extract(url, r"site:([^\s+&]+)", 1)
+    host = F.when(searched != "", searched).otherwise(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1)))
     return F.regexp_replace(host, r"^www\.", "")
 
 
@@ -105,6 +118,24 @@ def radiation_severity(frp: Column) -> Column:
     return F.when(frp >= 150, 4).when(frp >= 80, 3).when(frp >= 40, 2).otherwise(1)
 
 
+def radiation_confidence(frp: Column, sure: Column) -> Column:
+    """40, 50 or 60 by power, then 15 more where the instrument is sure, 5 more where nominal, else 10 less; 80 at most."""
+    base = F.when(frp >= 80, 60).when(frp >= 40, 50).otherwise(40)
+    return F.least(F.lit(80), base + F.when(sure == "high", 15).when(sure == "nominal", 5).otherwise(-10))
+
+
+# fixed values: postal codes of states and of Puerto Rico
+US_STATES = (
+    "AK AL AR AZ CA CO CT DE FL GA HI IA ID IL IN KS KY LA MA MD ME MI MN MO MS MT NC ND NE NH NJ NM NV NY OH OK OR PA PR RI SC SD TN TX UT VA VT WA WI WV WY"
+).split()
+
+
+def country_of_place(place: Column) -> Column:
+    """What follows the last comma; United States for the code of a state, Unknown where nothing follows."""
+    tail = F.trim(F.element_at(F.split(place, ","), -1))
+    return F.when(F.coalesce(tail, F.lit("")) == "", "Unknown").when(F.upper(tail).isin(US_STATES), "United States").otherwise(tail)
+
+
 def image_of(html: Column) -> Column:
     """The address of a page's og:image: of the meta tags, in any case and with attributes in any order, the first of that property with a web address."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\s[^>]*>"), 0)

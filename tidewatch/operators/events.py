@@ -147,13 +147,18 @@ def confidence(links: DataFrame, sources: DataFrame, events: DataFrame) -> DataF
         F.max(kinds.isin("satellite", "api")).alias("machine"),
         F.max(kinds.isin("news", "manual", "social")).alias("human"),
     )
-    loss = F.when(F.col("geolocation_precision") == "exact", 0).when(F.col("geolocation_precision") == "approximate", 5).otherwise(15)
-    raw = F.col("mean") + F.least((F.col("n") - 1) * 5, F.lit(20)) + F.when(F.col("machine") & F.col("human"), 10).otherwise(0) - loss
-    score = F.when(F.col("n").isNull(), F.lit(10)).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), half_up(raw))))
+    score = confidence_points(F.col("mean"), F.col("n"), F.col("machine") & F.col("human"))
     found = events.select("id", "geolocation_precision").join(per_event, "id", "left").withColumn("score", score.cast("long"))
     return found.select("id", "score", verification_status(F.col("score"), F.col("n"), F.col("best")).alias("verification_status"))
 
 
+def confidence_points(mean: Column, n: Column, mixed: Column) -> Column:
+    """The score of an event from the mean reliability and number of its sources, whether their kinds are mixed, and the precision of its place."""
+    loss = F.when(F.col("geolocation_precision") == "exact", 0).when(F.col("geolocation_precision") == "approximate", 5).otherwise(15)
+    raw = mean + F.least((n - 1) * 5, F.lit(20)) + F.when(mixed, 10).otherwise(0) - loss
+    return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(10)).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), half_up(raw))))
+
+
 def verification_status(score: Column, n_sources: Column, best: Column) -> Column:
     return F.when((score >= 80) & (best >= 80), "verified").when((score >= 50) | (n_sources >= 2), "partially_verified").otherwise("unverified")
 
@@ -199,6 +204,44 @@ def upsert_events(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return folded.join(state, "external_id").select("external_id", "event_type", "confidence", "reports", change.alias("change"))
 
 
+def ingest_reports(existing: DataFrame, items: DataFrame) -> DataFrame:
+    """Events after raw items (id, external_id, title, event_type, geolocation_precision, sources) came in order of id.
+
+    An unknown external id, and each item without one, is inserted as its first item says; later items lift the confidence and
+    give the status by their own sources. Existing events are (external_id, title, event_type, confidence_score,
+    verification_status), whose ids sort before all items. Change is insert, update or none; event_key is the external id, or made of the item's id."""
+    of = lambda field: F.transform("sources", lambda s: s[field])
+    n, reliability = F.size("sources"), of("reliability_score")
+    has = lambda *kinds: F.arrays_overlap(of("source_type"), F.array(*map(F.lit, kinds)))
+    mean = F.aggregate(reliability, F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
+    score = confidence_points(mean, n, has("satellite", "api") & has("news", "manual", "social"))
+    key = F.coalesce("external_id", F.concat(F.lit("item-"), F.col("id").cast("string")))
+    none = F.lit(None)
+    new = items.select(key.alias("event_key"), "id", "title", "event_type", score.cast("long").alias("score"), n.alias("n"), F.array_max(reliability).cast("int").alias("best"), none.cast("string").alias("status"))
+    known = existing.select(F.col("external_id").alias("event_key"), F.lit(-1).cast("long").alias("id"), "title", "event_type", F.col("confidence_score").cast("long").alias("score"), none.cast("int").alias("n"), none.cast("int").alias("best"), F.col("verification_status").alias("status"))
+    every = known.unionByName(new)
+    state = every.groupBy("event_key").agg(F.min_by(F.struct("title", "event_type"), "id").alias("first"), F.max_by(F.struct("n", "best", "status"), "id").alias("last"), F.min("id").alias("low"), F.max("id").alias("high"))
+    change = F.when(F.col("low") >= 0, "insert").when(F.col("high") >= 0, "update").otherwise("none")
+    status = F.coalesce("last.status", verification_status(F.col("confidence"), F.col("last.n"), F.col("last.best")))
+    return merge_confidence(every, "event_key", "id", "score").join(state, "event_key").select("event_key", "first.title", "first.event_type", "confidence", status.alias("verification_status"), change.alias("change"))
+
+
+def new_links(existing: DataFrame, links: DataFrame) -> DataFrame:
+    """Links that are not there yet, each once."""
+    return links.distinct().join(existing, links.columns, "left_anti")
+
+
+def unpublished(events: DataFrame, published: DataFrame) -> DataFrame:
+    """Events whose id is not among the published ones."""
+    return events.join(published.select("id"), "id", "left_anti")
+
+
+def visible(events: DataFrame, types: list[str], as_of: str, hours: int = 3) -> DataFrame:
+    """Events of the chosen types, with is_recent where they are younger than some hours."""
+    age = F.lit(as_of).cast("timestamp_ntz") - F.col("occurred_at")
+    return events.filter(F.col("event_type").isin(types)).withColumn("is_recent", age < F.expr(f"interval {hours} hours"))
+
+
 def urgent_candidates(events: DataFrame, as_of: str, minutes: int = 10, min_severity: int = 4, min_confidence: int = 72) -> DataFrame:
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {minutes} minutes")
     urgent = F.col("is_active") & (F.col("occurred_at") >= since) & (F.col("severity") >= min_severity) & (F.col("confidence_score") >= min_confidence)
@@ -242,7 +285,9 @@ def adaptive_windows(events: DataFrame, ts: str, base_hours: int = 24, levels: i
 
 
 def location_drift(old: DataFrame, new: DataFrame, key: str, tolerance: float = 0.01) -> DataFrame:
-    """Rows whose place moved by more than the tolerance, or whose country changed."""
+    """Rows whose place moved by more than the tolerance, or whose country changed, or region where both have one."""
     o, n = old.alias("o"), new.alias("n")
     moved = (F.abs(F.col("o.latitude") - F.col("n.latitude")) > tolerance) | (F.abs(F.col("o.longitude") - F.col("n.longitude")) > tolerance) | ~F.col("o.country").eqNullSafe(F.col("n.country"))
+    if "region" in old.columns and "region" in new.columns:
+        moved = moved | ~F.col("o.region").eqNullSafe(F.col("n.region"))
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}")).filter(moved).select(F.col(f"o.{key}"), F.col("o.country").alias("old_country"), F.col("n.country").alias("new_country"))

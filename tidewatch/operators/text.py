@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import AFTER, BEFORE, clamp, contains_any, domain_of, half_up, quoted
+from ..functions.columns import AFTER, BEFORE, clamp, contains_any, domain_of, half_up, precision_of, quoted
 
 
 def weight_of(text: Column, keywords: list[tuple[str, int]]) -> Column:
@@ -75,6 +75,22 @@ def geocode(df: DataFrame, key: str, texts: list[str], gazetteer: DataFrame, lon
     return hits.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select(key, F.col("name").alias("place"), "latitude", "longitude", "country")
 
 
+def located_items(articles: DataFrame, keywords: list[tuple[str, str, int]], types: list[str], severity: list[tuple[str, int]], reliability: list[tuple[str, int]], gazetteer: DataFrame, radius_km: dict[int, float]) -> DataFrame:
+    """Raw items of normalised articles (external_id, title, domain, occurred_at) whose title names a place: type and severity by
+    keywords, confidence from 15 to 85 by six tenths of the domain's reliability and the points of the type, place with the precision and radius of its importance."""
+    reliable = domain_reliability(F.col("domain"), reliability)
+    known = classify_events(articles, "title", keywords, types, severity, reliable)
+    places = geocode(articles, "external_id", ["title"], gazetteer).join(F.broadcast(gazetteer.select(F.col("name").alias("place"), "importance")), "place")
+    radius = F.lit(None).cast("double")
+    for importance, km in radius_km.items():
+        radius = F.when(F.col("importance") == importance, km).otherwise(radius)
+    confidence = clamp(half_up(reliable * 0.6) + F.col("points"), 15, 85)
+    return known.join(places, "external_id").select(
+        "external_id", "title", "event_type", F.col("event_severity").alias("severity"), confidence.cast("long").alias("confidence_score"), F.when(confidence >= 75, "partial").otherwise("unverified").alias("verification_status"),
+        "latitude", "longitude", "country", F.when(F.col("importance") == 1, F.col("place")).alias("city"), radius.alias("location_radius_km"), precision_of(F.col("importance")).alias("geolocation_precision"), "occurred_at",
+    )
+
+
 def extract_entities(df: DataFrame, key: str, text: str, entities: DataFrame) -> DataFrame:
     """Entities whose words the text holds as whole words: (key, entity, position). Broadcasts the dictionary."""
     low = F.lower(F.col(text))

@@ -95,6 +95,20 @@ def thermal_csv(events):
     return feeds.normalise_thermal(feeds.read_thermal_csv(events.sparkSession, path)).select("latitude", "longitude", "severity", wall_clock("occurred_at"))
 
 
+@query("fx_event fx_box", "select e.latitude, e.longitude, date_trunc('minute', occurred_at) as occurred_at, arg_min(b.country, seq) as country, cast(case when frp >= 80 then 65 when frp >= 40 then 55 else 45 end as int) as confidence_score from (select *, id % 200 + 0.5 as frp from fx_event) e join fx_box b on latitude between min_lat and max_lat and longitude between min_lon and max_lon where frp >= 20 group by id, 1, 2, 3, 5")
+def thermal_boxes(events, boxes):
+    rows = events.select("latitude", "longitude", F.lit(300.0).alias("bright_ti4"), F.date_format("occurred_at", "yyyy-MM-dd").alias("acq_date"), F.date_format("occurred_at", "HHmm").alias("acq_time"), F.lit("nominal").alias("confidence"), (F.col("id") % 200 + 0.5).alias("frp"), F.lit("D").alias("daynight"))
+    path = shared_dir(events.sparkSession, "feed")
+    rows.write.option("header", True).csv(path)
+    return feeds.normalise_thermal(feeds.read_thermal_csv(events.sparkSession, path), boxes).select("latitude", "longitude", wall_clock("occurred_at"), "country", "confidence_score")
+
+
+@query("fx_fix", "select fix_id, object_id % 3 as side from fx_fix where fix_id % 90 = 35 or object_id % 3 <> 0")
+def kept_vessels(fixes):
+    sides = fixes.select("fix_id", (F.col("object_id") % 3).alias("side"), F.when(F.col("fix_id") % 90 != 0, F.col("fix_id") % 90).alias("ship_type"))
+    return feeds.kept_vessels(sides.withColumn("side", F.when(F.col("side") == 0, "neutral").otherwise(F.col("side").cast("string")))).select("fix_id", F.when(F.col("side") == "neutral", 0).otherwise(F.col("side").try_cast("int")).cast("long").alias("side"))
+
+
 @query("fx_event", "select concat('quake-e', id) as external_id, cast(case when m >= 7 then 5 when m >= 6 then 4 when m >= 5 then 3 else 2 end as int) as severity, cast(case when m >= 6 then 50 when m >= 5 then 20 else 10 end as int) as location_radius_km, case id % 3 when 0 then 'United States' when 1 then 'Chile' else 'Unknown' end as country, latitude, longitude, date_trunc('millisecond', occurred_at) as occurred_at from (select *, 3 + id % 50 / 10.0 as m from fx_event) where m >= 4 and id % 11 <> 0")
 def seismic_geojson(events):
     place = F.when(F.col("id") % 3 == 0, "5 km N of X, CA").when(F.col("id") % 3 == 1, "coast, Chile")

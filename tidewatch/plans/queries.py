@@ -164,6 +164,45 @@ def upsert_events(events):
     return ev.upsert_events(existing, split.filter("not old"))
 
 
+#: Even ids of the first half are stored events; odd ones report them again.
+REPORTS = """with recursive half as (select count(*) / 2 as h from fx_event), old as (select external_id, title, event_type, confidence_score, case when confidence_score >= 80 then 'verified' else 'unverified' end as status from fx_event, half where id % 2 = 0 and id < h),
+item as (select id, case when id % 11 <> 0 then external_id end as external_id, title, event_type, geolocation_precision, case id % 5 when 0 then 'news' when 1 then 'social' when 2 then 'satellite' when 3 then 'manual' else 'api' end as kind, id * 13 % 101 as r1, id * 7 % 101 as r2, case when id % 3 = 0 then 2 else 1 end as n from fx_event, half where not (id % 2 = 0 and id < h)),
+scored as (select *, case when n = 2 then (r1 + r2) / 2.0 else r1 end as mean, case when n = 2 then greatest(r1, r2) else r1 end as best, n = 2 and kind in ('satellite', 'api') as mixed from item),
+every as (select external_id as event_key, -1 as id, title, event_type, confidence_score as score, null as n, null as best, status from old union all
+ select coalesce(external_id, concat('item-', id)), id, title, event_type, greatest(0, least(100, floor(mean + least((n - 1) * 5, 20) + case when mixed then 10 else 0 end - case geolocation_precision when 'exact' then 0 when 'approximate' then 5 else 15 end + 0.5))), n, best, null from scored),
+ranked as (select *, row_number() over (partition by event_key order by id) as i, count(*) over (partition by event_key) as m from every),
+state as (select event_key, arg_min(title, id) as title, arg_min(event_type, id) as event_type, cast(least(100, max(case when m = 1 then score else score + 3 * (m - greatest(i, 2) + 1) end)) as bigint) as confidence, max(n) filter (where i = m) as n, max(best) filter (where i = m) as best, max(status) filter (where i = m) as status, min(id) as low, max(id) as high from ranked group by 1)
+select event_key, title, event_type, confidence, coalesce(status, case when confidence >= 80 and best >= 80 then 'verified' when confidence >= 50 or n >= 2 then 'partially_verified' else 'unverified' end) as verification_status, case when low >= 0 then 'insert' when high >= 0 then 'update' else 'none' end as change from state"""
+
+
+def raw_items(events: DataFrame) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("news", "social", "satellite", "manual", "api")))
+    first = F.struct(F.element_at(kinds, (F.col("id") % 5 + 1).cast("int")).alias("source_type"), (F.col("id") * 13 % 101).cast("int").alias("reliability_score"), F.concat(F.lit("u"), F.col("id") % 7).alias("url"))
+    second = F.struct(F.lit("news").alias("source_type"), (F.col("id") * 7 % 101).cast("int").alias("reliability_score"), F.lit("v").alias("url"))
+    sources = F.when(F.col("id") % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+    return events.select("id", F.when(F.col("id") % 11 != 0, F.col("external_id")).alias("external_id"), "title", "event_type", "geolocation_precision", sources.alias("sources"))
+
+
+@query("fx_event", REPORTS.replace("with recursive", "with", 1))
+def ingest_reports(events):
+    half = events.agg((F.count("*") / 2).alias("half"))
+    split = events.join(F.broadcast(half)).withColumn("old", (F.col("id") % 2 == 0) & (F.col("id") < F.col("half")))
+    status = F.when(F.col("confidence_score") >= 80, "verified").otherwise("unverified")
+    existing = split.filter("old").select("external_id", "title", "event_type", "confidence_score", status.alias("verification_status"))
+    return ev.ingest_reports(existing, raw_items(split.filter("not old")))
+
+
+@query("fx_event fx_event_source", "select external_id, source_id from (select distinct external_id, source_id from fx_event_source join fx_event on event_id = id) where (external_id, source_id) not in (select (external_id, source_id) from fx_event_source join fx_event on event_id = id where id % 4 = 2)")
+def new_links(events, links):
+    named = links.join(events.select(F.col("id").alias("event_id"), "external_id"), "event_id")
+    return ev.new_links(named.filter("event_id % 4 = 2").select("external_id", "source_id"), named.select("external_id", "source_id"))
+
+
+@query("fx_event", f"select id, occurred_at > {NOW} - interval 3 hours as is_recent from fx_event where event_type in ('missile', 'drone') and id not in (select id from fx_event where severity = 3)")
+def visible_unpublished(events):
+    return ev.visible(ev.unpublished(events, events.filter("severity = 3")), ["missile", "drone"], AS_OF).select("id", "is_recent")
+
+
 @query("fx_event", f"select id, event_type, severity from fx_event where is_active and occurred_at >= {NOW} - interval 2880 minutes and severity >= 4 and confidence_score >= 72 and event_type in ('missile', 'airstrike', 'explosion')")
 def urgent_candidates(events):
     return ev.urgent_candidates(events, AS_OF, 2880).select("id", "event_type", "severity")
@@ -719,6 +758,34 @@ def importance_ranks(headlines):
     return ev.ranked(importance_rank(headlines), "score", "id", 50)
 
 
+RADII = {1: 5.0, 2: 25.0, 3: 80.0}
+KEYWORDS_SQL = ORACLE_SQL["classify_event"][len(with_views("fx_headline")) :].lstrip(",\n")
+
+
+@query("fx_headline", f"""with kinds as (with {KEYWORDS_SQL.removeprefix('with ')}), {GEOCODE.removeprefix('with ').replace('select id, name as place', 'select id, importance, name as place')},
+placed as (select h.id, title, event_type, event_severity as severity, cast(greatest(15, least(85, floor({RELIABLE.replace('source', 'h.source')} * 0.6 + 0.5) + points)) as bigint) as confidence_score, latitude, longitude, country, place, importance from fx_headline h join kinds using (id) join hits using (id) where nth = 1)
+select concat('a', id) as external_id, title, event_type, severity, confidence_score, case when confidence_score >= 75 then 'partial' else 'unverified' end as verification_status, latitude, longitude, country, case when importance = 1 then place end as city, cast(case importance when 1 then 5 when 2 then 25 when 3 then 80 end as double) as location_radius_km, case when importance >= 2 then 'approximate' else 'area' end as geolocation_precision from placed""")
+def located_items(headlines):
+    articles = headlines.select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("external_id"), "title", F.col("source").alias("domain"), F.col("published_at").alias("occurred_at"))
+    gazetteer = dimension(headlines, d.GAZETTEER, "name string, latitude double, longitude double, country string, importance int, seq int")
+    return tx.located_items(articles, d.EVENT_KEYWORDS, d.EVENT_TYPES, d.SEVERITY_WORDS, d.RELIABILITY, gazetteer, RADII).drop("occurred_at")
+
+
+NAMES = ["tehran", "tel aviv", "gaza"]
+
+
+@query("fx_headline", "select id, array_to_string(list_concat(list_sort(list_distinct(regexp_extract_all(upper(title), '(CVE-[0-9]{4}-[0-9]{4,}|APT[0-9]+)'))), list_filter(['tehran', 'tel aviv', 'gaza'], lambda n: regexp_matches(lower(title), '(^|[^a-z0-9_])' || n || '($|[^a-z0-9_])'))), ',') as entities, case when id % 3 = 0 then concat('news', id % 7, '.example') else concat(source, '.example.org') end as domain from fx_headline")
+def named_entities(headlines):
+    url = F.when(F.col("id") % 3 == 0, F.concat(F.lit("http://search.example/q=site:www.news"), F.col("id") % 7, F.lit(".example+when:1d"))).otherwise(F.col("link"))
+    return headlines.select("id", F.array_join(c.named_entities(F.col("title"), NAMES), ",").alias("entities"), c.domain_of(url).alias("domain"))
+
+
+@query("fx_event", "select id, floor(latitude) + 0.5::double as lat, floor(longitude) + 0.5::double as lon, case id % 4 when 0 then 'United States' when 1 then 'Chile' when 2 then 'ZZ' else 'Unknown' end as place_country from fx_event")
+def cell_centres(events):
+    place = F.when(F.col("id") % 4 == 0, "3 km S of X, ca").when(F.col("id") % 4 == 1, "off the coast, Chile").when(F.col("id") % 4 == 2, "Y, ZZ")
+    return events.select("id", c.cell_centre(F.col("latitude"), F.col("longitude")).alias("c"), c.country_of_place(place).alias("place_country")).select("id", "c.*", "place_country")
+
+
 @query("fx_headline", GEOCODE.replace("select id, name as place", "select id, importance, name as place") + " select id, place, case when importance >= 2 then 'approximate' else 'area' end as precision from hits where nth = 1")
 def geocode_precision(headlines):
     named = dimension(headlines, [(name, importance) for name, _, _, _, importance, _ in d.GAZETTEER], "place string, importance int")

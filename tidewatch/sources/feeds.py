@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import hashed_id, magnitude_severity, plain_text, radiation_severity
+from ..functions.columns import country_of_place, hashed_id, magnitude_severity, plain_text, radiation_confidence, radiation_severity
+from ..operators.spatial import box_country
 
 ARTICLES = "articles array<struct<url:string,title:string,seendate:string,domain:string,language:string,sourcecountry:string>>"
 THERMAL = "latitude double, longitude double, bright_ti4 double, acq_date string, acq_time string, confidence string, frp double, daynight string"
@@ -132,20 +133,29 @@ def read_population_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("lat double, lon double, population bigint").parquet(path)
 
 
-def normalise_thermal(df: DataFrame) -> DataFrame:
-    """Raw items of detections of 20 MW or more whose confidence is not low."""
+def kept_vessels(vessels: DataFrame, unknown: str = "neutral") -> DataFrame:
+    """Vessels of the military type 35 or of a known side."""
+    return vessels.filter((F.coalesce("ship_type", F.lit(0)) == 35) | (F.col("side") != unknown))
+
+
+def normalise_thermal(df: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """Raw items of detections of 20 MW or more whose confidence is not low; with boxes (seq, country, min_lat, max_lat, min_lon,
+    max_lon) only of those within one, with the country of the first."""
+    country = []
+    if boxes is not None:
+        df, country = box_country(df, boxes, "latitude", "longitude"), [F.col("box_country").alias("country")]
     key = F.concat_ws("|", F.format_string("%.3f", "latitude"), F.format_string("%.3f", "longitude"), "acq_date", "acq_time")
     return df.filter("frp >= 20 and lower(confidence) <> 'low'").select(
         hashed_id("thermal", key).alias("external_id"), F.concat(F.lit("Thermal anomaly, "), F.col("frp"), F.lit(" MW")).alias("title"), F.lit("fire").alias("event_type"),
         radiation_severity(F.col("frp")).alias("severity"), "latitude", "longitude", F.col("acquired_at").alias("occurred_at"), F.lit("approximate").alias("geolocation_precision"),
         F.array(F.struct(F.lit("thermal").alias("name"), F.lit("satellite").alias("source_type"), F.lit(None).cast("string").alias("url"), F.lit(80).alias("reliability_score"))).alias("sources"),
+        radiation_confidence(F.col("frp"), F.lower("confidence")).cast("int").alias("confidence_score"), *country,
     )
 
 
 def normalise_seismic(df: DataFrame, min_magnitude: float = 4.0) -> DataFrame:
     """Raw items of earthquakes of the magnitude or more; the country is what follows the last comma of the place."""
-    tail = F.trim(F.element_at(F.split("place", ","), -1))
-    country = F.when(F.coalesce(tail, F.lit("")) == "", "Unknown").when(tail.rlike("^[A-Z]{2}$"), "United States").otherwise(tail)
+    country = country_of_place(F.col("place"))
     return df.filter((F.col("mag") >= min_magnitude) & (F.col("type") == "earthquake")).select(
         F.concat(F.lit("quake-"), F.col("id")).alias("external_id"), "title", F.lit("alert").alias("event_type"), magnitude_severity(F.col("mag")).alias("severity"), "latitude", "longitude",
         F.when(F.col("mag") >= 6, 50).when(F.col("mag") >= 5, 20).otherwise(10).alias("location_radius_km"), country.alias("country"), "occurred_at", F.lit("exact").alias("geolocation_precision"),
