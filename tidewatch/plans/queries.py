@@ -311,11 +311,18 @@ def access_edges(hotspots, grid):
     return sp.access_edges(hotspots, grid.select(F.concat_ws(":", "lat", "lon").alias("port_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")))
 
 
-@query("fx_event")
+# the smallest id travels along pairs, one row an id, until none changes
+@query("fx_event", f"""with recursive near as (select id, neighbour_id from ({PAIRS}) where km <= 25),
+labels(id, group_id) using key (id) as (select id, least(id, min(neighbour_id)) from near group by id
+ union select p.id, min(l.group_id) from labels l join near p on p.neighbour_id = l.id join recurring.labels r on r.id = p.id where l.group_id < r.group_id group by p.id)
+select id, group_id from labels""".replace("with recursive", "with", 1))
 def hotspot_groups(events):
     return sp.hotspot_groups(events)
 
 
+ORACLE_SQL["hotspot_groups"] = ORACLE_SQL["hotspot_groups"].replace("with ", "with recursive ", 1)
+
+
 # ---- headlines
 
 
