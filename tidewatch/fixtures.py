@@ -34,7 +34,7 @@ from {events} join {nation} on user_id % 25 = n_nationkey""",
  when 6 then 'NATO summit discusses sanctions on Russia' when 7 then 'Earthquake strikes near coast, tsunami warning'
  when 8 then 'Opinion: what the Suez Canal means' when 9 then 'CVE-2024-12345 exploited by APT28 in data breach'
  when 10 then 'Airstrikes continue over Gaza, air raid sirens in Tel Aviv' else 'Troops deployed to border, minor incident' end,
- case when doc_id % 2 = 1 then concat(' ', replace(substr(text,1,40), chr(10), ' ')) else '' end) as title, source, cast(1 + cast(substr(source,4) as int) % 4 as int) as tier,
+ case when doc_id % 2 = 1 then concat(' ', replace(text, chr(10), ' ')) else '' end) as title, source, cast(1 + cast(substr(source,4) as int) % 4 as int) as tier,
  concat('http://', source, '.example.org/', doc_id) as link, cast('2024-01-31 00:00:00' as {ts})
   - case when doc_id < 200 then doc_id * 30 else 6000 + (doc_id - 200) * 600 end * interval '1' second as published_at
  from {documents}""",
