@@ -765,7 +765,7 @@ def importance_ranks(headlines):
     return ev.ranked(importance_rank(headlines), "score", "id", 50)
 
 
-RADII = {1: 5.0, 2: 25.0, 3: 80.0}
+PLACE_RADII = {1: 5.0, 2: 25.0, 3: 80.0}
 KEYWORDS_SQL = ORACLE_SQL["classify_event"][len(with_views("fx_headline")) :].lstrip(",\n")
 
 
@@ -775,7 +775,7 @@ select concat('a', id) as external_id, title, event_type, severity, confidence_s
 def located_items(headlines):
     articles = headlines.select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("external_id"), "title", F.col("source").alias("domain"), F.col("published_at").alias("occurred_at"))
     gazetteer = dimension(headlines, d.GAZETTEER, "name string, latitude double, longitude double, country string, importance int, seq int")
-    return tx.located_items(articles, d.EVENT_KEYWORDS, d.EVENT_TYPES, d.SEVERITY_WORDS, d.RELIABILITY, gazetteer, RADII).drop("occurred_at")
+    return tx.located_items(articles, d.EVENT_KEYWORDS, d.EVENT_TYPES, d.SEVERITY_WORDS, d.RELIABILITY, gazetteer, PLACE_RADII).drop("occurred_at")
 
 
 NAMES = ["tehran", "tel aviv", "gaza"]
