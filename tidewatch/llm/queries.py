@@ -11,15 +11,19 @@ from .common import table
 from .compression import quality_rules
 from .fingerprints import as_text, fingerprints
 from .jaccard_join import jaccard_components
+from .language import identify_languages
 from .line_dedup import drop_repeated_runs
+from .merkle import merkle_manifest
 from .packing import pack
 from .preference import preference_pairs
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity_scores
 from .warc import archive_round_trip
+from .whitening import whiten
 
 VOCABULARY_JSON = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY_LANGUAGES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +177,64 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), VOCABULARY_LANGUAGES)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def merkle_sql() -> str:
+    """The tree by grouping runs of eight, level by level; a row's path by walking up from its leaf. crc32 is computed bit by bit from its polynomial."""
+
+    def field(name: str, value: str) -> str:
+        return f"coalesce(strlen({value})::varchar || ':' || {value}, '-')" if name in ("source", "lang", "text") else f"coalesce(length({value}::varchar)::varchar || ':' || {value}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c, text if c == "text" else c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+    return f"""
+with recursive hashed as (
+    select doc_id, lang, {leaf("text")} as leaf, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as forged,
+           xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+               lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end)), 4294967295::bigint) % 3 = 0 as hit
+    from documents),
+leaves as (
+    select *, coalesce(':' || lang, '-') as tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by lang) as size from hashed),
+low as (
+    select 0 as level, tree, idx, size, leaf as hash from leaves
+    union all
+    select level + 1, tree, idx // 8, (size + 7) // 8, sha256(string_agg(hash, '' order by idx)) from low where size > 1 group by level, tree, idx // 8, size),
+subroots as (
+    select tree, hash as subroot, row_number() over (order by case when tree = '-' then 0 else 1 end, encode(tree)) - 1 as idx, count(*) over () as size from low where size = 1),
+high as (
+    select 0 as level, idx, size, subroot as hash from subroots
+    union all
+    select level + 1, idx // 8, (size + 7) // 8, sha256(string_agg(hash, '' order by idx)) from high where size > 1 group by level, idx // 8, size),
+nodes as (
+    select level, tree, idx, size, hash from low where size > 1
+    union all select 1000 + level, '', idx, size, hash from high where size > 1),
+sided as (
+    select a.level, a.tree, a.idx, coalesce(string_agg(b.hash, '' order by b.idx) filter (where b.idx < a.idx), '') as l, coalesce(string_agg(b.hash, '' order by b.idx) filter (where b.idx > a.idx), '') as r
+    from nodes a join nodes b on a.level = b.level and a.tree = b.tree and a.idx // 8 = b.idx // 8 group by a.level, a.tree, a.idx),
+walk as (
+    select doc_id, row_number() over () as row, leaf, case when hit then coalesce(forged, leaf) else leaf end as fold, '' as proof, leaves.tree as of_lang, tree as at_tree, idx, 0 as level from leaves
+    union all
+    select w.doc_id, w.row, w.leaf, case when s.l is null then w.fold else sha256(s.l || w.fold || s.r) end, case when s.l is null then w.proof else w.proof || s.l || s.r end, w.of_lang,
+           case when s.l is null then '' else w.at_tree end, case when s.l is null then u.idx else w.idx // 8 end, case when s.l is null then 1000 else w.level + 1 end
+    from walk w left join sided s on s.level = w.level and s.tree = w.at_tree and s.idx = w.idx left join subroots u on u.tree = w.of_lang
+    where s.l is not null or w.level < 1000),
+done as (select *, row_number() over (partition by row order by level desc) as back from walk)
+select doc_id, leaf, subroot, (select hash from high where size = 1) as root, sha256(proof) as proof_sha256, fold as folded_root, fold = (select hash from high where size = 1) as verified
+from done join subroots on subroots.tree = done.of_lang where back = 1
+"""
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_line_dedup": op2_line_dedup,
@@ -185,6 +247,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_language": op12_language,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_preference": OP5_SQL, "op5_preference_replies": OP5_REPLIES_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_preference": OP5_SQL, "op5_preference_replies": OP5_REPLIES_SQL, "op13_merkle": merkle_sql()}
