@@ -1,17 +1,14 @@
 """Quality rules: base word rules and compression bands.
 
 zstandard ratios (bytes before / after) of whole texts and of their fixed chunks are
-held against limits for their length. The limits come from the corpus: for each half
-octave of length, the median ratio of the texts that pass the base rules, plus or minus
-a multiple of twice their median deviation from it (in even distributions that is the
-interquartile range). Repetitive text lies above, incompressible text below. A text counts
-once in a source and each source weighs the same, so copies and hot sources do not move
-the limits, nor does anything else below half of a class. Lengths of too few texts borrow
-from their neighbours, relative to the ratios that PROSE has for the lengths; chunks from
-texts of about their length. If the table as a whole has too few, PROSE gives the limits.
-
-Null and empty texts have no words and fail the base rules. Rows are judged each on its
-own; repeated ids stay. Only the columns named below are returned.
+held against limits for their length. The limits are one fixed function of the length: the ratio that
+prose of that length has, taken from a table by half octaves and straight lines between them, times
+the ends of a band. Repetitive text lies above, incompressible text below. Chunks are of one length
+and have the limits of that length, with a band of their own. Every text is judged alone, so its verdict is the same
+in any table.
+
+Null and empty texts have no words and fail the base rules. Repeated ids stay, other columns are
+ignored; only the columns named below are returned.
 """
 
 from __future__ import annotations
@@ -20,20 +17,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-#: Ratios of prose at level 3 by half octave of length, from 64 bytes: from the 16th on medians of /root/testdata/sf0.1, carried on below.
+#: Ratios of prose in four European languages at level 3, at the middle of half octaves of length in bytes, the first from 64 to 90: measured medians from 256 bytes on, carried on below.
 PROSE_FROM, PROSE = 12, (1.32, 1.38, 1.44, 1.50, 1.56, 1.60, 1.69, 1.82, 1.94, 2.00, 2.07, 2.13, 2.19, 2.23, 2.27, 2.32, 2.40)
-#: Limits as parts of that, for tables of too few texts.
-PROSE_BAND = (0.85, 1.3)
-#: Ratios are counted in steps of a thousandth of their logarithm.
-STEPS = 1000
-CHUNKS = -1
 
-FEATURES = "doc_id long, n_bytes long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, chunk_low double, chunk_high double, source string, print long"
+RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, ratio_min double, ratio_max double, chunk_low double, chunk_high double"
+
+
+def prose_ratio(n_bytes: int) -> float:
+    """The ratio of prose of a length: straight lines over the logarithm of the length between the table's values, level at its ends."""
+    at = min(max(2 * math.log2(max(n_bytes, 1)) - 0.5 - PROSE_FROM, 0.0), len(PROSE) - 1.0)
+    k = min(int(at), len(PROSE) - 2)
+    return PROSE[k] + (PROSE[k + 1] - PROSE[k]) * (at - k)
 
 
 def base_counts(text: str, symbols: bytes) -> tuple[int, int, int, int, int]:
@@ -61,107 +58,37 @@ def chunk_starts(n: int, chunk_bytes: int) -> list[int]:
     return [*starts, n - chunk_bytes] if starts and n % chunk_bytes else starts
 
 
-def compression_features(docs: DataFrame, level: int, chunk_bytes: int, symbols: str) -> DataFrame:
-    def measure(batches):
+def quality_rules(
+    docs: DataFrame,
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+    symbols: str = "#*$%&|<>",
+    level: int = 3,
+    chunk_bytes: int = 4096,
+    band: tuple[float, float] = (0.8, 1.12),
+    chunk_band: tuple[float, float] = (0.8, 1.07),
+) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, the text's ratio with its limits, and the least and the largest ratio of its chunks."""
+
+    def judge(batches):
         import zstandard
 
-        compressor, marks = zstandard.ZstdCompressor(level=level), symbols.encode()
+        compressor, marks, usual = zstandard.ZstdCompressor(level=level), symbols.encode(), prose_ratio(chunk_bytes)
         for batch in batches:
             rows = []
-            for key, text, *more in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("source").to_pylist(), batch.column("print").to_pylist(), strict=True):
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py() or ""
-                raw = text.encode()
+                raw, counts = text.encode(), base_counts(text, marks)
+                failed = counts[0] < min_words or 100 * counts[4] > max_repeat_percent * counts[0]
+                ratio = len(raw) / len(compressor.compress(raw)) if raw else None
+                least, most = (k * prose_ratio(len(raw)) for k in band)
                 chunks = [chunk_bytes / len(compressor.compress(raw[i : i + chunk_bytes])) for i in chunk_starts(len(raw), chunk_bytes)]
-                rows.append((key, len(raw), *base_counts(text, marks), len(raw) / len(compressor.compress(raw)) if raw else None, min(chunks, default=None), max(chunks, default=None), *more))
-            fields = [x.split() for x in FEATURES.split(", ")]
+                low, high = min(chunks, default=None), max(chunks, default=None)
+                kept = not failed and least <= ratio <= most and (not chunks or (low >= chunk_band[0] * usual and high <= chunk_band[1] * usual))
+                rows.append((key, *counts, failed, kept, ratio, least, most, low, high))
+            fields = [x.split() for x in RULES.split(", ")]
             columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
-            kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+            kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
-    text, source = F.col("text").cast("string"), F.col("source").cast("string") if "source" in docs.columns else F.lit("")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(source, F.lit("")).alias("source"), F.xxhash64(text).alias("print")).mapInArrow(measure, FEATURES)
-
-
-def prose(size_class: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, PROSE)), (F.least(F.greatest(size_class, F.lit(PROSE_FROM)), F.lit(PROSE_FROM + len(PROSE) - 1)) - PROSE_FROM + 1).cast("int"))
-
-
-def pooled(counts: dict[int, int], chunk_class: int, least: int) -> list[tuple[int, int]]:
-    """(class, target) for each target and the classes that its limits come from: itself, and as many neighbours as it takes."""
-    out = []
-    for target in counts:
-        at, own, reach = chunk_class if target == CHUNKS else target, {target}, 0
-        while sum(counts[c] for c in own) < least and len(own) < len(counts) and reach <= 130:
-            own |= {c for c in counts if c != CHUNKS and abs(c - at) <= reach}
-            reach += 1
-        if sum(counts[c] for c in own) >= least:
-            out += [(c, target) for c in own]
-    return out
-
-
-def bands(texts: DataFrame, chunk_class: int, spread: float, least_width: float, least_texts: int) -> DataFrame:
-    """target, low, high: limits of each class, from (class, source, print, value), values being parts of the prose ratio."""
-    bins = texts.distinct().groupBy("class", "source", F.floor(F.ln("value") * STEPS).alias("bin")).agg(F.count("*").alias("n"))
-    bins = written(bins, "ratios")
-    # a row a class, 130 at most
-    counts = {r["class"]: r.n for r in bins.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    pools = texts.sparkSession.createDataFrame(pooled(counts, chunk_class, least_texts), "class long, target long")
-    bins = bins.join(F.broadcast(pools), "class").groupBy("target", "source", "bin").agg(F.sum("n").alias("n"))
-    sums = bins.groupBy("target", "source").agg(F.sum("n").alias("of"))
-    weighed = bins.join(sums, ["target", "source"]).groupBy("target", "bin").agg(F.sum(F.expr("n * 1000000000 div of")).alias("w")).withColumn("value", F.exp((F.col("bin") + 0.5) / STEPS))
-
-    def middle(of: DataFrame, value: str, name: str) -> DataFrame:
-        upto = F.sum("w").over(Window.partitionBy("target").orderBy(value, "bin"))
-        whole = F.sum("w").over(Window.partitionBy("target"))
-        return of.withColumn("past", 2 * upto >= whole).filter("past").groupBy("target").agg(F.min(value).alias(name))
-
-    medians = middle(weighed, "value", "median")
-    off = weighed.join(F.broadcast(medians), "target").withColumn("off", F.abs(F.col("value") - F.col("median")))
-    width = F.greatest(F.lit(2 * spread) * F.col("deviation"), F.lit(least_width) * F.col("median"))
-    found = medians.join(middle(off, "off", "deviation"), "target").select("target", (F.col("median") - width).alias("low"), (F.col("median") + width).alias("high"))
-    known = texts.sparkSession.createDataFrame([(c,) for c in counts], "target long")
-    return known.join(found, "target", "left").select("target", *(F.coalesce(k, F.lit(v)).alias(k) for k, v in zip(("low", "high"), PROSE_BAND, strict=True)))
-
-
-def quality_rules(
-    docs: DataFrame,
-    min_words: int = 50,
-    max_repeat_percent: int = 50,
-    symbols: str = "#*$%&|<>",
-    level: int = 3,
-    chunk_bytes: int = 4096,
-    spread: float = 4.0,
-    least_width: float = 0.08,
-    least_texts: int = 30,
-    wide: tuple[float, float] = (0.5, 12.0),
-) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and the ratios with their limits."""
-    features = written(compression_features(docs, level, chunk_bytes, symbols), "compression").withColumn(
-        "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    )
-    size_class = F.floor(2 * F.log2(F.greatest(F.col("n_bytes"), F.lit(1))))
-    features = features.withColumn("size_class", size_class).withColumn("chunk_class", F.lit(CHUNKS).cast("long"))
-
-    chunk_class = math.floor(2 * math.log2(chunk_bytes))
-    passing = features.filter(~F.col("base_failed"))
-    own = passing.select(F.col("size_class").alias("class"), "source", "print", (F.col("ratio") / prose(F.col("size_class"))).alias("value"))
-    chunks = passing.filter(F.col("chunk_high").isNotNull()).select(F.lit(CHUNKS).cast("long").alias("class"), "source", "print", (F.col("chunk_high") / prose(F.lit(chunk_class))).alias("value"))
-    limits = written(bands(own.unionByName(chunks), chunk_class, spread, least_width, least_texts), "limits")
-
-    def limits_of(rows: str, key: str, at: Column, value: str):
-        return F.broadcast(limits.filter(rows).select(F.col("target").alias(key), *((F.col(k) * prose(at)).alias(f"{value}_{n}") for k, n in (("low", "min"), ("high", "max")))))
-
-    # a row for each half octave of length, 128 at most; chunks are of one length
-    by_size = limits_of(f"target <> {CHUNKS}", "size_class", F.col("target"), "ratio")
-    by_chunk = limits_of(f"target = {CHUNKS}", "chunk_class", F.lit(chunk_class), "chunk_high")
-    judged = features.join(by_size, "size_class", "left").join(by_chunk, "chunk_class", "left")
-    outside = (
-        ~F.col("ratio").between(F.coalesce("ratio_min", F.lit(wide[0])), F.coalesce("ratio_max", F.lit(wide[1])))
-        | (F.col("chunk_high") > F.coalesce("chunk_high_max", F.lit(wide[1])))
-        | (F.col("chunk_low") < F.coalesce("chunk_high_min", F.lit(wide[0])))
-    )
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))).alias("kept"),
-        "ratio", "ratio_min", "ratio_max", "chunk_low", "chunk_high",
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(judge, RULES)
