@@ -11,11 +11,14 @@ by one rename from a temporary name; readers ask for it and take only what it na
 
 Payload digests are counted over the whole table first. Of the records whose payloads are
 equal and have at least `revisit_bytes` bytes, the one with the largest page_id is the
-response; the others revisit it. Null payloads are empty. Null urls are empty. Rows
-without a page_id are left out, as nothing could refer to them; rows of one page_id are
-records of their own, each judged by its own payload, and equal payloads under the largest
-page_id are all responses.
+response, of several with that page_id the first by url; the others revisit it. Null payloads are empty. Null urls are empty. Rows
+without a page_id come before all others: they are records without the header of the id, whose record id follows from the payload alone, and
+a response only where no equal payload has an id; what revisits such a response refers to no page_id. Rows of one page_id are records of their own.
 Other columns are ignored.
+
+Shards: the range of all page_ids is cut into equal cells; cells of too many pages are cut again by their own lowest and
+highest id until none holds more than a shard takes, so outlying ids do not matter; a single id of too many pages is cut by the digests of its payloads. Neighbouring cells
+of few pages share a shard. Rows of one id and payload stay in one shard, one after the other.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import n_partitions, shared_dir, written
 
-#: Ranges of page_id that are counted to place the shards; bytes that a partition holds about.
-CELLS, PARTITION_BYTES = 4096, 64 << 20
+#: Equal cells of the range of all page_ids, and of a range that is cut again, at most; how often ranges are cut; bytes that a partition holds about; shards at most.
+CELLS, CELLS_AGAIN, DEPTH, PARTITION_BYTES, SHARDS = 4096, 1024, 6, 64 << 20, 200_000
+#: The number by which rows without page_id are dealt.
+NO_ID = -(1 << 63)
 DATE = "2024-01-31T00:00:00Z"
 WRITTEN = "shard long, file string, n_records long, n_bytes long, sha256 string"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, body binary"
@@ -52,29 +57,29 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int, digest: str) -> str:
+def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
-    """One record: a response with its payload, or a revisit with the payload's digest and length alone."""
+def record(page_id: int | None, url: str, payload: bytes, revisit: bool = False, refers_to: int | None = None) -> bytes:
+    """One record: a response with its payload, or a revisit (of refers_to) with the payload's digest and length alone."""
     digest = base32_sha1(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers_to is not None else http + payload
+    block = http if revisit else http + payload
     fields = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")),
-        ("WARC-Page-ID", str(page_id)),
+        *([("WARC-Page-ID", str(page_id))] if page_id is not None else []),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
     ]
-    if refers_to is not None:
+    if revisit:
         fields += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             ("WARC-Refers-To", record_id(refers_to, digest)),
-            ("WARC-Refers-To-Page-ID", str(refers_to)),
+            *([("WARC-Refers-To-Page-ID", str(refers_to))] if refers_to is not None else []),
         ]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -97,44 +102,79 @@ def parsed(stream) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def shards_of(known: DataFrame, pages_per_shard: int) -> DataFrame:
-    """cell, low, width, last, before: how the page_ids of each of CELLS equal ranges are cut, by the range's own
-    bounds and exact count, into shards, and how many shards come before. It has CELLS rows at most."""
-    ends = known.agg(F.min("page_id").alias("bottom"), F.max("page_id").alias("top"))
-    span = (F.col("top").cast("decimal(20,0)") - F.col("bottom")) / CELLS
-    cells = known.join(F.broadcast(ends.select("bottom", F.ceil(span + 1).cast("long").alias("step")))).withColumn("cell", cell_of("page_id"))
-    counts = cells.groupBy("cell", "bottom", "step").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count("*").alias("size"), F.ceil(F.count("*") / pages_per_shard).alias("n"))
-    width = F.ceil((F.col("high").cast("decimal(20,0)") - F.col("low") + 1) / F.col("n")).cast("long")
-    # neighbouring ranges of few pages share a shard
-    before = F.sum("size").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    return counts.select("cell", "bottom", "step", "low", F.greatest(width, F.lit(1)).alias("width"), F.floor(before / pages_per_shard).cast("long").alias("before"))
-
-
-def cell_of(page_id: str) -> Column:
-    return F.floor((F.col(page_id).cast("decimal(20,0)") - F.col("bottom")) / F.col("step")).cast("long")
+def cut(known: DataFrame, pages_per_shard: int) -> tuple[list[DataFrame], DataFrame]:
+    """The cuts of the range of ids, level by level (at, cell, to, low, step), and the ranges that are left with the number of their first shard and of their pieces (at, shard, pieces).
+
+    known has the ids (number). All tables have as many rows as there are cells, whose number follows the number of shards."""
+
+    def steps(low: Column, high: Column, n: Column, most: int) -> Column:
+        """Width of the cells of a range, 0 where it is small enough or one id."""
+        span = high.cast("decimal(20,0)") - low.cast("decimal(20,0)") + 1
+        parts = F.least(F.lit(most), F.ceil(8 * n / pages_per_shard))
+        return F.when((n > pages_per_shard) & (low < high), F.ceil(span / parts).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+
+    ends = known.agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("n"))
+    ranges = written(ends.select(F.lit(0).cast("long").alias("to"), "low", "n", steps(F.col("low"), F.col("high"), F.col("n"), CELLS).alias("step")), "range")
+    leaves, levels, first = [ranges.filter("step = 0")], [ranges], 1
+    for _ in range(DEPTH):
+        if levels[-1].filter("step > 0").isEmpty():
+            break
+        inside = located(known, levels).filter("step > 0")
+        counts = inside.groupBy("at", cell_of(F.col("number")).alias("cell")).agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("n"))
+        numbers = F.row_number().over(Window.orderBy("at", "cell")) + F.lit(first - 1)
+        found = written(counts.select("at", "cell", numbers.cast("long").alias("to"), "low", "n", steps(F.col("low"), F.col("high"), F.col("n"), CELLS_AGAIN).alias("step")), "range")
+        levels.append(found)
+        leaves.append(found.filter("step = 0").select("to", "low", "n", "step"))
+        first += found.count()
+    left = levels[-1].filter("step > 0").select("to", "low", "n", "step") if len(levels) > DEPTH else leaves[0].limit(0)
+    for leaf in leaves:
+        left = left.unionByName(leaf)
+    pieces = F.greatest(F.lit(1), F.floor(F.col("n") / pages_per_shard))
+    # pages before a range, in the order of ids; a range of one id is as many shards as it has pieces
+    before = F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    return levels, left.select(F.col("to").alias("at"), F.floor(before / pages_per_shard).cast("long").alias("shard"), pieces.alias("pieces"))
+
+
+def cell_of(number: Column) -> Column:
+    return F.floor((number.cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)")) / F.col("step")).cast("long")
+
+
+def located(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """rows with the range (at, low, step) that their number is in, by a look-up a level."""
+    rows = rows.join(F.broadcast(levels[0].select(F.col("to").alias("at"), "low", "step")))
+    columns = [c for c in rows.columns if c not in ("at", "low", "step")]
+    for level in levels[1:]:
+        known = F.broadcast(level.select(F.col("at").alias("_at"), F.col("cell").alias("_cell"), "to", F.col("low").alias("_low"), F.col("step").alias("_step")))
+        rows = rows.withColumn("cell", F.when(F.col("step") > 0, cell_of(F.col("number"))))
+        rows = rows.join(known, (F.col("at") == F.col("_at")) & (F.col("cell") == F.col("_cell")), "left")
+        rows = rows.select(*columns, F.coalesce("to", "at").alias("at"), F.coalesce("_low", "low").alias("low"), F.coalesce("_step", "step").alias("step"))
+    return rows
 
 
 def write_archives(pages: DataFrame, target: str, revisit_bytes: int = 0, roll_bytes: int = 32 << 20, pages_per_shard: int = 4096, level: int = 6) -> DataFrame:
     """Writes the archives and their manifest below target; returns the manifest."""
     spark = pages.sparkSession
-    rows = pages.filter(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("content", F.unhex(F.sha2("payload", 256)))
-    known = written(rows.select("page_id", "content", F.octet_length("payload").alias("n")), "pages")
+    known = written(rows.select("page_id", "content", F.octet_length("payload").alias("n"), F.coalesce("page_id", F.lit(NO_ID)).alias("number")), "pages")
     first = known.filter(F.col("n") >= revisit_bytes).groupBy("content").agg(F.max("page_id").alias("response"), F.count("*").alias("size")).filter("size > 1").select("content", "response")
-    revisits = known.join(first, "content").filter("page_id <> response").select("page_id", "content", "response").distinct()
-    n_parts = max(n_partitions(spark), -(-(known.agg(F.sum("n")).first()[0] or 0) // PARTITION_BYTES))
+    revisits = known.join(first, "content").filter(~F.col("page_id").eqNullSafe(F.col("response"))).select("page_id", "content", "response").distinct()
+    size = known.agg(F.count("*").alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    n_parts = max(n_partitions(spark), -(-size.bytes // PARTITION_BYTES))
+    pages_per_shard = max(pages_per_shard, -(-size.pages // SHARDS))
     # payloads are shuffled once: what a page revisits travels as a row of its own, which sorts before the pages of that id and payload
     none = {"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}
     both = rows.withColumns({"kind": F.lit(1), "response": F.lit(None).cast("long")}).unionByName(revisits.withColumns({"kind": F.lit(0), **none}))
-    cells = F.broadcast(written(shards_of(known, pages_per_shard), "shards"))
-    ends = F.broadcast(cells.select("bottom", "step").limit(1))
-    both = both.join(ends).withColumn("cell", cell_of("page_id")).drop("bottom", "step").join(cells, "cell")
-    both = both.withColumn("shard", F.col("before") + F.floor((F.col("page_id").cast("decimal(20,0)") - F.col("low")) / F.col("width")).cast("long"))
+    levels, ranges = cut(known.select("number"), pages_per_shard)
+    both = located(both.withColumn("number", F.coalesce("page_id", F.lit(NO_ID))), levels).join(F.broadcast(written(ranges, "shards")), "at")
+    # the first four bytes of a digest, as parts of all such numbers
+    part = F.conv(F.hex(F.substring("content", 1, 4)), 16, 10).cast("long") * F.col("pieces") / (1 << 32)
+    both = both.withColumn("shard", F.col("shard") + F.floor(part).cast("long"))
     shards = both.select("shard", "page_id", "content", "kind", "url", "payload", "response").repartitionByRange(n_parts, "shard").sortWithinPartitions("shard", "page_id", "content", "kind", "url")
 
     def write(batches):
         fs, root = store(target)
-        out, done, shard, part, revisit = None, [], None, 0, (None, None, None)
+        out, done, shard, part, mark, before = None, [], None, 0, None, None
 
         def close():
             nonlocal out
@@ -152,16 +192,19 @@ def write_archives(pages: DataFrame, target: str, revisit_bytes: int = 0, roll_b
             for at, page_id, content, url, payload, response in zip(*(batch.column(c) for c in ("shard", "page_id", "content", "url", "payload", "response")), strict=True):
                 page_id, content = page_id.as_py(), content.as_py()
                 if not payload.is_valid:
-                    revisit = (page_id, content, response.as_py())
+                    mark = (page_id, content, response.as_py())
                     continue
-                refers_to = revisit[2] if revisit[:2] == (page_id, content) else None
+                # marked, or behind the response of the same id and payload
+                payload, marked = payload.as_py(), mark is not None and mark[:2] == (page_id, content)
+                revisit = marked or (before == (page_id, content) and len(payload) >= revisit_bytes)
+                refers_to, before = mark[2] if marked else page_id, (page_id, content)
                 if out and (at.as_py() != shard or out[0].tell() >= roll_bytes):
                     close()
                     part = part + 1 if at.as_py() == shard else 0
                 if at.as_py() != shard:
                     shard, part = at.as_py(), 0
                 out = out or (io.BytesIO(), 0)
-                out[0].write(gzip.compress(record(page_id, url.as_py(), payload.as_py(), refers_to), level, mtime=0))
+                out[0].write(gzip.compress(record(page_id, url.as_py(), payload, revisit, refers_to), level, mtime=0))
                 out = out[0], out[1] + 1
         if out:
             close()
@@ -217,8 +260,8 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
                     head, _, payload = block.partition(b"\r\n\r\n")
                     n = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
                     revisit = fields["WARC-Type"] == "revisit"
-                    refers_to = int(fields["WARC-Refers-To-Page-ID"]) if revisit else None
-                    rows.append((int(fields["WARC-Page-ID"]), fields.get("WARC-Target-URI", ""), fields["WARC-Type"], n, fields["WARC-Payload-Digest"].removeprefix("sha1:"), refers_to, None if revisit else payload))
+                    page_id, refers_to = (int(fields[k]) if k in fields else None for k in ("WARC-Page-ID", "WARC-Refers-To-Page-ID"))
+                    rows.append((page_id, fields.get("WARC-Target-URI", ""), fields["WARC-Type"], n, fields["WARC-Payload-Digest"].removeprefix("sha1:"), refers_to, None if revisit else payload))
                     held += len(block)
                 if rows and (not fields or held >= 4 << 20):
                     yield pa.RecordBatch.from_arrays(
