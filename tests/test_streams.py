@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import headlines as hl
 from tidewatch.functions.columns import normal_title
-from tidewatch.streaming import streams
+from tidewatch.streaming import baselines, clusters, streams, trends
 
 
 def arriving(spark, tmp_path, frames, schema):
@@ -51,19 +51,19 @@ def test_upsert_stream(spark, tmp_path):
 
 
 def test_cluster_stream_equals_batch_over_what_has_come(spark, tmp_path):
-    rows = [[(1, "missile strike reported near coast", 0), (2, "talks resume today again", 5)], [(3, "missile strike reported near town", 10)]]
-    schema = "id long, title string, minute int"
+    rows = [[(1, "missile strike reported near coast", "s", 1, 0), (2, "talks resume today again", "s", 1, 5)], [(3, "missile strike reported near town", "s", 1, 10)]]
+    schema = "id long, title string, source string, tier int, minute int"
     stream = arriving(spark, tmp_path, rows, schema).withColumn("published_at", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000))
-    streams.cluster_stream(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/o", f"file://{tmp_path}/cp", []).awaitTermination(180)
+    clusters.cluster_stream(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/o", f"file://{tmp_path}/cp", []).awaitTermination(180)
     batch = spark.createDataFrame([r for x in rows for r in x], schema).withColumn("published_at", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000))
-    found = {r.id: r.cluster_id for r in spark.read.parquet(f"file://{tmp_path}/o/batch=1").collect()}
+    found = {r.id: r.cluster_id for r in spark.read.parquet(f"file://{tmp_path}/o").collect()}
     assert found == {r.id: r.cluster_id for r in hl.cluster_headlines(batch, []).collect()} == {1: 1, 2: 2, 3: 1}
 
 
 def test_terms_are_silent_for_the_cooldown(spark, tmp_path):
     rows = [[(f"s{i}", f"l{n}-{i}", "quake felt", n * 20) for i in range(5)] for n in range(4)]
     stream = arriving(spark, tmp_path, rows, "source string, link string, title string, minute int").withColumn("published_at", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000))
-    streams.trending_stream(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/o", f"file://{tmp_path}/cp").awaitTermination(180)
+    trends.trending_stream(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/o", f"file://{tmp_path}/cp").awaitTermination(180)
     found = spark.read.parquet(f"file://{tmp_path}/o").filter("term = 'quake'").collect()
     assert sorted((r.batch, r.recent_count) for r in found) == [(0, 5), (2, 15)]
 
@@ -94,7 +94,7 @@ def test_baseline_state_goes_on_between_batches(spark, tmp_path):
     rows = [("a", n, h) for h, n in enumerate(counts)]
     schema = "key string, n long, h long"
     stream = arriving(spark, tmp_path, [rows[:27], rows[27:]], schema).withColumn("hour", F.timestamp_seconds(F.col("h") * 3600))
-    found = drained(streams.baseline_alerts(stream, "key"), "baseline", "append", tmp_path).collect()
+    found = drained(baselines.baseline_alerts(stream, "key"), "baseline", "append", tmp_path).collect()
     batch = sc.baseline_anomalies(spark.createDataFrame(rows, schema).withColumn("hour", F.timestamp_seconds(F.col("h") * 3600).cast("timestamp_ntz")), ["key"]).collect()
     assert sorted((r.n, round(r.z, 4)) for r in found) == sorted((r.n, r.z) for r in batch) and found
 

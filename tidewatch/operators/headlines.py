@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import coded_entities, jaccard, normal_title, tokens
+from ..functions.columns import coded_entities, normal_title, tokens
 from ..storage import written
 from .text import importance
 
@@ -25,12 +25,17 @@ def distinct_of_spike(headlines: DataFrame) -> DataFrame:
     return headlines.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
 
 
+def title_terms(title: Column, blocked: tuple[str, ...] = ()) -> Column:
+    """Distinct terms of a title: its words and its codes, without the blocked ones."""
+    terms = F.array_union(tokens(title), F.transform(coded_entities(title), F.lower))
+    return F.array_distinct(F.array_except(terms, F.array(*map(F.lit, blocked)) if blocked else F.array().cast("array<string>")))
+
+
 def trending_terms(headlines: DataFrame, as_of: str, min_count: int = 5, multiplier: float = 3.0, min_sources: int = 2, blocked: tuple[str, ...] = (), exclude_current: bool = False) -> DataFrame:
     """Terms of the last two hours against their daily mean of the last seven days. Terms are counted once a headline."""
     now = F.lit(as_of).cast("timestamp_ntz")
     week = headlines.filter((F.col("published_at") > now - F.expr("interval 7 days")) & (F.col("published_at") <= now))
-    terms = F.array_except(F.array_union(tokens(F.col("title")), F.transform(coded_entities(F.col("title")), F.lower)), F.array(*map(F.lit, blocked)) if blocked else F.array().cast("array<string>"))
-    each = week.select("source", (F.col("published_at") > now - F.expr("interval 2 hours")).alias("recent"), F.explode(F.array_distinct(terms)).alias("term"))
+    each = week.select("source", (F.col("published_at") > now - F.expr("interval 2 hours")).alias("recent"), F.explode(title_terms(F.col("title"), blocked)).alias("term"))
     # pre-aggregated by term and source, so that a very common term shuffles a row for each source and task
     by_source = each.groupBy("term", "source").agg(F.count_if("recent").alias("now"), F.count("*").alias("all"))
     found = by_source.groupBy("term").agg(F.sum("now").alias("recent_count"), F.sum("all").alias("week"), F.count_if(F.col("now") > 0).alias("sources"))
@@ -40,17 +45,46 @@ def trending_terms(headlines: DataFrame, as_of: str, min_count: int = 5, multipl
     return found.filter(spike).select("term", "recent_count", "sources", "baseline", F.when(F.col("baseline") > 0, F.col("recent_count") / F.col("baseline")).otherwise(0.0).alias("multiplier"))
 
 
+def cooldown_links(times: DataFrame, gap: int) -> DataFrame:
+    """(key, at, head, to) of distinct times (key, at): head where no time of the key lies less than the gap before, and the first time
+    a gap or more later, null where that is a head itself or none follows.
+
+    A time looks for both only in the slices of its key, a gap long, around it: beyond the second slice after its own, the first time is a head. A slice holds at
+    most as many times as a gap has seconds, whatever the key holds."""
+    at = F.col("at")
+    own = F.floor(at / gap)
+
+    def sent(shift: int, kind: int, value: Column) -> Column:
+        return F.struct((own + shift).alias("slice"), F.lit(kind).alias("kind"), value.alias("v"))
+
+    # kinds: 0 looks for the first time from v on, 1 is the time itself, 2 tells the next slice of it
+    rows = times.select("key", "at", F.explode(F.array(sent(0, 1, at), sent(1, 2, at), sent(1, 0, at + gap), sent(2, 0, at + gap))).alias("r")).select("key", "at", "r.*")
+    order = Window.partitionBy("key", "slice").orderBy("v", "kind")
+    before = F.max(F.when(F.col("kind") > 0, F.col("v"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("head", F.when(F.col("kind") == 1, before.isNull() | (at - before >= gap)))
+    following = F.min(F.when(F.col("kind") == 1, F.struct("v", "head"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("to", F.when(F.col("kind") == 0, following)).filter("kind < 2")
+    links = rows.groupBy("key", "at").agg(F.max("head").alias("head"), F.min("to").alias("to"))
+    return links.select("key", "at", "head", F.when(~F.col("to.head"), F.col("to.v")).alias("to"))
+
+
 def with_cooldown(df: DataFrame, key: Column, ts: str, minutes: int) -> DataFrame:
-    """Rows that are emitted: the first of a key, then each that comes `minutes` or more after the last emitted one.
-    Times of a key collapse to distinct ones before they are folded in order."""
-    gap = minutes * 60
-    df = df.withColumn("_key", key).withColumn("_at", F.unix_timestamp(F.col(ts).cast("timestamp")))
-    times = df.select("_key", "_at").distinct().groupBy("_key").agg(F.array_sort(F.collect_list("_at")).alias("all"))
-    start = F.array().cast("array<bigint>")
-    kept = F.aggregate("all", start, lambda out, t: F.when((F.size(out) == 0) | (t - F.element_at(out, -1) >= gap), F.array_append(out, t)).otherwise(out))
-    emitted = times.select("_key", F.explode(kept).alias("_at"))
-    first = df.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_at").orderBy("id"))).filter("_nth = 1")
-    return first.join(emitted, ["_key", "_at"]).drop("_nth", "_at", "_key")
+    """Rows that are emitted: the first of a key, then each that comes `minutes` or more after the last emitted one; of one key and second the least id.
+
+    Times with nothing shortly before are emitted in any case. From them, each time's pointer to the first one beyond the cooldown is
+    followed by doubling: in each round marks pass along the pointers and pointers are squared, until none is left, so that a chain
+    of a million takes twenty rounds and no task ever holds a key."""
+    df = written(df.withColumn("_key", key).withColumn("_at", F.unix_timestamp(F.col(ts).cast("timestamp"))), "alerts")
+    chain = written(cooldown_links(df.select(F.col("_key").alias("key"), F.col("_at").alias("at")).filter("key is not null and at is not null").distinct(), minutes * 60), "chain")
+    while not chain.filter("to is not null").isEmpty():
+        marks = chain.filter("to is not null").groupBy("key", F.col("to").alias("at")).agg(F.max("head").alias("mark"))
+        on = chain.filter("to is not null").select("key", F.col("at").alias("to"), F.col("to").alias("next"))
+        squared = chain.join(on, ["key", "to"], "left").join(marks, ["key", "at"], "left")
+        chain = written(squared.select("key", "at", (F.col("head") | F.coalesce("mark", F.lit(False))).alias("head"), F.col("next").alias("to")), "chain")
+    emitted = chain.filter("head").select(F.col("key").alias("_key"), F.col("at").alias("_at"))
+    columns = [c for c in df.columns if c not in ("_key", "_at")]
+    first = df.join(emitted, ["_key", "_at"]).groupBy("_key", "_at").agg(F.min_by(F.struct(*columns), "id").alias("_row"))
+    return first.select("_row.*")
 
 
 def alert_gate(headlines: DataFrame, breaking: Column, rank: Column, excluded: Column, max_tier: int = 2, min_rank: int = 4) -> DataFrame:
@@ -81,43 +115,82 @@ def aggregate_threats(items: DataFrame, by: str, ranks: dict[str, int]) -> DataF
     return parts.groupBy(by).agg(F.max("rank").alias("rank"), F.max_by("category", F.struct("n", -F.col("first"))).alias("category"), (F.sum("wc") / F.sum("w")).alias("confidence")).select(by, names[F.col("rank")].alias("level"), "category", "confidence")
 
 
+def title_sets(headlines: DataFrame, stop_words: list[str]) -> DataFrame:
+    """(id, at, words, key) of titles with two words or more: their words in order, and a digest by which equal sets are known."""
+    words = F.array_sort(F.array_distinct(F.array_except(tokens(F.col("title")), F.array(*map(F.lit, stop_words)).cast("array<string>"))))
+    sets = headlines.select("id", F.unix_timestamp(F.col("published_at").cast("timestamp")).alias("at"), words.alias("words")).filter(F.size("words") >= 2)
+    return sets.withColumn("key", F.unhex(F.sha2(F.array_join("words", " "), 256)))
+
+
+def set_chains(sets: DataFrame, ttl: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (head, at, last, words) of equal sets that follow each other within ttl seconds, and the node (head) of each set and time (key, at).
+
+    An equal set shortly before is the most alike there can be, so the first of such a chain stands for it. Sets of one second are one row before a set's times are put in order."""
+    seconds = sets.groupBy("key", "at").agg(F.min(F.struct("id", "words")).alias("s"))
+    order = Window.partitionBy("key").orderBy("at")
+    before = F.lag("at").over(order)
+    started = seconds.withColumn("first", F.when(before.isNull() | (F.col("at") - before > ttl), F.col("at")))
+    started = started.withColumn("first", F.last("first", ignorenulls=True).over(order)).select("key", "at", "first", F.when(F.col("first") == F.col("at"), F.col("s")).alias("s"))
+    nodes = started.groupBy("key", "first").agg(F.max("at").alias("last"), F.max("s").alias("s"))
+    nodes = nodes.select("key", F.col("s.id").alias("head"), F.col("first").alias("at"), "last", F.col("s.words").alias("words"))
+    members = started.select("key", "at", "first").join(nodes.select("key", F.col("at").alias("first"), "head"), ["key", "first"]).select("key", "at", "head")
+    return nodes, members
+
+
+def prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(head, at, last, size, w, nth): the first words of each node, rarest first, as many as sets that are alike from the threshold on must share one of."""
+    each = nodes.select("head", "at", "last", F.size("words").alias("size"), F.explode("words").alias("w"))
+    df = each.groupBy("w").agg(F.count("*").alias("df"))
+    ranked = each.join(df, "w").withColumn("nth", F.row_number().over(Window.partitionBy("head").orderBy("df", "w")))
+    return ranked.filter(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 1).drop("df")
+
+
+def best_earlier(fresh: DataFrame, known: DataFrame, threshold: float, ttl: int) -> DataFrame:
+    """(head, root): the most alike earlier node of known for nodes of fresh (head, at, last, words), from the threshold on; of equally alike ones the earliest. A node
+    of known counts until ttl seconds after its last.
+
+    Words meet within time slices, as part of the join's key, so that a common word pairs neighbouring hours only. Of a pair go
+    ids, sizes and places alone; how many rare words it shares and how many may follow behind the last of them tell most unlike pairs before any set is fetched."""
+    start = fresh.agg(F.min("at").alias("start"))
+    every = written(prefixes(fresh.withColumn("new", F.lit(True)).unionByName(known.withColumn("new", F.lit(False))) if known is not None else fresh, threshold), "words")
+    x = every.join(fresh.select("head"), "head", "left_semi") if known is not None else every
+    x = x.withColumn("slice", F.floor(F.col("at") / ttl)).alias("x")
+    from_ = F.floor(F.greatest("at", "start") / ttl)
+    y = every.join(F.broadcast(start)).withColumn("slice", F.explode(F.sequence(from_, F.greatest(from_, F.floor(F.col("last") / ttl) + 1)))).alias("y")
+    earlier = (F.struct("y.at", "y.head") < F.struct("x.at", "x.head")) & (F.col("x.at") - F.col("y.last") <= ttl)
+    sizes = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9
+    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.slice") == F.col("y.slice")) & earlier & sizes)
+    met = met.groupBy(F.col("x.head").alias("head"), F.col("y.head").alias("parent")).agg(F.count("*").alias("n"), F.min(F.least(F.col("x.size") - F.col("x.nth"), F.col("y.size") - F.col("y.nth"))).alias("more"), F.min(F.col("x.size") + F.col("y.size")).alias("both"), F.min("y.at").alias("p_at"))
+    likely = met.filter((F.col("n") + F.col("more")) * (1 + threshold) >= threshold * F.col("both") - 1e-6)
+    nodes = fresh.select("head", "words") if known is None else fresh.select("head", "words").unionByName(known.select("head", "words"))
+    pairs = likely.join(fresh.select("head", F.col("words").alias("x_words")), "head").join(nodes.select(F.col("head").alias("parent"), F.col("words").alias("y_words")), "parent")
+    shared = F.size(F.array_intersect("x_words", "y_words"))
+    alike = pairs.select("head", "parent", "p_at", (shared / (F.col("both") - shared)).alias("like")).filter(F.col("like") >= threshold)
+    return alike.groupBy("head").agg(F.max_by("parent", F.struct("like", -F.col("p_at"), -F.col("parent"))).alias("root"))
+
+
+def roots_of(links: DataFrame) -> DataFrame:
+    """(head, root) with each root followed to the end, by doubling; a head that is its own root, or whose root has no row, is an end."""
+    while True:
+        links = written(links, "roots")
+        up = links.select(F.col("head").alias("root"), F.col("root").alias("next"))
+        jumped = links.join(up, "root", "left").select("head", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+        if jumped.filter("moved").isEmpty():
+            return links
+        links = jumped.select("head", "root")
+
+
 def cluster_headlines(headlines: DataFrame, stop_words: list[str], threshold: float = 0.30, ttl_hours: int = 6) -> DataFrame:
     """(id, cluster_id): each headline joins its most alike earlier one of the last hours, from the threshold on; equal
     likeness goes to the earlier one. Clusters are the trees of these links, named by their first headline.
 
     Titles with equal token sets are one node, so copies are no pairs; sets are paired by their rarest tokens (prefix filter)."""
-    words = F.array_sort(F.array_distinct(F.array_except(tokens(F.col("title")), F.array(*map(F.lit, stop_words)))))
-    all_ = headlines.withColumn("words", words).withColumn("at", F.unix_timestamp(F.col("published_at").cast("timestamp"))).select("id", "at", "words")
-    sets = all_.filter(F.size("words") >= 2).withColumn("key", F.array_join("words", " "))
-    order = Window.partitionBy("key").orderBy("at", "id")
-    # an equal set shortly before is the most alike there can be: the first of such a chain stands for it
-    previous = sets.withColumn("p_at", F.lag("at").over(order)).withColumn("new", (F.col("p_at").isNull() | (F.col("at") - F.col("p_at") > ttl_hours * 3600)).cast("int"))
-    chained = previous.withColumn("chain", F.sum("new").over(order))
-    heads = chained.groupBy("key", "chain").agg(F.min(F.struct("at", "id")).alias("h"), F.max("at").alias("last"), F.first("words").alias("words")).select("key", "chain", F.col("h.id").alias("head"), F.col("h.at").alias("at"), "last", "words")
-    df = heads.select("head", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    ranked = heads.select("head", "at", "last", "words", F.explode("words").alias("w")).join(df, "w").withColumn("nth", F.row_number().over(Window.partitionBy("head").orderBy("df", "w")))
-    prefix = ranked.filter(F.col("nth") <= F.size("words") - F.ceil(F.size("words") * F.lit(threshold)) + 1).select("head", "at", "last", "words", "w")
-    # a set meets those of the time buckets that its own bucket can reach: buckets are part of the join key, so a common token pairs
-    # headlines of neighbouring hours only; ids alone go through the join, and each pair is scored once
-    ttl = ttl_hours * 3600
-    prefix = prefix.withColumn("size", F.size("words")).select("head", "at", "last", "size", "w")
-    x = prefix.withColumn("bucket", F.floor(F.col("at") / ttl)).alias("x")
-    y = prefix.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at") / ttl), F.floor(F.col("last") / ttl) + 1))).alias("y")
-    earlier = (F.struct("y.at", "y.head") < F.struct("x.at", "x.head")) & (F.col("x.at") - F.col("y.last") <= ttl)
-    sizes = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9
-    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.bucket") == F.col("y.bucket")) & earlier & sizes).select(F.col("x.head").alias("head"), F.col("y.head").alias("parent"), F.col("y.at").alias("p_at")).distinct()
-    mine, theirs = heads.select("head", F.col("words").alias("x_words")), heads.select(F.col("head").alias("parent"), F.col("words").alias("y_words"))
-    pairs = pairs.join(mine, "head").join(theirs, "parent").withColumn("like", jaccard(F.col("x_words"), F.col("y_words")))
-    best = pairs.filter(F.col("like") >= threshold).groupBy("head").agg(F.max_by("parent", F.struct("like", -F.col("p_at"), -F.col("parent"))).alias("root"))
-    roots = heads.select("head").join(best, "head", "left").select("head", F.coalesce("root", "head").alias("root"))
-    while True:
-        roots = written(roots, "roots")
-        up = roots.select(F.col("head").alias("root"), F.col("root").alias("next"))
-        jumped = roots.join(up, "root").select("head", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        if not jumped.filter("moved").take(1):
-            break
-        roots = jumped.select("head", "root")
-    return chained.join(heads.select("key", "chain", "head"), ["key", "chain"]).join(roots, "head").select("id", F.col("root").alias("cluster_id"))
+    sets = written(title_sets(headlines, stop_words), "sets")
+    nodes, members = set_chains(sets, ttl_hours * 3600)
+    nodes = written(nodes, "nodes")
+    best = best_earlier(nodes.drop("key"), None, threshold, ttl_hours * 3600)
+    roots = roots_of(nodes.select("head").join(best, "head", "left").select("head", F.coalesce("root", "head").alias("root")))
+    return sets.select("id", "key", "at").join(members, ["key", "at"]).join(roots, "head").select("id", F.col("root").alias("cluster_id"))
 
 
 def cluster_summary(headlines: DataFrame, clusters: DataFrame, min_articles: int = 2) -> DataFrame:

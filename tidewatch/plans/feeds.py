@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import feeds, sinks
+from .. import dictionaries as d
+from ..operators import headlines as hl
+from ..sources import feeds, outbox, runs, sinks
 from ..storage import shared_dir
-from ..streaming import streams
-from .queries import AS_OF, FOLD, NOW, ORACLE_SQL, TERMS, query
+from ..streaming import baselines, clusters, escalation, instability, streams, trends
+from .queries import AS_OF, CATEGORY_RISK, CONFLICT, DAILY, FOLD, NOW, ORACLE_SQL, SANCTIONED, SEVERITY_WEIGHTS, TERMS, breaking_gate, convergence_cells, daily_scores, gated_headlines, query, signals_of, trending_terms
 
 #: Records of one landed file.
 PER_FILE = 500
@@ -46,6 +48,17 @@ def arriving(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
 
 
+def arriving_in_order(rows: DataFrame, ts: str, parts: int) -> DataFrame:
+    """Rows as a stream of files that hold equal stretches of the time, one file a micro-batch."""
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession, "arriving")
+    at = F.unix_micros(ts)
+    ends = rows.agg(F.min(at).alias("low"), (F.max(at) - F.min(at) + 1).alias("span"))
+    dealt = rows.join(F.broadcast(ends)).withColumn("part", F.floor((at - F.col("low")) * parts / F.col("span"))).drop("low", "span")
+    for k in range(parts):
+        dealt.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("fx_headline", "select concat('news-', substr(md5(link), 1, 12)) as external_id, title, date_trunc('minute', published_at) as occurred_at, concat('C', id % 5) as country, concat(source, '.example.org') as domain from fx_headline where id % 3 <> 0")
 def article_index(headlines):
     rows = headlines.select(
@@ -207,12 +220,26 @@ def change_messages(events):
     return sinks.change_feed(events.select("id", "country"), "new_event")
 
 
-@query("fx_event", "select 'first' as run, count(*) as fetched, count(*) filter (where id % 3 = 0) as created, count(*) filter (where id % 3 = 1) as updated from fx_event")
+@query("fx_event", "select 'first' as run, 'completed' as status, count(*) as fetched, count(*) filter (where id % 3 = 0) as created, count(*) filter (where id % 3 = 1) as updated, cast(null as varchar) as error from fx_event union all select 'second', 'failed', null, null, null, 'wrong: ' || (select max(id) from fx_event)")
 def ingestion_runs(events):
-    path = shared_dir(events.sparkSession, "runs")
+    """A run that writes all events, and one that fails at the last."""
+    spark = events.sparkSession
+    log, out = shared_dir(spark, "runs"), shared_dir(spark, "run-out")
     change = F.when(F.col("id") % 3 == 0, "insert").when(F.col("id") % 3 == 1, "update").otherwise("none")
-    sinks.run_metrics(events.select(change.alias("change")), path, "first")
-    return events.sparkSession.read.parquet(path)
+    changes = events.select("id", change.alias("change"))
+    runs.recorded(changes, log, "first", lambda df: df.write.parquet(f"{out}/first"))
+    last = changes.agg(F.max("id").alias("last"))
+
+    def failing(df):
+        wrong = F.when(F.col("id") == F.col("last"), F.raise_error(F.concat(F.lit("wrong: "), "id")).cast("long")).otherwise(F.col("id"))
+        df.join(F.broadcast(last)).select(wrong.alias("id")).write.parquet(f"{out}/second")
+
+    try:
+        runs.recorded(changes, log, "second", failing)
+    except Exception as error:
+        if "wrong: " not in str(error):
+            raise
+    return runs.runs(spark, log).select("run", "status", "fetched", "created", "updated", F.nullif(F.regexp_extract("error", "wrong: [0-9]+", 0), F.lit("")).alias("error"))
 
 
 # windows close when they end before the latest time less the delay
@@ -222,9 +249,10 @@ def hourly_events_streamed(events):
     return streamed(streams.hourly_events(arriving(rows), "country")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "country", "n")
 
 
-@query("fx_event", "with w as (select date_trunc('hour', occurred_at)::timestamp - to_hours(h) as start, concat(floor(latitude)::bigint, ',', floor(longitude)::bigint) as cell, event_type from fx_event, range(24) as r(h)) select start, cell, count(distinct event_type) as types, count(*) as total from w where start + interval 24 hours <= (select max(occurred_at) from fx_event) - interval 24 hours group by 1, 2 having count(distinct event_type) >= 3")
+# coarse cells, so that small tables have some
+@query("fx_event", "with w as (select date_trunc('hour', occurred_at)::timestamp - to_hours(h) as start, concat(floor(latitude / 6)::bigint, ',', floor(longitude / 6)::bigint) as cell, event_type from fx_event, range(24) as r(h)) select start, cell, count(distinct event_type) as types, count(*) as total from w where start + interval 24 hours <= (select max(occurred_at) from fx_event) - interval 24 hours group by 1, 2 having count(distinct event_type) >= 3")
 def convergence_streamed(events):
-    rows = events.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("event_type").alias("kind"), F.col("occurred_at").cast("timestamp").alias("ts"))
+    rows = events.select((F.col("latitude") / 6).alias("lat"), (F.col("longitude") / 6).alias("lon"), F.col("event_type").alias("kind"), F.col("occurred_at").cast("timestamp").alias("ts"))
     found = streamed(streams.convergence(arriving(rows)))
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "cell", F.col("types").cast("long").alias("types"), "total")
 
@@ -247,7 +275,7 @@ def closed_only(table: str) -> str:
 def baseline_alerts_streamed(events):
     rows = events.select("event_type", F.col("occurred_at").cast("timestamp").alias("occurred_at"))
     hourly = streamed(streams.hourly_events(arriving(rows), "event_type")).select("event_type", F.col("window.start").alias("hour"), "n")
-    found = streamed(streams.baseline_alerts(arriving(hourly), "event_type"))
+    found = streamed(baselines.baseline_alerts(arriving(hourly), "event_type"))
     return found.select("event_type", F.timestamp_millis("ms").cast("timestamp_ntz").alias("hour"), "n", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"))
 
 
@@ -299,6 +327,89 @@ def trending_streamed(headlines):
     spark = headlines.sparkSession
     table = shared_dir(spark, "trending")
     rows = headlines.select("source", "link", "title", F.col("published_at").cast("timestamp").alias("published_at")).filter(F.col("published_at") <= F.lit(AS_OF).cast("timestamp"))
-    streams.trending_stream(arriving(rows), table, f"{table}-out", f"{table}-checkpoint", blocked=("near", "over")).awaitTermination()
+    trends.trending_stream(arriving(rows), table, f"{table}-out", f"{table}-checkpoint", blocked=("near", "over")).awaitTermination()
     found = spark.read.parquet(f"{table}-out").drop("batch", "found_at")
     return found.withColumn("baseline", F.round("baseline", 4)).withColumn("multiplier", F.round("multiplier", 4))
+
+
+# four stretches of time: what is live is carried from one to the next
+@query("fx_headline")
+def clusters_streamed(headlines):
+    spark = headlines.sparkSession
+    table = shared_dir(spark, "clusters")
+    rows = headlines.select("id", "title", "source", "tier", F.col("published_at").cast("timestamp").alias("published_at"))
+    clusters.cluster_stream(arriving_in_order(rows, "published_at", 4), table, f"{table}-out", f"{table}-checkpoint", d.COMMON_WORDS).awaitTermination()
+    return spark.read.parquet(f"{table}-out").select("id", "cluster_id")
+
+
+@query("fx_headline", ORACLE_SQL["breaking_alerts"][ORACLE_SQL["breaking_alerts"].index("gate as (select id, published_at") :].replace("gate as (", "with gate as (", 1))
+def breaking_alerts_streamed(headlines):
+    """The cooldown in keyed state, over what passes the gate."""
+    gated = gated_headlines(headlines).select("id", "title", F.col("published_at").cast("timestamp").alias("published_at"))
+    return streamed(streams.cooldown_alerts(arriving(gated))).select("id", "key")
+
+
+ORACLE_SQL["breaking_alerts_streamed"] = ORACLE_SQL["breaking_alerts_streamed"].replace("with ", "with recursive ", 1)
+
+
+TICKS = """with closed as (select lower(trim(country)) as country, date_trunc('hour', occurred_at)::timestamp as hour, count(*) as n, sum(case severity when 1 then 0.5 when 2 then 1.0 when 3 then 1.5 when 4 then 2.0 when 5 then 3.0 else 1.0 end * case event_type when 'missile' then 2.0 when 'airstrike' then 2.0 when 'explosion' then 1.5 when 'drone' then 1.5 else 1.0 end) as weight
+ from fx_event where trim(country) <> '' and date_trunc('hour', occurred_at) + interval 1 hour <= (select max(occurred_at) from fx_event) - interval 1 hour group by 1, 2),
+newest as (select max(hour) as newest from closed),
+spans as (select country, min(hour) as low, max(hour) as high from closed group by 1),
+spine as (select country, unnest(generate_series(low, greatest(high, newest - interval 1 hour), interval 1 hour)) as hour from spans, newest),
+full_ as (select s.country, s.hour, coalesce(n, 0) as n, coalesce(weight, 0) as weight from spine s left join closed using (country, hour)),
+t as (select country, hour, sum(n) over week as n, sum(weight) over week as weight, row_number() over (partition by country order by hour) as ticks, sum(n) over (partition by country order by hour rows between 23 preceding and current row) as recent, sum(n) over (partition by country order by hour rows between 47 preceding and 24 preceding) as older
+ from full_ window week as (partition by country order by hour rows between 167 preceding and current row)),
+r as (select *, case when ticks < 48 then 'stable' when coalesce(older, 0) = 0 then case when recent > 0 then 'accelerating' else 'stable' end when recent / older > 1.3 then 'accelerating' when recent / older < 0.7 then 'decelerating' else 'stable' end as trend from t),
+s as (select country, hour, cast(n as bigint) as n, trend, cast(greatest(0, least(100, floor(least(40.0, n / 50.0 * 40.0) + least(30.0, weight / 150.0 * 30.0) + case trend when 'accelerating' then 10 when 'decelerating' then -5 else 0 end + case when country in ('nation_1', 'nation_5') then 10 else 0 end + case when country in ('nation_2', 'nation_5') then 10 else 0 end + 0.5))) as bigint) as score from r)
+select country, hour, n, trend, score from s"""
+
+
+@query("fx_event", TICKS)
+def instability_streamed(events):
+    """A score of each country for each hour, from a stream of closed hours."""
+    signals = signals_of(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    hourly = streamed(instability.hourly_signals(arriving(signals), instability.signal_weight(SEVERITY_WEIGHTS, CATEGORY_RISK)))
+    found = streamed(instability.instability_ticks(arriving_in_order(hourly, "hour", 4), SANCTIONED, CONFLICT))
+    return found.select("country", F.timestamp_millis("ms").cast("timestamp_ntz").alias("hour"), "n", "trend", "score")
+
+
+HISTORY = f"""with {DAILY}, w as (select country, time, score, lag(score) over (partition by country order by time) as p, row_number() over (partition by country order by time) as nth from daily),
+h as (select *, count(*) over r as points, regr_slope(score, nth) over r as line, score - first_value(score) over r as change from w window r as (partition by country order by time range between interval 24 hours preceding and current row)),
+f as (select *, epoch(time) as s, case when points < 3 then 0.0 else round(line, 9) end as slope, case when p is null then null when floor(score) > floor(p) and score >= 2 then 'threshold' when score - p >= 0.5 then 'jump' when p < 4.5 and score >= 4.5 then 'critical' end as found from h),
+g as (select * from f where found is not null),
+kept as (select country, min(s) as s from g group by 1 union all select k.country, (select min(g.s) from g where g.country = k.country and g.s >= k.s + 7200) as s from kept k where exists (select 1 from g where g.country = k.country and g.s >= k.s + 7200))
+select f.country, time, round(slope, 4) + 0.0 as slope, case when slope > 0.1 then 'escalating' when slope < -0.1 then 'de-escalating' else 'stable' end as trend, round(change, 1) + 0.0 as change_24h, case when k.s is not null then found end as signal from f left join kept k on k.country = f.country and k.s = f.s and f.found is not null"""
+
+
+@query("fx_event", HISTORY)
+def escalation_streamed(events):
+    """Slope, trend, change and signal of every score, from keyed state."""
+    scores = daily_scores(events).select(F.col("country").alias("id"), F.col("time").cast("timestamp").alias("at"), "score")
+    found = streamed(escalation.escalation_history(arriving_in_order(scores, "at", 3)))
+    trend = F.when(F.col("slope") > 0.1, "escalating").when(F.col("slope") < -0.1, "de-escalating").otherwise("stable")
+    return found.select(F.col("id").alias("country"), F.timestamp_millis("ms").cast("timestamp_ntz").alias("time"), (F.round("slope", 4) + 0.0).alias("slope"), trend.alias("trend"), (F.round("change_24h", 1) + 0.0).alias("change_24h"), "signal")
+
+
+ORACLE_SQL["escalation_streamed"] = ORACLE_SQL["escalation_streamed"].replace("with ", "with recursive ", 1)
+
+
+# the hours of the first half go into one stream, what it holds is saved, and another stream goes on from there
+@query("fx_event", ORACLE_SQL["baseline_alerts_streamed"][ORACLE_SQL["baseline_alerts_streamed"].index("hourly as") :].replace("hourly as", "with hourly as", 1))
+def baselines_restored(events):
+    spark = events.sparkSession
+    hourly = streamed(streams.hourly_events(arriving(events.select("event_type", F.col("occurred_at").cast("timestamp").alias("occurred_at"))), "event_type")).select("event_type", F.col("window.start").alias("hour"), "n")
+    ends = hourly.agg(F.min("hour").alias("low"), F.max("hour").alias("high")).first()
+    folder, state = shared_dir(spark, "baselines"), shared_dir(spark, "stream-checkpoint")
+    if ends.low is None:
+        return hourly.select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), "n", F.lit(0.0).alias("mean"), F.lit(0.0).alias("z")).limit(0)
+    half = F.lit(ends.low + (ends.high - ends.low) / 2)
+    early = baselines.baseline_alerts(arriving(hourly.filter(F.col("hour") < half)), "event_type")
+    early.writeStream.format("parquet").option("path", f"{folder}-alerts").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    baselines.save_baselines(baselines.state_table(spark, state, "event_type"), folder)
+    late = streamed(baselines.baseline_alerts(arriving(hourly.filter(F.col("hour") >= half)), "event_type", baselines.load_baselines(spark, folder)))
+    found = spark.read.schema(late.schema).parquet(f"{folder}-alerts").unionByName(late)
+    return found.select("event_type", F.timestamp_millis("ms").cast("timestamp_ntz").alias("hour"), "n", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"))
+
+
+ORACLE_SQL["baselines_restored"] = ORACLE_SQL["baselines_restored"].replace("with ", "with recursive ", 1)

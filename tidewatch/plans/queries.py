@@ -213,10 +213,11 @@ def best_unpublished(events):
     return ev.best_per(ev.unpublished_candidates(events, AS_OF, 240), "country", 3).select("country", "id", "rank")
 
 
-@query("fx_event", "select id, title from fx_event where id % 3 = 0 or id % 2 = 0")
+@query("fx_event", "select id, case when id % 3 = 0 then concat(title, ' (live)') else title end as title from fx_event")
 def live_union(events):
+    """All events stored, every third one live with another title."""
     rows = events.select("id", "title")
-    return ev.live_union(rows.filter("id % 3 = 0"), rows.filter("id % 2 = 0"))
+    return ev.live_union(rows.filter("id % 3 = 0").withColumn("title", F.concat("title", F.lit(" (live)"))), rows)
 
 
 @query("fx_event", "select id, case when occurred_at >= (select max(occurred_at) from fx_event) - interval 1 day then concat(title, ' (live)') else title end as title from fx_event")
@@ -436,9 +437,17 @@ def trending_terms(headlines):
     return hl.trending_terms(headlines, AS_OF, blocked=("near", "over")).withColumn("baseline", F.round("baseline", 4)).withColumn("multiplier", F.round("multiplier", 4))
 
 
-def breaking_gate(headlines: DataFrame) -> DataFrame:
+def gate_of() -> tuple:
     level = F.create_map(*[F.lit(x) for kv in d.LEVEL_RANK.items() for x in kv])[F.col("level")]
-    return hl.breaking_alerts(threats_of(headlines), c.contains_any(F.col("title"), d.BREAKING), level, c.contains_any(F.col("title"), d.EXCLUSIONS))
+    return c.contains_any(F.col("title"), d.BREAKING), level, c.contains_any(F.col("title"), d.EXCLUSIONS)
+
+
+def gated_headlines(headlines: DataFrame) -> DataFrame:
+    return hl.alert_gate(threats_of(headlines), *gate_of())
+
+
+def breaking_gate(headlines: DataFrame) -> DataFrame:
+    return hl.breaking_alerts(threats_of(headlines), *gate_of())
 
 
 @query("fx_headline", f"""with recursive gate as (select id, published_at, trim(regexp_replace(regexp_replace(lower(title), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')) as key from (select *, {THREAT_SQL} from fx_headline) where trim(title) <> '' and not {sql_any('title', d.EXCLUSIONS)} and tier <= 2 and ({sql_any('title', d.BREAKING)} or level in ('critical', 'high'))),

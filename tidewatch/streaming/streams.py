@@ -1,14 +1,12 @@
 """Structured Streaming twins: event time, watermarks, and keyed state with time to live.
 
-Streams that only need windows are windowed aggregations; those that compare with history run their
-batch twin for each micro-batch over the batch and the recent part of a table; cooldowns and latest
-positions keep a little state a key.
+Streams that only need windows are windowed aggregations; cooldowns, latest positions and static data
+keep a little state a key. Clusters, trends, baselines, instability and escalation have modules of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import cell_id, normal_title, tokens
-
-
-def trending_counts(headlines: DataFrame, late: str = "2 hours", size: str = "2 hours", slide: str = "30 minutes") -> DataFrame:
-    """Counts of terms, and of their sources, in sliding windows."""
-    each = headlines.withWatermark("published_at", late).select("published_at", "source", F.explode(F.array_distinct(tokens(F.col("title")))).alias("term"))
-    return each.groupBy(F.window("published_at", size, slide), "term").agg(F.count("*").alias("n"), F.approx_count_distinct("source").alias("sources"))
+from ..functions.columns import cell_id, normal_title
 
 
 def hourly_events(events: DataFrame, *by: str, late: str = "1 hour") -> DataFrame:
@@ -42,29 +34,6 @@ def convergence_alerts(points: DataFrame, late: str = "24 hours", min_types: int
     return closed.dropDuplicatesWithinWatermark(["cell", "day"]).select("cell", "day")
 
 
-def baseline_alerts(hourly: DataFrame, by: str, late: str = "2 hours", min_samples: int = 24, z: float = 2.5, min_sd: float = 0.5, cooldown_h: int = 2) -> DataFrame:
-    """Hours of a key (by, hour, n) whose count lies z deviations off those before, with count, mean and squared deviations of each
-    key as its state; alerts of a key are cooldown_h apart at least. Hours must come in order, as closed windows do."""
-
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        samples, mean, m2, alerted = state.get if state.exists else (0, 0.0, 0.0, None)
-        found = []
-        for ms, n in pd.concat(list(frames)).sort_values("ms")[["ms", "n"]].itertuples(index=False):
-            sd = (m2 / (samples - 1)) ** 0.5 if samples > 1 else 0.0
-            score = (n - mean) / sd if sd >= min_sd else 0.0
-            if samples + 1 >= min_samples and abs(score) >= z and (alerted is None or ms - alerted >= cooldown_h * 3_600_000):
-                alerted = int(ms)
-                found.append((key[0], alerted, int(n), mean, score))
-            samples, step = samples + 1, n - mean
-            mean += step / samples
-            m2 += step * (n - mean)
-        state.update((samples, float(mean), float(m2), alerted))
-        yield pd.DataFrame(found, columns=[by, "ms", "n", "mean", "z"])
-
-    rows = hourly.withWatermark("hour", late).select(by, F.unix_millis("hour").alias("ms"), "n", "hour")
-    return rows.groupBy(by).applyInPandasWithState(judge, f"{by} string, ms long, n long, mean double, z double", "samples long, mean double, m2 double, alerted long", "append", GroupStateTimeout.NoTimeout)
-
-
 def with_static(messages: DataFrame) -> DataFrame:
     """Positions with the last static data of their object: messages are (object_id, updated_at, kind, lat, lon, name, ship_type) with kind
     position or static, and an object's last name and type are its state, without end. Rows of a micro-batch are taken in order of time, static data first."""
@@ -173,70 +142,3 @@ def upsert_stream(stream: DataFrame, table: str, feed: str, checkpoint: str, buc
         spark.createDataFrame(index, "bucket int, held long").coalesce(1).write.mode("overwrite").parquet(f"{table}-index/version={n}")
 
     return per_batch(stream, checkpoint, work)
-
-
-def recent_stream(stream: DataFrame, table: str, out: str, checkpoint: str, ts: str, hours: int, detect: Callable[[DataFrame], DataFrame], key: str | None = None, cooldown_minutes: int = 0) -> StreamingQuery:
-    """Runs a batch detector for each micro-batch over the rows of the last hours, this batch's included. Rows are kept by date
-    and batch, so that a batch that runs twice overwrites its own, and only the dates of the last hours are listed and read; the
-    newest time travels from batch to batch as one row. With a key and a cooldown, a key that was found less than the cooldown
-    before the newest time is not found again; results then have that time in the column found_at."""
-
-    def work(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        dated = batch.withColumn("date", F.to_date(ts)).withColumn("batch", F.lit(n))
-        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(table)
-        newest = batch.agg(F.max(ts).alias("newest"))
-        if n:
-            newest = newest.unionByName(spark.read.parquet(f"{table}-newest/batch={n - 1}")).agg(F.max("newest").alias("newest"))
-        newest.coalesce(1).write.mode("overwrite").parquet(f"{table}-newest/batch={n}")
-        last = spark.read.parquet(f"{table}-newest/batch={n}").first()[0]
-        if last is None:
-            return
-        since = last - timedelta(hours=hours)
-        days = ",".join(f"date={since.date() + timedelta(days=i)}" for i in range((last.date() - since.date()).days + 1))
-        rows = spark.read.option("basePath", table).parquet(f"{table}/{{{days}}}").filter((F.col("batch") <= n) & (F.col(ts) >= F.lit(since)))
-        found = detect(rows.drop("date", "batch"))
-        if key:
-            found = found.withColumn("found_at", F.lit(last))
-            if n:
-                before = spark.read.parquet(f"{out}/batch=*").filter(F.col("found_at") > F.lit(last - timedelta(minutes=cooldown_minutes)))
-                found = found.join(before.select(key).distinct(), key, "left_anti")
-        found.write.mode("overwrite").parquet(f"{out}/batch={n}")
-
-    return per_batch(stream, checkpoint, work)
-
-
-def trending_stream(headlines: DataFrame, table: str, out: str, checkpoint: str, cooldown_minutes: int = 30, **limits) -> StreamingQuery:
-    """Terms of the last two hours that stand out against seven days, after each micro-batch; a term is silent for the cooldown
-    after it was found. Headlines without title or seen before within seven days do not count again."""
-    from ..operators.headlines import trending_terms
-
-    def detect(df: DataFrame) -> DataFrame:
-        named = df.filter(F.trim("title") != "").groupBy("source", "link", "title").agg(F.min("published_at").alias("published_at"))
-        return trending_terms(named, df.agg(F.max("published_at")).first()[0].isoformat(sep=" "), **limits)
-
-    return recent_stream(headlines, table, out, checkpoint, "published_at", 7 * 24, detect, "term", cooldown_minutes)
-
-
-def cluster_stream(headlines: DataFrame, table: str, out: str, checkpoint: str, stop_words: list[str], ttl_hours: int = 6) -> StreamingQuery:
-    """Clusters of the last hours after each micro-batch."""
-    from ..operators.headlines import cluster_headlines
-
-    return recent_stream(headlines, table, out, checkpoint, "published_at", ttl_hours, lambda df: cluster_headlines(df, stop_words, ttl_hours=ttl_hours))
-
-
-def escalation_stream(scores: DataFrame, table: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Signals of hotspot scores (id, at, score) over the last day after each micro-batch."""
-    from ..operators.scores import escalation_signals
-
-    return recent_stream(scores, table, out, checkpoint, "at", 24, lambda df: escalation_signals(df, "id", "at", "score"))
-
-
-def instability_stream(signals: DataFrame, table: str, out: str, checkpoint: str, **weights) -> StreamingQuery:
-    """Weekly scores of countries as of the newest signal after each micro-batch."""
-    from ..operators.scores import country_instability
-
-    def detect(df: DataFrame) -> DataFrame:
-        return country_instability(df, str(df.agg(F.max("ts")).first()[0]), **weights)
-
-    return recent_stream(signals, table, out, checkpoint, "ts", 7 * 24, detect)
