@@ -34,3 +34,7 @@ HOTSPOT_WORDS = [("h1", "tehran"), ("h1", "oil"), ("h2", "baghdad"), ("h2", "ira
 COMMON_WORDS = ["the", "and", "for", "near", "over", "after", "from", "with", "that", "this", "der", "die", "und"]
 RELIABILITY = [("src1", 85), ("src2", 70), ("src10", 90), ("src5", 40), ("src3", 62)]  # part of a domain, score; the first in this order counts
 SOURCE_TIERS = [("src0", 1), ("src1", 1), ("src2", 2), ("src3", 2), ("src4", 3)]
+ENTITY_WORDS = [  # entity, word, kind, seq; of equal words of a kind the last by seq counts
+    ("ir", "tehran", "keyword", 1), ("me", "tehran", "keyword", 2), ("iq", "iraq", "keyword", 3), ("iq", "baghdad", "alias", 4), ("me", "baghdad", "alias", 5), ("oil", "oil refinery", "keyword", 6),
+    ("nato", "nato", "alias", 7), ("un", "un", "alias", 8), ("lb", "beirut port", "keyword", 9), ("lb", "beirut", "alias", 10), ("es", "los", "alias", 11), ("fr", "une", "keyword", 12),
+]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import spread
+
 AS_OF = "2024-01-31 00:00:00"
 TABLES = {"fx_event": ("events", "nation"), "fx_source": ("events",), "fx_event_source": ("events",), "fx_headline": ("documents",), "fx_fix": ("events",), "fx_grid": ("orders",), "fx_landing": ("orders", "customer", "nation"), "fx_page": ("pages",), "fx_pipeline": ("supplier", "nation"), "fx_port": ("customer", "nation"), "fx_route": ("customer", "nation"), "fx_dependent": ("supplier", "nation")}
 
@@ -27,17 +29,17 @@ from {events} join {nation} on user_id % 25 = n_nationkey""",
  from (select event_id % 500 as source_id, min(ts) as first_ts from {events} group by event_id % 500) q""",
     "fx_event_source": """select event_id, event_id % 500 as source_id from {events}
  union select event_id, (event_id*7+1) % 500 as source_id from {events} where event_id % 3 = 0""",
-    "fx_headline": """select doc_id as id, concat(case case when doc_id < 200 and doc_id % 2 = 0 then 0 else doc_id % 12 end
+    "fx_headline": """select id, concat(phrase, case when id % 2 = 1 then concat(' ', body) else '' end) as title, case when id % 2 = 0 then body else '' end as description, concat(phrase, ' ', body) as story,
+ source, tier, link, published_at from (select doc_id as id, case case when doc_id < 200 and doc_id % 2 = 0 then 0 else doc_id % 12 end
  when 0 then 'BREAKING: missile strike reported near Tehran' when 1 then 'Drone attack hits oil refinery in Iraq, casualties feared'
  when 2 then 'Ceasefire talks resume in Cairo' when 3 then 'Quarterly earnings lift shares of startup'
  when 4 then 'Large explosion in Beirut port, dozens killed' when 5 then 'Protest and clashes in Baghdad after curfew'
  when 6 then 'NATO summit discusses sanctions on Russia' when 7 then 'Earthquake strikes near coast, tsunami warning'
  when 8 then 'Opinion: what the Suez Canal means' when 9 then 'CVE-2024-12345 exploited by APT28 in data breach'
- when 10 then 'Airstrikes continue over Gaza, air raid sirens in Tel Aviv' else 'Troops deployed to border, minor incident' end,
- case when doc_id % 2 = 1 then concat(' ', replace(text, chr(10), ' ')) else '' end) as title, source, cast(1 + cast(substr(source,4) as int) % 4 as int) as tier,
+ when 10 then 'Airstrikes continue over Gaza, air raid sirens in Tel Aviv' else 'Troops deployed to border, minor incident' end as phrase, replace(text, chr(10), ' ') as body, source, cast(1 + cast(substr(source,4) as int) % 4 as int) as tier,
  concat('http://', source, '.example.org/', doc_id) as link, cast('2024-01-31 00:00:00' as {ts})
   - case when doc_id < 200 then doc_id * 30 else 6000 + (doc_id - 200) * 600 end * interval '1' second as published_at
- from {documents}""",
+ from {documents}) q""",
     "fx_fix": """select event_id as fix_id, user_id % 40 as object_id, case event_id % 2 when 0 then 'aircraft' else 'vessel' end as kind,
  cast(12 as double) + cast((event_id*37) % 3000 as double)/100 as lat, cast(25 as double) + cast((event_id*53) % 4000 as double)/100 as lon, ts as updated_at from {events}""",
     "fx_grid": """select cast(12 + o_orderkey % 30 as double) + 0.5 as lat, cast(25 + o_orderkey % 40 as double) + 0.5 as lon, sum(cast(floor(o_totalprice) as bigint)) as population
@@ -71,7 +73,10 @@ from {events} join {nation} on user_id % 25 = n_nationkey""",
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables below sf_dir."""
     sql = VIEWS[name].replace("{ts}", "timestamp_ntz").replace("varchar(20)", "string")
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES.get(name, ())})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES.get(name, ())}
+    if "documents" in tables:
+        tables["documents"] = spread(tables["documents"].select("doc_id", "text", "source"))
+    return spark.sql(sql, **tables)
 
 
 def with_views(*names: str) -> str:

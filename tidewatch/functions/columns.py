@@ -52,6 +52,12 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return F.lower(text).rlike(quoted(words)) if words else F.lit(False)
 
 
+def region_relevant(title: Column, description: Column, words: list[str], chars: int | None = 500) -> Column:
+    """Whether any of the words is in the first chars characters of title and description, or in all of them where chars is None."""
+    both = F.concat_ws(" ", title, F.coalesce(description, F.lit("")))
+    return contains_any(both if chars is None else F.substring(both, 1, chars), words)
+
+
 def tokens(text: Column, min_length: int = 3) -> Column:
     """Words of letters, digits, _ ' and - in lower case, of min_length at least."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\s'-]", " "), r"\s+"), lambda w: F.length(w) >= min_length)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import coded_entities, normal_title, tokens
 from ..storage import written
+from .dictionary import texts_with
 from .text import importance
 
 
@@ -73,8 +74,8 @@ def with_cooldown(df: DataFrame, key: Column, ts: str, minutes: int) -> DataFram
 
     Times with nothing shortly before are emitted in any case. From them, each time's pointer to the first one beyond the cooldown is
     followed by doubling: in each round marks pass along the pointers and pointers are squared, until none is left, so that a chain
-    of a million takes twenty rounds and no task ever holds a key."""
-    df = written(df.withColumn("_key", key).withColumn("_at", F.unix_timestamp(F.col(ts).cast("timestamp"))), "alerts")
+    of a million takes twenty rounds and no task ever holds a key. Keys are known by their digests."""
+    df = written(df.withColumn("_key", F.unhex(F.sha2(key, 256))).withColumn("_at", F.unix_timestamp(F.col(ts).cast("timestamp"))), "alerts")
     chain = written(cooldown_links(df.select(F.col("_key").alias("key"), F.col("_at").alias("at")).filter("key is not null and at is not null").distinct(), minutes * 60), "chain")
     while not chain.filter("to is not null").isEmpty():
         marks = chain.filter("to is not null").groupBy("key", F.col("to").alias("at")).agg(F.max("head").alias("mark"))
@@ -117,24 +118,22 @@ def aggregate_threats(items: DataFrame, by: str, ranks: dict[str, int]) -> DataF
 
 def title_sets(headlines: DataFrame, stop_words: list[str]) -> DataFrame:
     """(id, at, words, key) of titles with two words or more: their words in order, and a digest by which equal sets are known."""
-    words = F.array_sort(F.array_distinct(F.array_except(tokens(F.col("title")), F.array(*map(F.lit, stop_words)).cast("array<string>"))))
+    words = F.sort_array(F.array_except(tokens(F.col("title")), F.array(*map(F.lit, stop_words)).cast("array<string>")))
     sets = headlines.select("id", F.unix_timestamp(F.col("published_at").cast("timestamp")).alias("at"), words.alias("words")).filter(F.size("words") >= 2)
     return sets.withColumn("key", F.unhex(F.sha2(F.array_join("words", " "), 256)))
 
 
 def set_chains(sets: DataFrame, ttl: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (head, at, last, words) of equal sets that follow each other within ttl seconds, and the node (head) of each set and time (key, at).
+    """Nodes (key, head, at, last) of equal sets (id, at, key) that follow each other within ttl seconds, and the node (head) of each set and time (key, at).
 
     An equal set shortly before is the most alike there can be, so the first of such a chain stands for it. Sets of one second are one row before a set's times are put in order."""
-    seconds = sets.groupBy("key", "at").agg(F.min(F.struct("id", "words")).alias("s"))
+    seconds = sets.groupBy("key", "at").agg(F.min("id").alias("id"))
     order = Window.partitionBy("key").orderBy("at")
     before = F.lag("at").over(order)
-    started = seconds.withColumn("first", F.when(before.isNull() | (F.col("at") - before > ttl), F.col("at")))
-    started = started.withColumn("first", F.last("first", ignorenulls=True).over(order)).select("key", "at", "first", F.when(F.col("first") == F.col("at"), F.col("s")).alias("s"))
-    nodes = started.groupBy("key", "first").agg(F.max("at").alias("last"), F.max("s").alias("s"))
-    nodes = nodes.select("key", F.col("s.id").alias("head"), F.col("first").alias("at"), "last", F.col("s.words").alias("words"))
-    members = started.select("key", "at", "first").join(nodes.select("key", F.col("at").alias("first"), "head"), ["key", "first"]).select("key", "at", "head")
-    return nodes, members
+    started = seconds.withColumn("first", F.when(before.isNull() | (F.col("at") - before > ttl), F.struct("at", F.col("id").alias("head"))))
+    started = started.withColumn("first", F.last("first", ignorenulls=True).over(order)).select("key", "at", "first")
+    nodes = started.groupBy("key", "first").agg(F.max("at").alias("last")).select("key", "first.head", "first.at", "last")
+    return nodes, started.select("key", "at", "first.head")
 
 
 def prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -152,7 +151,7 @@ def best_earlier(fresh: DataFrame, known: DataFrame, threshold: float, ttl: int)
     Words meet within time slices, as part of the join's key, so that a common word pairs neighbouring hours only. Of a pair go
     ids, sizes and places alone; how many rare words it shares and how many may follow behind the last of them tell most unlike pairs before any set is fetched."""
     start = fresh.agg(F.min("at").alias("start"))
-    every = written(prefixes(fresh.withColumn("new", F.lit(True)).unionByName(known.withColumn("new", F.lit(False))) if known is not None else fresh, threshold), "words")
+    every = prefixes(fresh.unionByName(known) if known is not None else fresh, threshold)
     x = every.join(fresh.select("head"), "head", "left_semi") if known is not None else every
     x = x.withColumn("slice", F.floor(F.col("at") / ttl)).alias("x")
     from_ = F.floor(F.greatest("at", "start") / ttl)
@@ -185,12 +184,14 @@ def cluster_headlines(headlines: DataFrame, stop_words: list[str], threshold: fl
     likeness goes to the earlier one. Clusters are the trees of these links, named by their first headline.
 
     Titles with equal token sets are one node, so copies are no pairs; sets are paired by their rarest tokens (prefix filter)."""
-    sets = written(title_sets(headlines, stop_words), "sets")
+    sets = written(title_sets(headlines, stop_words).drop("words"), "sets")
     nodes, members = set_chains(sets, ttl_hours * 3600)
-    nodes = written(nodes, "nodes")
-    best = best_earlier(nodes.drop("key"), None, threshold, ttl_hours * 3600)
+    nodes = nodes.select("head", "at", "last")
+    titles = headlines.join(nodes.select(F.col("head").alias("id")), "id", "left_semi")
+    nodes = written(nodes.join(title_sets(titles, stop_words).select(F.col("id").alias("head"), "words"), "head"), "nodes")
+    best = best_earlier(nodes, None, threshold, ttl_hours * 3600)
     roots = roots_of(nodes.select("head").join(best, "head", "left").select("head", F.coalesce("root", "head").alias("root")))
-    return sets.select("id", "key", "at").join(members, ["key", "at"]).join(roots, "head").select("id", F.col("root").alias("cluster_id"))
+    return sets.join(members, ["key", "at"]).join(roots, "head").select("id", F.col("root").alias("cluster_id"))
 
 
 def cluster_summary(headlines: DataFrame, clusters: DataFrame, min_articles: int = 2) -> DataFrame:
@@ -207,8 +208,8 @@ def cluster_summary(headlines: DataFrame, clusters: DataFrame, min_articles: int
 
 
 def hotspot_matches(headlines: DataFrame, words: DataFrame, hotspots: DataFrame) -> DataFrame:
-    """How many headlines hold a word of each hotspot; zero where none does. Broadcasts the words."""
-    hits = headlines.select("id", F.lower("title").alias("_t")).join(F.broadcast(words), F.contains(F.col("_t"), F.col("word"))).groupBy("hotspot_id").agg(F.countDistinct("id").alias("matches"))
+    """How many headlines hold a word of each hotspot; zero where none does."""
+    hits = texts_with(headlines, "id", "title", words).select("hotspot_id", "id").distinct().groupBy("hotspot_id").agg(F.count("*").alias("matches"))
     return hotspots.select(F.col("id").alias("hotspot_id")).join(hits, "hotspot_id", "left").fillna(0)
 
 

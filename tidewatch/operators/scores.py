@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import banded, cell_id, clamp, half_up
+from .dictionary import small
 from .headlines import with_cooldown
 
 
@@ -138,7 +139,7 @@ def country_risk(events: DataFrame, as_of: str, codes: DataFrame) -> DataFrame:
     fresh = F.when(F.col("occurred_at") > now - F.expr("interval 6 hours"), 2.0).when(F.col("occurred_at") > now - F.expr("interval 24 hours"), 1.5).otherwise(1.0)
     sums = events.filter("is_active").groupBy(F.trim("country").alias("country")).agg(F.sum(F.col("severity") * F.col("confidence_score") / 100.0 * fresh).alias("risk"))
     band = banded(F.col("risk"), [(1000, "severe"), (500, "high"), (100, "moderate")], "low")
-    return sums.join(F.broadcast(codes), "country").select("iso2", F.round("risk", 4).alias("risk"), band.alias("band"))
+    return sums.join(small(codes), "country").select("iso2", F.round("risk", 4).alias("risk"), band.alias("band"))
 
 
 def latest_track(fixes: DataFrame, as_of: str | None = None, ttl_min: int = 8) -> DataFrame:

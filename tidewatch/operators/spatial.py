@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
 from ..storage import written
+from .dictionary import small
 
 KM_A_DEGREE = 111.0
 
@@ -139,7 +140,7 @@ def cells_near(points: DataFrame, cells: DataFrame, radius_km: float = 100.0, mi
 
 def alerts_near(hotspots: DataFrame, alerts: DataFrame, radius_km: float = 150.0) -> DataFrame:
     """The best score and the number of alert cells within a planar radius (degrees times 111) of each hotspot. Broadcasts the hotspots, a fixed list."""
-    h = F.broadcast(hotspots.select(F.col("id").alias("hotspot_id"), F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon")))
+    h = small(hotspots.select(F.col("id").alias("hotspot_id"), F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon")))
     far = F.sqrt(F.pow(F.col("c_lat") - F.col("h_lat"), 2) + F.pow(F.col("c_lon") - F.col("h_lon"), 2)) * KM_A_DEGREE
     return alerts.join(h, far <= radius_km).groupBy("hotspot_id").agg(F.max("score").alias("score"), F.count("*").alias("alerts"))
 

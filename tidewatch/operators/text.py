@@ -1,6 +1,6 @@
 """Classification, place and entity look-up of headlines by dictionaries.
 
-Dictionaries are parameters of a fixed size: weights of contained keywords become one sum of
+Dictionaries that are tables are broadcast up to a counted bound and joined with a shuffle beyond it; lists are parameters of a fixed size: weights of contained keywords become one sum of
 conditions, membership of n-grams an equi join with a broadcast dictionary.
 """
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import AFTER, BEFORE, clamp, contains_any, domain_of, half_up, precision_of, quoted
+from .dictionary import names_of, owned, small, texts_with_whole_words
 
 
 def weight_of(text: Column, keywords: list[tuple[str, int]]) -> Column:
@@ -66,11 +67,18 @@ def geocode(df: DataFrame, key: str, texts: list[str], gazetteer: DataFrame, lon
     for rank, text in enumerate(texts):
         words = F.filter(F.split(F.regexp_replace(F.lower(F.col(text)), r"[,.()\[\]:;'\"!?]", " "), r"\s+"), lambda w: w != "")
         found.append(F.struct(F.lit(rank).alias("rank"), words.alias("words")))
+    gazetteer = gazetteer.filter("name is not null")
+    names = names_of(gazetteer, "name")
     grams = df.select(key, F.explode(F.array(*found)).alias("t")).select(key, "t.rank", "t.words")
-    grams = grams.select(key, "rank", "words", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).filter(F.size("words") >= F.col("n"))
-    starts = F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)
-    grams = grams.select(key, "rank", "n", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))).alias("at", "gram"))
-    hits = grams.join(F.broadcast(gazetteer), F.col("gram") == F.col("name"))
+
+    def of_length(n: int):
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
+        every = F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("words", i, n), " ").alias("gram")))
+        # names are looked up in the row, so that only hits become rows
+        return every if names is None else F.filter(every, lambda g: g["gram"].isin(names))
+
+    grams = grams.select(key, "rank", F.explode(F.flatten(F.array(*map(of_length, range(1, longest + 1))))).alias("g")).select(key, "rank", "g.*")
+    hits = grams.join(small(gazetteer), F.col("gram") == F.col("name"))
     order = Window.partitionBy(key).orderBy("rank", F.desc("n"), F.desc("importance"), "at", F.desc("seq"))
     return hits.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select(key, F.col("name").alias("place"), "latitude", "longitude", "country")
 
@@ -80,7 +88,7 @@ def located_items(articles: DataFrame, keywords: list[tuple[str, str, int]], typ
     keywords, confidence from 15 to 85 by six tenths of the domain's reliability and the points of the type, place with the precision and radius of its importance."""
     reliable = domain_reliability(F.col("domain"), reliability)
     known = classify_events(articles, "title", keywords, types, severity, reliable)
-    places = geocode(articles, "external_id", ["title"], gazetteer).join(F.broadcast(gazetteer.select(F.col("name").alias("place"), "importance")), "place")
+    places = geocode(articles, "external_id", ["title"], gazetteer).join(small(gazetteer.select(F.col("name").alias("place"), "importance")), "place")
     radius = F.lit(None).cast("double")
     for importance, km in radius_km.items():
         radius = F.when(F.col("importance") == importance, km).otherwise(radius)
@@ -92,27 +100,26 @@ def located_items(articles: DataFrame, keywords: list[tuple[str, str, int]], typ
 
 
 def extract_entities(df: DataFrame, key: str, text: str, entities: DataFrame) -> DataFrame:
-    """Entities whose words the text holds as whole words: (key, entity, position). Broadcasts the dictionary."""
-    low = F.lower(F.col(text))
-    hits = df.select(key, low.alias("_t")).join(F.broadcast(entities), F.contains(F.col("_t"), F.col("word")))
-    at = F.instr(F.col("_t"), F.col("word"))
-    before, after = F.substring(F.col("_t"), at - 1, F.lit(1)), F.substring(F.col("_t"), at + F.length("word"), F.lit(1))
-    whole = ((at == 1) | ~before.rlike("[a-z0-9_]")) & ~after.rlike("[a-z0-9_]")
-    return hits.withColumn("at", at).filter(whole).groupBy(key, "entity").agg(F.min("at").cast("long").alias("position"))
+    """Entities whose words the text holds as whole words: (key, entity, position). Entities are (entity, word), or (entity, word, kind, seq) with kind
+    keyword or alias: then a word that several entities list belongs to the last of them by seq, within its kind, and the position is that of an alias only where no keyword is found."""
+    words = owned(entities) if "kind" in entities.columns else entities.withColumn("kind", F.lit("keyword"))
+    hits = texts_with_whole_words(df, key, text, words.select("entity", "word", "kind"))
+    at = F.col("at").cast("long")
+    return hits.groupBy(key, "entity").agg(F.coalesce(F.min(F.when(F.col("kind") == "keyword", at)), F.min(at)).alias("position"))
 
 
 def looked_up(df: DataFrame, on: Column, dictionary: DataFrame, name: str, value: str, default) -> DataFrame:
-    """The dictionary's value for an expression, or the default. Broadcasts the dictionary."""
-    table = F.broadcast(dictionary.select(F.col(name).alias("_name"), F.col(value).alias("_value")))
+    """The dictionary's value for an expression, or the default."""
+    table = small(dictionary.select(F.col(name).alias("_name"), F.col(value).alias("_value")))
     return df.join(table, on == F.col("_name"), "left").withColumn(value, F.coalesce("_value", F.lit(default))).drop("_name", "_value")
 
 
 def source_tiers(df: DataFrame, name: Column, url: Column, tiers: DataFrame, default: int = 4) -> DataFrame:
     """source_tier by the source's name in lower case, else by the host of its address without www., else the default. Tiers are
-    (name, tier), a list of feeds; of equal names the last by seq counts. Broadcasts the list."""
+    (name, tier), a list of feeds; of equal names the last by seq counts."""
     known = tiers.groupBy(F.lower("name").alias("_name")).agg(F.max_by("tier", "seq").alias("_tier"))
-    by_name = F.broadcast(known.select(F.col("_name").alias("_n"), F.col("_tier").alias("_nt")))
-    by_host = F.broadcast(known.select(F.col("_name").alias("_h"), F.col("_tier").alias("_ht")))
+    by_name = small(known.select(F.col("_name").alias("_n"), F.col("_tier").alias("_nt")))
+    by_host = small(known.select(F.col("_name").alias("_h"), F.col("_tier").alias("_ht")))
     found = df.join(by_name, F.lower(name) == F.col("_n"), "left").join(by_host, domain_of(url) == F.col("_h"), "left")
     return found.withColumn("source_tier", F.coalesce("_nt", "_ht", F.lit(default))).drop("_n", "_nt", "_h", "_ht")
 
@@ -146,7 +153,7 @@ def keyword_matches(df: DataFrame, key: str, text: str, keywords: DataFrame, min
     """(key, keyword): keywords that a text holds, single words with inflections, phrases word by word in order.
 
     Inflections of keywords of min_length or more are listed once in the dictionary (a final e may fall), so texts
-    are only cut into words and phrases and joined with it. Broadcasts the dictionary."""
+    are only cut into words and phrases and joined with it."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^A-Za-z0-9_]+"), lambda w: w != "")
     low = F.lower("keyword")
     stem = F.when(low.endswith("e"), F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
@@ -157,13 +164,13 @@ def keyword_matches(df: DataFrame, key: str, text: str, keywords: DataFrame, min
     sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w")))
     grams = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))))
     found = df.select(key, words.alias("w")).filter(F.size("w") > 0).select(key, F.explode(F.array_distinct(grams)).alias("form"))
-    return found.join(F.broadcast(table), "form").select(key, "keyword").distinct()
+    return found.join(small(table), "form").select(key, "keyword").distinct()
 
 
 def affiliation(df: DataFrame, flags: DataFrame, sides: DataFrame, id_col: str = "object_id") -> DataFrame:
-    """Adds the flag of the id's first three digits and the flag's affiliation, neutral where none is listed; broadcasts both dictionaries."""
-    df = df.withColumn("_mid", F.substring(F.col(id_col).cast("string"), 1, 3)).join(F.broadcast(flags.withColumnRenamed("prefix", "_mid")), "_mid", "left").drop("_mid")
-    return df.join(F.broadcast(sides), "flag", "left").withColumn("side", F.coalesce("side", F.lit("neutral")))
+    """Adds the flag of the id's first three digits and the flag's affiliation, neutral where none is listed."""
+    df = df.withColumn("_mid", F.substring(F.col(id_col).cast("string"), 1, 3)).join(small(flags.withColumnRenamed("prefix", "_mid")), "_mid", "left").drop("_mid")
+    return df.join(small(sides), "flag", "left").withColumn("side", F.coalesce("side", F.lit("neutral")))
 
 
 def ship_type(code: Column) -> Column:

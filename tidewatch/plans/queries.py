@@ -339,13 +339,13 @@ KINDS = ", ".join(sql_weight("low", [(w, n) for t, w, n in d.EVENT_KEYWORDS if t
 RELIABLE = "(case " + " ".join(f"when contains(source, '{p}') then {s}" for p, s in d.RELIABILITY) + " else 58 end)"
 
 
-@query("fx_headline", f"""with w as (select id, source, lower(title) as low, [{KINDS.replace('low', 'lower(title)')}] as w from fx_headline),
+@query("fx_headline", f"""with w as (select id, source, lower(story) as low, [{KINDS.replace('low', 'lower(story)')}] as w from fx_headline),
 r as (select id, source, low, w, list_max(w) as best, list_reverse_sort(w)[2] as second from w)
 select id, case when best = 0 then 'alert' else ['{"', '".join(d.EVENT_TYPES)}'][list_position(w, best)] end as event_type,
  cast(case when best = 0 then -20 when best - second >= 10 then 10 when best - second >= 5 then 5 when best - second >= 2 then 0 else -5 end + floor(({RELIABLE} - 60) / 4.0 + 0.5) as bigint) as points,
  cast(greatest(1, least(5, 2 + {sql_weight('low', d.SEVERITY_WORDS)})) as bigint) as event_severity from r""")
 def classify_event(headlines):
-    return tx.classify_events(headlines.select("id", "title", "source"), "title", d.EVENT_KEYWORDS, d.EVENT_TYPES, d.SEVERITY_WORDS, tx.domain_reliability(F.col("source"), d.RELIABILITY)).drop("title", "source")
+    return tx.classify_events(headlines.select("id", F.col("story").alias("title"), "source"), "title", d.EVENT_KEYWORDS, d.EVENT_TYPES, d.SEVERITY_WORDS, tx.domain_reliability(F.col("source"), d.RELIABILITY)).drop("title", "source")
 
 
 def sql_threat(what: str) -> str:
@@ -376,21 +376,23 @@ def threat_summary(headlines):
 REGION = ["gaza", "tehran", "iraq", "beirut", "baghdad", "suez"]
 
 
-@query("fx_headline", f"select id, {sql_any('title', d.BREAKING)} as conflict, {sql_any('title', REGION)} as region from fx_headline")
+@query("fx_headline", f"select id, {sql_any('title', d.BREAKING)} as conflict, {sql_any("substring(concat(title, ' ', description), 1, 500)", REGION)} as region, {sql_any('story', REGION)} as region_anywhere from fx_headline")
 def relevance(headlines):
-    return headlines.select("id", c.contains_any(F.col("title"), d.BREAKING).alias("conflict"), c.contains_any(F.col("title"), REGION).alias("region"))
+    """By title, by the first 500 characters of title and description, and by all of them."""
+    region = c.region_relevant(F.col("title"), F.col("description"), REGION)
+    return headlines.select("id", c.contains_any(F.col("title"), d.BREAKING).alias("conflict"), region.alias("region"), c.region_relevant(F.col("title"), F.col("description"), REGION, None).alias("region_anywhere"))
 
 
 GAZ = values(d.GAZETTEER, "gaz", "name, latitude, longitude, country, importance, seq")
 GEOCODE = f"""with {GAZ},
-words as (select id, list_filter(string_split_regex(regexp_replace(lower(title), '[,.()\\[\\]:;''"!?]', ' ', 'g'), '\\s+'), lambda w: w <> '') as w from fx_headline),
-grams as (select id, n, i as spot, array_to_string(w[i:i + n - 1], ' ') as gram from words, (values (1), (2), (3)) as sizes(n), unnest(range(1, len(w) - n + 2)) as r(i)),
-hits as (select id, name as place, latitude, longitude, country, row_number() over (partition by id order by n desc, importance desc, spot, seq desc) as nth from grams join gaz on gram = name)"""
+words as (select id, rank, list_filter(string_split_regex(regexp_replace(lower(txt), '[,.()\\[\\]:;''"!?]', ' ', 'g'), '\\s+'), lambda w: w <> '') as w from (select id, 0 as rank, title as txt from fx_headline union all select id, 1, description from fx_headline)),
+grams as (select id, rank, n, i as spot, array_to_string(w[i:i + n - 1], ' ') as gram from words, (values (1), (2), (3)) as sizes(n), unnest(range(1, len(w) - n + 2)) as r(i)),
+hits as (select id, name as place, latitude, longitude, country, row_number() over (partition by id order by rank, n desc, importance desc, spot, seq desc) as nth from grams join gaz on gram = name)"""
 
 
 @query("fx_headline", GEOCODE + " select id, place, latitude, longitude, country from hits where nth = 1")
 def geocode(headlines):
-    return tx.geocode(headlines, "id", ["title"], dimension(headlines, d.GAZETTEER, "name string, latitude double, longitude double, country string, importance int, seq int"))
+    return tx.geocode(headlines, "id", ["title", "description"], dimension(headlines, d.GAZETTEER, "name string, latitude double, longitude double, country string, importance int, seq int"))
 
 
 @query("fx_headline fx_event", GEOCODE + ", old as (select id, latitude, longitude, country from fx_event) select h.id, old.country as old_country, h.country as new_country from hits h join old using (id) where nth = 1 and (abs(old.latitude - h.latitude) > 0.01 or abs(old.longitude - h.longitude) > 0.01 or old.country is distinct from h.country)")
@@ -398,12 +400,21 @@ def relocation_diff(headlines, events):
     return ev.location_drift(events.select("id", "latitude", "longitude", "country"), geocode(headlines), "id")
 
 
-@query("fx_headline", f"with {values(d.ENTITIES, 'ents', 'entity, word')}, hits as (select id, entity, instr(lower(title), word) as spot, lower(title) as t, word from fx_headline join ents on contains(lower(title), word)) select id, entity, min(spot) as position from hits where (spot = 1 or not regexp_matches(substr(t, spot - 1, 1), '[a-z0-9_]')) and not regexp_matches(substr(t, spot + length(word), 1), '[a-z0-9_]') group by 1, 2")
+@query("fx_headline", f"with {values(d.ENTITIES, 'ents', 'entity, word')}, hits as (select id, entity, instr(lower(story), word) as spot, lower(story) as t, word from fx_headline join ents on contains(lower(story), word)) select id, entity, min(spot) as position from hits where (spot = 1 or not regexp_matches(substr(t, spot - 1, 1), '[a-z0-9_]')) and not regexp_matches(substr(t, spot + length(word), 1), '[a-z0-9_]') group by 1, 2")
 def extract_entities(headlines):
-    return tx.extract_entities(headlines, "id", "title", dimension(headlines, d.ENTITIES, "entity string, word string"))
+    return tx.extract_entities(headlines, "id", "story", dimension(headlines, d.ENTITIES, "entity string, word string"))
 
 
-MENTIONS = f"with {values(d.ENTITIES, 'ents', 'entity, word')}, hits as (select id, entity, instr(lower(title), word) as spot, lower(title) as t, word from fx_headline join ents on contains(lower(title), word)), m as (select distinct id, entity from hits where (spot = 1 or not regexp_matches(substr(t, spot - 1, 1), '[a-z0-9_]')) and not regexp_matches(substr(t, spot + length(word), 1), '[a-z0-9_]'))"
+WORDS_OF = values(d.ENTITY_WORDS, "listed", "entity, word, kind, seq")
+
+
+@query("fx_headline", f"with {WORDS_OF}, ents as (select word, kind, arg_max(entity, seq) as entity from listed group by 1, 2), hits as (select id, entity, kind, instr(lower(story), word) as spot, lower(story) as t, word from fx_headline join ents on contains(lower(story), word)), w as (select * from hits where (spot = 1 or not regexp_matches(substr(t, spot - 1, 1), '[a-z0-9_]')) and not regexp_matches(substr(t, spot + length(word), 1), '[a-z0-9_]')) select id, entity, coalesce(min(spot) filter (where kind = 'keyword'), min(spot)) as position from w group by 1, 2")
+def entities_with_aliases(headlines):
+    """Keywords before aliases; a word that several entities list belongs to the last."""
+    return tx.extract_entities(headlines, "id", "story", dimension(headlines, d.ENTITY_WORDS, "entity string, word string, kind string, seq int"))
+
+
+MENTIONS = f"with {values(d.ENTITIES, 'ents', 'entity, word')}, hits as (select id, entity, instr(lower(story), word) as spot, lower(story) as t, word from fx_headline join ents on contains(lower(story), word)), m as (select distinct id, entity from hits where (spot = 1 or not regexp_matches(substr(t, spot - 1, 1), '[a-z0-9_]')) and not regexp_matches(substr(t, spot + length(word), 1), '[a-z0-9_]'))"
 
 
 @query("fx_headline", MENTIONS + ", j as (select entity, h.*, row_number() over (partition by entity order by h.id) as nth from m join fx_headline h using (id)) select entity, count(*) as articles, count(distinct source) as sources, string_agg(title, ' | ' order by nth) filter (where nth <= 3) as titles from j group by 1")
@@ -512,11 +523,11 @@ FORMS = "(" + ", ".join(f"'{x}'" for x in tx.SUFFIXES) + ")"
 
 
 @query("fx_headline", f"""with {values(KEYWORDS, 'words', 'keyword')}, forms as (select keyword, keyword as form from words union select keyword, base || suffix from (select keyword, unnest([keyword, case when keyword like '%e' then left(keyword, length(keyword) - 1) else keyword end]) as base from words where keyword not like '% %'), (values {', '.join(f"('{x}')" for x in tx.SUFFIXES)}) as s(suffix)),
-tokens as (select id, list_filter(string_split_regex(lower(title), '[^A-Za-z0-9_]+'), lambda w: w <> '') as w from fx_headline),
+tokens as (select id, list_filter(string_split_regex(lower(story), '[^A-Za-z0-9_]+'), lambda w: w <> '') as w from fx_headline),
 grams as (select distinct id, array_to_string(w[i:i + n - 1], ' ') as form from tokens, (values (1), (2), (3)) as sizes(n), unnest(range(1, len(w) - n + 2)) as r(i))
 select distinct id, keyword from grams join forms using (form)""")
 def keyword_matches(headlines):
-    return tx.keyword_matches(headlines, "id", "title", dimension(headlines, KEYWORDS, "keyword string"))
+    return tx.keyword_matches(headlines, "id", "story", dimension(headlines, KEYWORDS, "keyword string"))
 
 
 @query("fx_page", "select page_id, regexp_extract(concat(head, html), 'og:image\" content=\"(http[^\"]+)\"', 1) as image, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) as title from fx_page")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _open = threading.local()
 
@@ -45,6 +46,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             removed(spark, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where its files give fewer partitions than there are cores: for long work on each row, which a table in few files would leave to few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    # always true; as it is another value on each row, the optimizer moves no later filter, with the work that it does on each row, below the shuffle
+    return df.repartition(cores).filter(F.monotonically_increasing_id() >= 0)
+
+
 def file_system(spark: SparkSession, path: str):
     """The file system of a path, as Spark sees it, and the path there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -44,11 +44,11 @@ def cluster_stream(headlines: DataFrame, table: str, out: str, checkpoint: str,
             rows = batch.dropDuplicates(["id"]).join(articles.select("id"), "id", "left_anti").select("id", "title", "source", "tier", "published_at")
             rows = written(rows, "headlines")
             sets = written(title_sets(rows, stop_words), "sets")
-            nodes, members = set_chains(sets, ttl)
-            nodes = written(nodes, "nodes")
+            nodes, members = set_chains(sets.select("id", "at", "key"), ttl)
+            nodes = written(nodes.select("head", "at", "last").join(sets.select(F.col("id").alias("head"), "words"), "head"), "nodes")
             live = articles.filter("words is not null").join(clusters.select("cluster_id", F.col("updated").alias("last")), "cluster_id")
             live = written(live.select("cluster_id", F.col("id").alias("head"), "at", "last", "words"), "live")
-            best = best_earlier(nodes.drop("key"), live.drop("cluster_id"), threshold, ttl)
+            best = best_earlier(nodes, live.drop("cluster_id"), threshold, ttl)
             roots = roots_of(nodes.select("head").join(best, "head", "left").select("head", F.coalesce("root", "head").alias("root")))
             known = roots.join(live.select(F.col("head").alias("root"), "cluster_id"), "root", "left").select("head", F.coalesce("cluster_id", "root").alias("cluster_id"))
             found = written(sets.join(members, ["key", "at"]).join(known, "head").select("id", "at", "key", "cluster_id", F.when(F.col("id") == F.col("head"), F.col("words")).alias("words")), "found")
