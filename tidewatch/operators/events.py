@@ -101,6 +101,26 @@ def event_page(events: DataFrame, limit: int = 4000, offset: int = 0) -> DataFra
     return events.orderBy(F.desc("occurred_at"), "id").offset(offset).limit(min(limit, 5000))
 
 
+#: Columns of an event as lists and details show it, and of a layer of the map.
+DETAIL = (
+    "id external_id title summary description event_type severity confidence_score verification_status geolocation_precision latitude longitude location_radius_km country region city "
+    "occurred_at first_seen_at last_updated_at is_active created_at updated_at"
+).split()
+LAYER = "id event_type severity confidence_score latitude longitude location_radius_km occurred_at".split()
+
+
+def projected(events: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns in this order; null where the table has none of that name."""
+    return events.select(*(F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in columns))
+
+
+def event_list(events: DataFrame, links: DataFrame, limit: int = 4000, offset: int = 0) -> DataFrame:
+    """A page of the latest events with all columns and the count of their sources; links are counted for the page's events only."""
+    page = event_page(projected(events, DETAIL), limit, offset)
+    own = links.join(F.broadcast(page.select(F.col("id").alias("event_id"))), "event_id", "left_semi")  # 5000 ids at most
+    return with_source_count(page, own)
+
+
 def event_sources(events: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
     """Each event's sources with their rank by reliability."""
     found = events.select(F.col("id").alias("event_id")).join(links, "event_id").join(sources, "source_id")
@@ -291,3 +311,17 @@ def location_drift(old: DataFrame, new: DataFrame, key: str, tolerance: float =
     if "region" in old.columns and "region" in new.columns:
         moved = moved | ~F.col("o.region").eqNullSafe(F.col("n.region"))
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}")).filter(moved).select(F.col(f"o.{key}"), F.col("o.country").alias("old_country"), F.col("n.country").alias("new_country"))
+
+
+def urgent_unpublished(events: DataFrame, published: DataFrame, as_of: str, minutes: int = 10, types: tuple[str, ...] = ("missile", "airstrike", "explosion"), min_severity: int = 4, min_confidence: int = 72) -> DataFrame:
+    """Active events of the urgent types that were first seen in the last minutes, are grave and sure enough, and whose id is not among the published, with their rank: the gravest, then the surest."""
+    since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {minutes} minutes")
+    found = events.filter(F.col("is_active") & (F.col("first_seen_at") >= since) & (F.col("severity") >= min_severity) & (F.col("confidence_score") >= min_confidence) & F.col("event_type").isin(*types))
+    found = found.join(published.select("id"), "id", "left_anti").select("id", "event_type", "severity", "confidence_score")
+    # severities and confidences are a few hundred pairs: ranks within a pair go behind the counts of those before
+    pair = ["severity", "confidence_score"]
+    counts = found.groupBy(*pair).agg(F.count("*").alias("n"))
+    order = Window.orderBy(F.desc("severity"), F.desc("confidence_score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = counts.select(*pair, (F.sum("n").over(order) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*pair).orderBy("id"))
+    return found.withColumn("nth", within).join(before, pair).select("id", "event_type", *pair, (F.col("before") + F.col("nth")).alias("rank"))

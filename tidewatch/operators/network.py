@@ -87,13 +87,14 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets")).join(F.broadcast(nodes))
 
 
-def cable_alternatives(landings: DataFrame, k: int = 5) -> DataFrame:
-    """For each cable up to k others that serve its countries, by mean share there: joined on country."""
+def cable_alternatives(landings: DataFrame, k: int = 5, listed: str | None = None) -> DataFrame:
+    """For each cable up to k others that serve its countries, with their mean share there: those that share most countries, or the first by the column listed, a cable's place in the list. Joined on country."""
     a = landings.select("cable_id", "country")
-    b = landings.select(F.col("cable_id").alias("other_id"), "country", "capacity_share")
-    shared = a.join(b, "country").filter("cable_id <> other_id").groupBy("cable_id", "other_id").agg(F.count("*").alias("shared"), F.avg("capacity_share").alias("mean_share"))
-    rank = F.row_number().over(Window.partitionBy("cable_id").orderBy(F.desc("shared"), F.desc(F.round("mean_share", 9)), "other_id"))
-    return shared.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    b = landings.select(F.col("cable_id").alias("other_id"), "country", "capacity_share", (F.col(listed) if listed else F.lit(0)).alias("_place"))
+    shared = a.join(b, "country").filter("cable_id <> other_id").groupBy("cable_id", "other_id").agg(F.count("*").alias("shared"), F.avg("capacity_share").alias("mean_share"), F.min("_place").alias("_place"))
+    order = ["_place", "other_id"] if listed else [F.desc("shared"), F.desc(F.round("mean_share", 9)), "other_id"]
+    rank = F.row_number().over(Window.partitionBy("cable_id").orderBy(*order))
+    return shared.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).drop("_place")
 
 
 def port_importance(kind, rank):

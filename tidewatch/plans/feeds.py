@@ -413,3 +413,23 @@ def baselines_restored(events):
 
 
 ORACLE_SQL["baselines_restored"] = ORACLE_SQL["baselines_restored"].replace("with ", "with recursive ", 1)
+
+
+def body_of(name: str) -> str:
+    """A query's SQL as a table."""
+    return f"({ORACLE_SQL[name]})"
+
+
+@query("fx_headline fx_event fx_fix", f"select 'trending_spikes' as type, count(*) as n, cast(sum(recent_count) as bigint) as total from {body_of('trending_terms')} union all select 'convergence_alerts', count(*), cast(sum(score) as bigint) from {body_of('convergence_cells')} union all select 'breaking_alerts', count(*), cast(sum(id) as bigint) from {body_of('breaking_alerts')}")
+def detector_feed(headlines, events, fixes):
+    """What three detectors found, through the outbox into a feed, sent again as after a failure."""
+    spark = headlines.sparkSession
+    folder = shared_dir(spark, "outbox")
+    box = outbox.Outbox(spark, folder)
+    found = {"trending_spikes": lambda: trending_terms(headlines), "convergence_alerts": lambda: convergence_cells(events, fixes), "breaking_alerts": lambda: breaking_gate(headlines).select("id", "title")}
+    for _ in range(2):
+        for name, detector in found.items():
+            box.put(0, name, lambda name=name, detector=detector: outbox.detector_messages(detector(), name))
+        box.send({"feed": lambda messages, key: messages.write.mode("append").parquet(f"{folder}/feed")})
+    rows = spark.read.parquet(f"{folder}/feed").select("type", F.explode(F.from_json("payload", "array<struct<recent_count: long, score: long, id: long>>")).alias("row"))
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.coalesce("row.recent_count", "row.score", "row.id")).alias("total"))

@@ -96,6 +96,30 @@ def top_source_url(links, sources):
     return ev.top_source_url(links, sources)
 
 
+MORE = "concat('Summary ', id) as summary, concat('About ', title) as description, case when confidence_score >= 80 then 'verified' else 'unverified' end as verification_status, case geolocation_precision when 'exact' then 3 when 'approximate' then 10 else 150 end as location_radius_km, concat('R', id % 9) as region, concat('C', id % 30) as city, occurred_at + interval 1 hour as first_seen_at, occurred_at + interval 2 hours as last_updated_at, occurred_at as created_at, occurred_at as updated_at"
+
+
+def detailed(events: DataFrame) -> DataFrame:
+    """Events with the columns that the fixture has not."""
+    columns = F.expr(f"struct({MORE})")
+    return events.select("*", columns.alias("more")).select(*events.columns, "more.*")
+
+
+@query("fx_event fx_event_source", f"with e as (select *, {MORE} from fx_event), c as (select event_id, count(*) as n from fx_event_source group by 1) select {', '.join(ev.DETAIL)}, coalesce(n, 0) as source_count from e left join c on event_id = id where is_active and event_type <> 'fire' order by occurred_at desc, id limit 4000")
+def event_list(events, links):
+    return ev.event_list(ev.filter_events(detailed(events), ev.EventFilter()), links)
+
+
+@query("fx_event", f"with e as (select *, {MORE} from fx_event) select {', '.join(ev.LAYER)} from e where event_type = 'missile'")
+def event_layer(events):
+    return ev.projected(detailed(events).filter("event_type = 'missile'"), ev.LAYER)
+
+
+@query("fx_event", f"with e as (select *, {MORE} from fx_event) select id, event_type, severity, confidence_score, row_number() over (order by severity desc, confidence_score desc, id) as rank from e where is_active and first_seen_at >= {NOW} - interval 14400 minutes and severity >= 4 and confidence_score >= 72 and event_type in ('missile', 'airstrike', 'explosion') and id not in (select id from fx_event where country = 'NATION_3')")
+def urgent_unpublished(events):
+    return ev.urgent_unpublished(detailed(events), events.filter("country = 'NATION_3'"), AS_OF, 14400)
+
+
 STATS = "count(*) as total, count(*) filter (where confidence_score >= 80) as high_confidence, count(*) filter (where event_type in ('missile', 'drone')) as missile_drone, count(distinct country) as countries, max(occurred_at) as latest"
 
 
@@ -717,6 +741,13 @@ def affected_countries(landings):
     return nw.affected_countries(nw.cascade(edges), edges, landings, landings.select("country").distinct())
 
 
+@query("fx_landing", "with l as (select *, cast(substr(cable_id, 6) as int) as place from fx_landing), p as (select a.cable_id, b.cable_id as other_id, b.place, count(*) as shared, avg(b.capacity_share) as mean_share from l a join l b on a.country = b.country and a.cable_id <> b.cable_id group by 1, 2, 3), r as (select *, row_number() over (partition by cable_id order by place) as rank from p) select cable_id, other_id, shared, round(mean_share, 6) as mean_share, rank from r where rank <= 5")
+def cable_alternatives_listed(landings):
+    """The first ones in the list's order."""
+    placed = landings.withColumn("place", F.substring("cable_id", 6, 9).cast("int"))
+    return nw.cable_alternatives(placed, listed="place").withColumn("mean_share", F.round("mean_share", 6))
+
+
 @query("fx_landing", "with p as (select a.cable_id, b.cable_id as other_id, count(*) as shared, avg(b.capacity_share) as mean_share from fx_landing a join fx_landing b on a.country = b.country and a.cable_id <> b.cable_id group by 1, 2), r as (select *, row_number() over (partition by cable_id order by shared desc, round(mean_share, 9) desc, other_id) as rank from p) select cable_id, other_id, shared, round(mean_share, 6) as mean_share, rank from r where rank <= 5")
 def cable_alternatives(landings):
     return nw.cable_alternatives(landings).withColumn("mean_share", F.round("mean_share", 6))
@@ -895,3 +926,46 @@ ORACLE_SQL["headline_clusters"] = clusters_sql("select id, cluster_id from clust
 ORACLE_SQL["cluster_summary"] = clusters_sql("""select cluster_id, count(*) as articles, first(title order by tier, published_at desc, id) as title, count(distinct source) as sources, min(tier) as best_tier, min(published_at) as created, max(published_at) as updated
 from clusters join fx_headline using (id) group by 1 having count(*) >= 2""")
 ORACLE_SQL["cluster_stats"] = clusters_sql("select count(*) as clusters, count(*) filter (where n >= 2) as multiple, cast(sum(n) as bigint) as articles from (select cluster_id, count(*) as n from clusters group by 1)")
+
+
+# ---- popularity, messages, forms
+
+
+def places_of(events: DataFrame) -> DataFrame:
+    """A place for each event: popularity, whether it is closed or spikes, and 24 hours of values, some of them missing."""
+    values = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.struct(h.alias("hour"), F.when((F.col("id") + h) % 5 != 0, ((F.col("id") * 7 + h * 13) % 40).cast("double")).alias("value")))
+    return events.select(F.col("id").alias("place_id"), F.when(F.col("id") % 11 != 0, (F.col("id") % 100).cast("double")).alias("popularity"), (F.col("id") % 7 == 0).alias("is_spike"), (F.col("id") % 5 == 0).alias("is_closed"), values.alias("sparkline"))
+
+
+SPARKS = "points as (select id as place_id, h as hour, case when (id + h) % 5 <> 0 then cast((id * 7 + h * 13) % 40 as double) end as value from fx_event, range(24) as r(h))"
+
+
+@query("fx_event", f"""with {SPARKS}, last_six as (select place_id, avg(value) as mean from (select *, row_number() over (partition by place_id order by hour desc) as back from points where value > 0) where back <= 6 group by 1),
+o as (select avg(case when id % 5 <> 0 and id % 11 <> 0 then id % 100 end) as open_mean, avg(case when id % 7 = 0 then 1.0 else 0.0 end) as spikes from fx_event)
+select 'open' as places, cast(least(100, floor(open_mean * 0.6 + spikes * 40 + 0.5)) as bigint) as activity from o
+union all select 'closed', cast(least(100, floor((select avg(mean) from last_six) * 0.6 + spikes * 40 + 0.5)) as bigint) from o""")
+def activity_index(events):
+    """Over all places as they are, and as if all were closed."""
+    places = places_of(events)
+    shut = places.withColumn("is_closed", F.lit(True))
+    return sc.activity_index(places).select(F.lit("open").alias("places"), "activity").unionByName(sc.activity_index(shut).select(F.lit("closed").alias("places"), "activity"))
+
+
+@query("fx_event", f"with {SPARKS}, near as (select a.place_id, a.hour, b.value, row_number() over (partition by a.place_id, a.hour order by abs(a.hour - b.hour), b.hour) as nth from points a join points b using (place_id)) select place_id, cast(hour as int) as hour, cast(floor(avg(value) + 0.5) as bigint) as mean from near where nth <= 7 group by 1, 2")
+def sparkline_means(events):
+    return sc.sparkline_means(places_of(events))
+
+
+@query("fx_event", ORACLE_SQL["baseline_anomalies"][ORACLE_SQL["baseline_anomalies"].index("hourly as") :].replace("hourly as", "with hourly as", 1).replace("select event_type, hour, n, round(mean, 4) as mean, round(z, 4) as z from f join kept", "select event_type, hour, printf('%s: %d reports in an hour, usually %.1f (%s, z %.1f)', event_type, n, round(mean, 4), case when abs(round(z, 4)) >= 4 then 'extreme' when abs(round(z, 4)) >= 3 then 'high' else 'notable' end, round(z, 4)) as message from f join kept"))
+def anomaly_messages(events):
+    found = baseline_anomalies(events)
+    return found.select("event_type", "hour", sc.anomaly_message(F.col("event_type"), F.col("n"), F.col("mean"), F.col("z")).alias("message"))
+
+
+ORACLE_SQL["anomaly_messages"] = ORACLE_SQL["anomaly_messages"].replace("with ", "with recursive ", 1)
+
+
+@query("fx_headline", "with t as (select id, title || case id % 4 when 0 then ' - Daily News' when 1 then ' - no. 5 - The Post' when 2 then ' - It ended.' else ' - ' || repeat('x', 61) end as title from fx_headline) select id, case when contains(title, ' - ') and length(list_extract(string_split(title, ' - '), -1)) between 1 and 60 and not regexp_matches(list_extract(string_split(title, ' - '), -1), '[.!?]') then array_to_string(string_split(title, ' - ')[:-2], ' - ') else title end as title from t")
+def titles_without_source(headlines):
+    tail = F.when(F.col("id") % 4 == 0, " - Daily News").when(F.col("id") % 4 == 1, " - no. 5 - The Post").when(F.col("id") % 4 == 2, " - It ended.").otherwise(" - " + "x" * 61)
+    return headlines.select("id", c.without_attribution(F.concat("title", tail)).alias("title"))
