@@ -155,3 +155,33 @@ def test_sparkline_means_and_bands(spark):
     assert value(spark, sc.anomaly_message(F.lit("drone"), F.lit(9), F.lit(2.0), F.lit(3.5))) == "drone: 9 reports in an hour, usually 2.0 (high, z 3.5)"
     assert value(spark, nw.port_importance(F.lit("oil"), F.lit(5))) == 1.0
     assert value(spark, sc.recent_flag(F.lit("2024-01-30 22:00:00").cast("timestamp_ntz"), "2024-01-31 00:00:00"))
+
+
+def test_many_boxes_equal_the_list(spark):
+    rng = random.Random(4)
+
+    def box(k):
+        lat, lon = rng.uniform(-89, 85), rng.uniform(-179, 170)
+        return (k, f"b{k % 700}", lat, lat + rng.choice([0.0, 0.001, 0.3, 1.0, 4.0]), lon, lon + rng.choice([0.0, 0.01, 0.5, 2.0, 8.0]))
+
+    boxes = [box(k // 2) for k in range(3000)] + [(9999, "whole", -90.0, 90.0, -180.0, 180.0), (9998, None, 0.0, 1.0, 0.0, 1.0), (1, "upside down", 5.0, -5.0, 0.0, 1.0)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)] + [(300 + i, b[2], b[5]) for i, b in enumerate(boxes[:50])] + [(7, 1.0, 1.0), (7, 1.0, 1.0), (8, None, 1.0)]
+    table = spark.createDataFrame(boxes, "seq int, country string, min_lat double, max_lat double, min_lon double, max_lon double")
+    found = sp.box_country(spark.createDataFrame(points, "id long, lat double, lon double").repartition(3), table)
+    expected = []
+    for i, lat, lon in points:
+        inside = [(b[0], b[1] is not None, b[1]) for b in boxes if lat is not None and b[2] <= lat <= b[3] and b[4] <= lon <= b[5]]
+        if inside and min(inside)[2] is not None:
+            expected.append((i, min(inside)[2]))
+    assert sorted((r.id, r.box_country) for r in found.collect()) == sorted(expected) and len(expected) > 300
+    few = table.filter("seq < 60 or seq > 9000")
+    same = spark.createDataFrame(points, "id long, lat double, lon double")
+    assert sorted(map(tuple, sp.box_country(same, few).collect())) == sorted(map(tuple, sp.box_country(same, few, listed=1).collect()))
+
+
+def test_pairs_within_one_table_are_as_between_two(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.uniform(20, 22), rng.choice([-179.9, 179.9, 10.0]) + rng.uniform(-0.5, 0.1), i * 3000) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double, s long").withColumn("occurred_at", F.timestamp_seconds("s"))
+    copy = df.select("*")
+    assert sorted(map(tuple, sp.corroborate(df, df, 5, 60.0).collect())) == sorted(map(tuple, sp.corroborate(df, copy, 5, 60.0).collect())) != []

@@ -52,10 +52,18 @@ def nearby(events: DataFrame, probes: DataFrame, radius_km: float = 50.0, k: int
     return pairs.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("probe_id", "id", "rank", "km")
 
 
+def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs with a smaller than b, and each of them the other way round."""
+    more = [c for c in pairs.columns if c not in (a, b)]
+    sides = F.array(F.struct(F.col(a).alias(a), F.col(b).alias(b)), F.struct(F.col(b).alias(a), F.col(a).alias(b)))
+    return pairs.select(F.explode(sides).alias("_p"), *more).select("_p.*", *more)
+
+
 def neighbour_pairs(events: DataFrame, radius_km: float = 25.0) -> DataFrame:
+    """Pairs of events within the radius, both ways; each is found once."""
     left = events.select("id", "latitude", "longitude")
     right = events.select(F.col("id").alias("neighbour_id"), F.col("latitude").alias("r_lat"), F.col("longitude").alias("r_lon"))
-    return radius_join(left, right, radius_km, F.col("id") != F.col("neighbour_id"), ("latitude", "longitude", "r_lat", "r_lon")).select("id", "neighbour_id", "km")
+    return both_ways(radius_join(left, right, radius_km, F.col("id") < F.col("neighbour_id"), ("latitude", "longitude", "r_lat", "r_lon")).select("id", "neighbour_id", "km"), "id", "neighbour_id")
 
 
 def hotspot_count(events: DataFrame, radius_km: float = 25.0, min_neighbours: int = 1) -> DataFrame:
@@ -72,13 +80,39 @@ def corroborate(a: DataFrame, b: DataFrame, hours: int, radius_km: float) -> Dat
     left = _cells(left, "latitude", "longitude", radius_km, False).withColumn("_time", F.floor(F.col("a_ts") / span))
     right = _cells(right, "r_lat", "r_lon", radius_km, True).withColumn("_time", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("b_ts") / span) + d)))
     near = haversine_km(F.col("latitude"), F.col("longitude"), F.col("r_lat"), F.col("r_lon")) <= radius_km
-    pairs = left.join(right, ["_row", "_column", "_time"]).filter((F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_ts") - F.col("b_ts")) <= span) & near)
-    return pairs.select("a_id", "b_id")
-
-
-def box_country(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """The country of the first box that holds each point; points in none are dropped. Each row looks through the fixed list of boxes."""
-    return with_list(points, boxes, "_boxes").withColumn("box_country", first_box(F.col(lat), F.col(lon))).drop("_boxes").filter(F.col("box_country").isNotNull())
+    apart = F.abs(F.col("latitude") - F.col("r_lat")) <= 1.01 * radius_km / KM_A_DEGREE  # cheaper, and true of all that are near
+    # within one table each pair is found once
+    other = F.col("a_id") < F.col("b_id") if a is b else F.col("a_id") != F.col("b_id")
+    pairs = left.join(right, ["_row", "_column", "_time"]).filter(other & (F.abs(F.col("a_ts") - F.col("b_ts")) <= span) & apart & near).select("a_id", "b_id")
+    return both_ways(pairs, "a_id", "b_id") if a is b else pairs
+
+
+#: Boxes that each row looks through as a list; more are joined by cells.
+LISTED = 200
+
+
+def box_country(points: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon", listed: int = LISTED) -> DataFrame:
+    """The country of the first box by seq that holds each point, of equal seq the first by name; points in none are dropped.
+
+    Up to `listed` boxes, which are counted, are a list in each row. More of them are joined: a box has the cells that it meets on the
+    level whose cells are as wide as it or up to twice as wide, four at most, and a point has its own cell on each level that boxes have."""
+    if boxes.limit(listed + 1).count() <= listed:
+        return with_list(points, boxes, "_boxes").withColumn("box_country", first_box(F.col(lat), F.col(lon))).drop("_boxes").filter(F.col("box_country").isNotNull())
+    side = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"), F.lit(1e-6))
+    sized = boxes.filter("min_lat <= max_lat and min_lon <= max_lon").withColumn("_level", F.ceil(F.log2(side)).cast("int"))
+    levels = [r[0] for r in sized.select("_level").distinct().collect()]  # powers of two from a millionth of a degree up: thirty at most
+
+    def cell(value: Column) -> Column:
+        return F.floor(value / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+
+    covers = sized.withColumn("_row", F.explode(F.sequence(cell(F.col("min_lat")), cell(F.col("max_lat"))))).withColumn("_column", F.explode(F.sequence(cell(F.col("min_lon")), cell(F.col("max_lon")))))
+    covers = covers.select("_level", "_row", "_column", "seq", "country", "min_lat", "max_lat", "min_lon", "max_lon")
+    rows = written(points.withColumn("_id", F.monotonically_increasing_id()), "points")
+    places = rows.select("_id", F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.explode(F.array(*map(F.lit, levels))).alias("_level"))
+    met = places.withColumn("_row", cell(F.col("_lat"))).withColumn("_column", cell(F.col("_lon"))).join(covers, ["_level", "_row", "_column"])
+    inside = met.filter(F.col("_lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("_lon").between(F.col("min_lon"), F.col("max_lon")))
+    first = inside.groupBy("_id").agg(F.min(F.struct("seq", "country")).getField("country").alias("box_country"))
+    return rows.join(first.filter("box_country is not null"), "_id").drop("_id")
 
 
 def with_list(df: DataFrame, fixed: DataFrame, name: str) -> DataFrame:
