@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import coded_entities, normal_title, tokens
 from ..storage import written
 from .dictionary import texts_with
-from .text import importance
+from .text import extract_entities, importance
 
 
 def first_of_link(headlines: DataFrame) -> DataFrame:
@@ -222,9 +222,32 @@ def entity_mentions(mentions: DataFrame, headlines: DataFrame) -> DataFrame:
     return counts.join(titles, "entity")
 
 
+def cluster_mentions(clusters: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, articles, clusters, first_title) of clusters (cluster_id, title, articles) whose title names an entity; which clusters these are is extract_entities' own result."""
+    named = extract_entities(clusters, "cluster_id", "title", entities).join(clusters, "cluster_id")
+    return named.groupBy("entity").agg(F.sum("articles").alias("articles"), F.count("*").alias("clusters"), F.min_by("title", "cluster_id").alias("first_title"))
+
+
+def focal_narrative(title_chars: int = 60) -> Column:
+    """What is known of an entity in a line: mentions, signals that are there, and its first title."""
+    signals = F.array(
+        F.when(F.col("convergence") > 0, F.format_string("convergence score %.1f", F.col("convergence").cast("double"))), F.when(F.col("instability") > 0, F.format_string("instability %.0f/100", F.col("instability").cast("double"))),
+        F.when(F.col("escalation") > 0, F.format_string("escalation %.1f/5", F.col("escalation").cast("double"))), F.when(F.col("breaking") > 0, "breaking news active"),
+    )
+    known = F.array_compact(signals)
+    mentioned = F.when(F.col("articles") > 0, F.format_string("%d news mentions across %d clusters", F.col("articles"), F.col("clusters")))
+    return F.concat_ws(" | ", mentioned, F.when(F.size(known) > 0, F.array_join(known, ", ")), F.concat(F.lit('"'), F.substring("first_title", 1, title_chars), F.lit('..."')))
+
+
+def by_entity(mentions: DataFrame, signals: DataFrame) -> DataFrame:
+    """Mentions and signals of one entity, whose names may differ in case, in one row; what is in one table only stays, with zeros for the other's numbers."""
+    key = F.lower("entity")
+    return mentions.withColumn("entity", key).join(signals.withColumn("entity", key), "entity", "full").fillna(0)
+
+
 def focal_points(mentions: DataFrame, signals: DataFrame, min_score: float = 5.0) -> DataFrame:
     """Entities by news and signals: mentions (entity, articles, sources) joined in full with signals (entity, convergence, instability, escalation, breaking)."""
-    full = mentions.join(signals, "entity", "full").fillna(0)
+    full = by_entity(mentions, signals)
     n = F.col("articles")
     news = F.when(n > 0, F.least(F.lit(20.0), 4.0 * n) + F.least(F.lit(10.0), n / 12.0) + F.least(F.lit(10.0), 3.0 * F.col("sources"))).otherwise(0.0)
     signal = F.least(F.lit(25.0), 5.0 * F.col("convergence")) + F.least(F.lit(25.0), F.col("instability") / 4.0) + F.least(F.lit(25.0), 5.0 * F.col("escalation")) + 15.0 * F.col("breaking")

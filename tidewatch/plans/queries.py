@@ -537,6 +537,21 @@ def focal_points(headlines):
     return hl.focal_points(mentions.drop("titles"), signals)
 
 
+def entity_signals(headlines: DataFrame) -> DataFrame:
+    """Numbers of signals from the headlines of each entity, under its name in upper case."""
+    low = F.lower("title")
+    named = extract_entities(headlines).join(headlines, "id").select(F.upper("entity").alias("entity"), "title")
+    return named.groupBy("entity").agg((F.count_if(F.contains(low, F.lit("sirens"))) % 6).alias("convergence"), (F.count("*") % 90).alias("instability"), (F.count("*") % 5).alias("escalation"), F.max(F.contains(low, F.lit("breaking")).cast("int")).alias("breaking"))
+
+
+@query("fx_headline")
+def focal_narratives(headlines):
+    """A line for each entity, from clusters' titles and signals."""
+    clusters = hl.cluster_summary(headlines, hl.cluster_headlines(headlines, d.COMMON_WORDS), 1)
+    mentions = hl.cluster_mentions(clusters, dimension(headlines, d.ENTITIES, "entity string, word string"))
+    return hl.by_entity(mentions, entity_signals(headlines)).select("entity", "articles", "clusters", hl.focal_narrative().alias("narrative"))
+
+
 @query("fx_headline")
 def cluster_stats(headlines):
     return hl.cluster_stats(hl.cluster_headlines(headlines, d.COMMON_WORDS))
@@ -969,3 +984,9 @@ ORACLE_SQL["anomaly_messages"] = ORACLE_SQL["anomaly_messages"].replace("with ",
 def titles_without_source(headlines):
     tail = F.when(F.col("id") % 4 == 0, " - Daily News").when(F.col("id") % 4 == 1, " - no. 5 - The Post").when(F.col("id") % 4 == 2, " - It ended.").otherwise(" - " + "x" * 61)
     return headlines.select("id", c.without_attribution(F.concat("title", tail)).alias("title"))
+
+
+ORACLE_SQL["focal_narratives"] = clusters_sql(f"""select coalesce(m.entity, s.entity) as entity, coalesce(articles, 0) as articles, coalesce(clusters, 0) as clusters, concat_ws(' | ', case when articles > 0 then printf('%d news mentions across %d clusters', articles, clusters) end,
+ nullif(concat_ws(', ', case when convergence > 0 then printf('convergence score %.1f', convergence::double) end, case when instability > 0 then printf('instability %.0f/100', instability::double) end, case when escalation > 0 then printf('escalation %.1f/5', escalation::double) end, case when breaking > 0 then 'breaking news active' end), ''), '"' || substr(first_title, 1, 60) || '..."') as narrative
+ from (with {values(d.ENTITIES, 'ents', 'entity, word')}, summary as (select cluster_id, count(*) as articles, first(title order by tier, published_at desc, id) as title from clusters join fx_headline using (id) group by 1), hits as (select cluster_id, title, articles, entity, instr(lower(title), word) as spot, lower(title) as t, word from summary join ents on contains(lower(title), word)), w as (select distinct cluster_id, title, articles, entity from hits where (spot = 1 or not regexp_matches(substr(t, spot - 1, 1), '[a-z0-9_]')) and not regexp_matches(substr(t, spot + length(word), 1), '[a-z0-9_]')) select entity, cast(sum(articles) as bigint) as articles, count(*) as clusters, arg_min(title, cluster_id) as first_title from w group by 1) m
+ full join (with {values(d.ENTITIES, 'ents', 'entity, word')}, hits as (select id, title, entity, instr(lower(story), word) as spot, lower(story) as t, word from fx_headline join ents on contains(lower(story), word)), w as (select distinct id, title, entity from hits where (spot = 1 or not regexp_matches(substr(t, spot - 1, 1), '[a-z0-9_]')) and not regexp_matches(substr(t, spot + length(word), 1), '[a-z0-9_]')) select entity, count(*) filter (where contains(lower(title), 'sirens')) % 6 as convergence, count(*) % 90 as instability, count(*) % 5 as escalation, max(case when contains(lower(title), 'breaking') then 1 else 0 end) as breaking from w group by 1) s on m.entity = s.entity""")
