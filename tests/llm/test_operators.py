@@ -408,6 +408,19 @@ def test_repeats_of_words_equal_brute_force(docs, known, length, gram):
         assert rows[k].n_bytes - sum(s.stop - s.start for s in rows[k].spans) == len(rows[k].kept)
 
 
+@pytest.mark.parametrize("words, length, gram, piece", [(False, 40, 13, 300), (False, 400, 128, 500), (True, 12, 4, 250), (True, 51, 17, 1000)])
+def test_long_texts_in_pieces_give_what_whole_texts_give(spark, words, length, gram, piece):
+    rng = random.Random(8)
+    known = [t or "" for t in texts(n=12)]
+    # runs across the bounds of pieces, a text within itself, white space and long words at bounds
+    known += [known[-1][300:4000] + " ", "  ".join(known[:6]) + "\n\n", "x" * 900 + known[3] * 2 + "\t" * 700 + "y" * 900, "".join(rng.choices("ab ", k=5000)), "z" * 3000, "z" * 2999]
+    df = spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")
+    cut, whole = (sorted(suffix_dedup.remove_repeats(df, length, gram, words, piece=p).collect()) for p in (piece, suffix_dedup.PIECE))
+    assert cut == whole and sum(len(r.spans) for r in cut)
+    if not words:
+        assert [bytes(r.kept) for r in cut] == brute.without_repeats(known, length)
+
+
 def keys_of(rng, n):
     """Keys of two bytes of suffix and one of stretch, as digests go."""
     return np.array([bytes([97 + int(a), 97 + int(b)]) + bytes([98 + int(c)]) * suffix_dedup.DIGEST for a, b, c in rng.integers(0, (6, 6, 3), (n, 3))], f"S{2 + suffix_dedup.DIGEST}")

@@ -21,6 +21,10 @@ With words=True, length and gram count words (parted by the six ASCII white-spac
 characters) instead of bytes: `length` words in a row that start anywhere else too go, with
 the white space behind them; between words, any white space is as good as any other.
 
+A text of more than twice `piece` bytes is indexed in pieces of about that size, each with what follows it as far as its
+last window reaches, so that every window is in one piece; what is removed is put together over its pieces. A single
+word is not cut.
+
 Null and empty texts, and texts shorter than `length`, lose nothing. Rows with equal ids
 or texts are rows of their own (equal long texts therefore go in full). Other columns are
 carried along in `rest`.
@@ -28,6 +32,10 @@ carried along in `rest`.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +45,8 @@ from pyspark.sql import types as T
 from .common import block_of, dealt_sizes, mix64, n_partitions, offsets_of, ragged_index, worker_cache, written
 
 BYTES_AT_ONCE = 1_000_000
+#: Bytes of a piece of a long text.
+PIECE = 2_000_000
 #: Anchors that a column block holds about, anchors that a document is taken to have, and batches of a column block.
 ANCHORS_PER_BLOCK, ANCHORS_A_DOC, BATCHES = 250_000, 32, 8
 #: Bytes of a suffix that are compared, at most, and of a digest.
@@ -49,6 +59,7 @@ BASE = np.uint64(int(_rng.integers(0, 2**62)) * 2 + 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LATER_WORD = re.compile(rb"(?<=[\x20\x09-\x0D])[^\x20\x09-\x0D]")
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -132,14 +143,23 @@ class Family:
 
 
 class Buffer:
-    """Some texts end to end, as symbols: here bytes."""
+    """Some texts end to end, as symbols: here bytes. Or one piece of a long text, that starts `at` there; with `more` another one follows."""
 
-    def __init__(self, texts: list[bytes], length: int, gram: int):
-        self.texts, self.length, self.gram = texts, length, gram
+    def __init__(self, texts: list[bytes], length: int, gram: int, at: int = 0, more: bool = False):
+        self.texts, self.length, self.gram, self.at, self.more = texts, length, gram, at, more
         self.raw = b"".join(texts)
         self.ends = offsets_of(np.array([len(t) for t in texts], np.int64))
         self.codes = BYTE_CODE[np.frombuffer(self.raw, np.uint8)]
 
+    @staticmethod
+    def pieces(text: bytes, length: int, size: int) -> Iterator[tuple[int, bytes, bool]]:
+        """The pieces of a long text, with their place and whether more follow: each has `size` windows, the last one the rest."""
+        at = 0
+        while len(text) - at >= size + length:
+            yield at, text[at : at + size + length - 1], True
+            at += size
+        yield at, text[at:], False
+
     def bytes_of(self, i: int, spans: np.ndarray) -> list:
         """Spans (start, stop) of text i, in bytes of it."""
         return spans.tolist()
@@ -189,10 +209,10 @@ class Buffer:
 class Words(Buffer):
     """The same over the words of the texts, as if one space parted them."""
 
-    def __init__(self, texts: list[bytes], length: int, gram: int):
+    def __init__(self, texts: list[bytes], length: int, gram: int, at: int = 0, more: bool = False):
         from xxhash import xxh3_64_intdigest
 
-        self.texts, self.length, self.gram = texts, length, gram
+        self.texts, self.length, self.gram, self.at, self.more = texts, length, gram, at, more
         self.begins = offsets_of(np.array([len(t) + 1 for t in texts], np.int64))
         joined = b" ".join(texts)
         edge = np.diff(np.concatenate([[True], SPACE[np.frombuffer(joined, np.uint8)], [True]]).astype(np.int8))
@@ -206,33 +226,56 @@ class Words(Buffer):
         self.codes = hashes[np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))]
         self.ends = np.searchsorted(self.first, self.begins)
 
+    @staticmethod
+    def pieces(text: bytes, length: int, size: int) -> Iterator[tuple[int, bytes, bool]]:
+        """Pieces that start with a word and end where one starts: the words from `size` bytes on start the next piece, the first length - 1 of them end this one too."""
+        at = 0
+        while True:
+            words = LATER_WORD.finditer(text, at + size)
+            ahead = list(islice(words, length))
+            if len(ahead) < length:
+                break
+            yield at, text[at : ahead[-1].start()], True
+            at = ahead[0].start()
+        yield at, text[at:], False
+
     def bytes_of(self, i: int, spans: np.ndarray) -> list:
         start, stop = (spans + self.ends[i]).T
         after = np.append(self.first, 0)[stop]
-        return (np.stack([self.first[start], np.where(stop < self.ends[i + 1], after, self.last[stop - 1])], 1) - self.begins[i]).tolist()
+        # a piece ends where the next word starts
+        end = self.begins[i] + len(self.texts[i]) if self.more else self.last[stop - 1]
+        return (np.stack([self.first[start], np.where(stop < self.ends[i + 1], after, end)], 1) - self.begins[i]).tolist()
 
     def cut(self, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
         return super().cut(self.starts[start], self.starts[stop] - 1)
 
 
-def _buffers(texts: list[bytes], length: int, gram: int, kind: type[Buffer] = Buffer):
-    """Buffers of about a million bytes, or of one text where that is longer."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BYTES_AT_ONCE or i == len(texts) - 1:
-            yield kind(texts[start : i + 1], length, gram)
-            start, size = i + 1, 0
+def _buffers(texts: Iterable[bytes], length: int, gram: int, kind: type[Buffer], piece: int) -> Iterator[Buffer]:
+    """Buffers of about a million bytes, or of a piece of a text where that is longer."""
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        if len(t) <= 2 * piece:
+            held.append(t)
+            size += len(t)
+        if held and (size >= BYTES_AT_ONCE or len(t) > 2 * piece):
+            yield kind(held, length, gram)
+            held, size = [], 0
+        if len(t) > 2 * piece:
+            for at, part, more in kind.pieces(t, length, piece):
+                yield kind([part], length, gram, at, more)
+    if held:
+        yield kind(held, length, gram)
 
 
 class Block:
     """The suffix array of a row block: its distinct keys in order, how they are dealt to columns, and where each anchor has its key."""
 
-    def __init__(self, texts: list[bytes], length: int, gram: int, width: int, n_cols: int, kind: type[Buffer]):
+    def __init__(self, texts: Iterable[bytes], length: int, gram: int, width: int, n_cols: int, kind: type[Buffer], piece: int):
         # only what later steps need is kept of a buffer
         self.buffers = []
         keys, self.hashes = [np.zeros(0, f"S{width + DIGEST}")], []
-        for b in _buffers(texts, length, gram, kind):
+        for b in _buffers(texts, length, gram, kind, piece):
             first, last, own, hashes = b.indexed(width)
             b.codes = None
             self.buffers.append((b, first, last, hashes))
@@ -276,6 +319,17 @@ def open_windows(parts):
         yield np.repeat(hashes[pick], n), start, b.prints(start)
 
 
+def joined_spans(spans: list, more: list) -> list:
+    """Spans in order of their starts, and more of them; those that meet are one."""
+    out = list(spans)
+    for start, stop in more:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return out
+
+
 class Windows:
     """The distinct windows of a row block, by suffix hash and digest, and how they are dealt to columns."""
 
@@ -292,7 +346,7 @@ class Windows:
         self.order, self.cuts = by_column(self.groups, n_cols)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, words: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, words: bool = False, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay), spans (removed, in bytes), and the other columns in rest."""
     kind = Words if words else Buffer
     n_docs, n_rows = dealt_sizes(docs)
@@ -305,7 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, words: b
     blocks = docs.select(*own, *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else [])).repartition(n_parts, "block")
 
     def block_in(table) -> Block:
-        return Block([(t.as_py() or "").encode() for t in table.column("text")], length, gram, width, n_cols, kind)
+        return Block(((t.as_py() or "").encode() for t in table.column("text")), length, gram, width, n_cols, kind, piece)
 
     def binary_table(rows: list, names: list[str], n_ints: int = 2):
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
@@ -375,6 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, words: b
         for c, data in rounds[1]:
             repeated[w.order[w.cuts[c] : w.cuts[c + 1]]] = np.unpackbits(np.frombuffer(data, np.uint8), count=w.cuts[c + 1] - w.cuts[c]).astype(bool)
         sizes, kept, spans, at = [], [], [], 0
+        before: list = []
         for (b, first, last, _, found), (_, start, _) in zip(parts, opened, strict=True):
             n = int(b.ends[-1])
             starts = np.zeros(n + 1, np.int32)
@@ -388,6 +443,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, words: b
             for i, (text, a, z) in enumerate(zip(b.texts, b.ends[:-1], b.ends[1:], strict=True)):
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], covered[a:z], [False]]).astype(np.int8)))
                 gone = b.bytes_of(i, edge.reshape(-1, 2))
+                if b.at or b.more:
+                    # pieces overlap, so what one removes can go on in the next
+                    before = joined_spans(before, [(s + b.at, e + b.at) for s, e in gone])
+                    if b.more:
+                        continue
+                    text, gone, before = table.column("text")[len(sizes)].as_py().encode(), before, []
                 sizes.append(len(text))
                 kept.append(b"".join(text[e:s] for e, s in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)], strict=True)))
                 spans.append([{"start": s, "stop": e} for s, e in gone])
