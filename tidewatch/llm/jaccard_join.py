@@ -229,7 +229,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, unchanged, that carry the smallest id of their component, and those that are in none; of rows with equal id and text one."""
     found = jaccard_components(docs, width, percent)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("stays")).agg(F.count("*").alias("copies"))
+    # read twice below, so that the links are not made twice
+    stay = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("stays")).agg(F.count("*").alias("copies")), "stay")
 
     def those(copies: str) -> DataFrame:
         those_ids = stay.filter(copies)
