@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import dictionary, text
 
@@ -63,3 +64,19 @@ def test_ten_thousand_words(spark):
     assert "NestedLoop" not in inside._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r.word) for r in inside.collect()} == {(i, w) for i, t in enumerate(texts) for w in words if w in t}
     assert dictionary.texts_with(df, "id", "title", table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_classification_by_tables_equals_the_one_by_lists(spark, most):
+    rng = random.Random(3)
+    types = ["x", "y", "z"]
+    words = [("".join(rng.choices("abc", k=rng.randint(1, 4))), types[rng.randrange(3)], rng.randint(1, 9)) for _ in range(40)]
+    words = sorted({w: (w, t, n) for w, t, n in words}.values(), key=lambda r: types.index(r[1]))
+    severity = [("ab", 2), ("c", -1), ("aab", 1), ("ca", 1)]
+    rows = [(i, "".join(rng.choices("aBcdef ", k=rng.randint(0, 9))), 40 + i) for i in range(120)] + [(200, None, 50), (201, "", None), (202, "f" * 3000 + "abc", 60)]
+    df = spark.createDataFrame(rows, "id long, title string, sure int")
+    listed = text.classify_events(df, "title", [(t, w, n) for w, t, n in words], types, severity, F.col("sure"))
+    table = spark.createDataFrame([(w, t, n, i) for i, (w, t, n) in enumerate(words)], "word string, event_type string, weight int, seq int")
+    found = text.classify_by_tables(df, "id", "title", table, spark.createDataFrame(severity, "word string, weight int"), F.col("sure"), most=most)
+    assert found.columns == listed.columns and sorted(found.collect()) == sorted(listed.collect())
+    assert text.classify_by_tables(df, "id", "title", table.limit(0), spark.createDataFrame([], "word string, weight int"), F.col("sure")).filter("event_type = 'alert'").count() == len(rows)

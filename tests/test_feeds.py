@@ -84,4 +84,10 @@ def test_sinks(spark, tmp_path):
     sinks.append_events(events, f"file://{tmp_path}/e", AS_OF)
     sinks.append_events(events, f"file://{tmp_path}/e", AS_OF)
     assert spark.read.parquet(f"file://{tmp_path}/e").filter(F.col("date") == "2024-01-02").count() == 2
+    first = f"file://{tmp_path}/r"
+    for run, n in (("a", 1), ("a", 2), ("b", 1), ("a", 1)):
+        sinks.append_events(spark.range(n).crossJoin(events.select("occurred_at")), first, AS_OF, run)
+    assert sorted((r.run, r.id) for r in spark.read.parquet(first).collect()) == [("a", 0), ("b", 0)]
+    sinks.append_events(spark.range(1).selectExpr("id", "timestamp_ntz '2024-01-02 03:00:00' as occurred_at").limit(0), first, AS_OF, "b")
+    assert [r.run for r in spark.read.parquet(first).select("run").collect()] == ["a"]
     assert json.loads(sinks.change_feed(events.select("id"), "new_event").first().payload) == {"id": 1}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import AFTER, BEFORE, clamp, contains_any, domain_of, half_up, precision_of, quoted
-from .dictionary import names_of, owned, small, texts_with_whole_words
+from .dictionary import BOUND, names_of, owned, small, texts_with, texts_with_whole_words
 
 
 def weight_of(text: Column, keywords: list[tuple[str, int]]) -> Column:
@@ -26,15 +26,34 @@ def classify_events(df: DataFrame, text: str, keywords: list[tuple[str, str, int
     low = F.lower(F.col(text))
     df = df.withColumn("_w", F.array(*(weight_of(low, [(w, n) for t, w, n in keywords if t == kind]).cast("int") for kind in types)))
     best, second = F.array_max("_w"), F.element_at(F.sort_array("_w", False), 2)
+    kind = F.when(best == 0, fallback).otherwise(F.element_at(F.array(*map(F.lit, types)), F.array_position("_w", best).cast("int")))
+    return df.select(*[c for c in df.columns if c != "_w"], *judged(kind, best, second, weight_of(low, severity), reliability))
+
+
+def judged(kind: Column, best: Column, second: Column, severe: Column, reliability: Column) -> list[Column]:
+    """event_type, margin points and severity by the weights of the best and the second type and of severity words."""
     lead = best - second
     margin = F.when(best == 0, -20).when(lead >= 10, 10).when(lead >= 5, 5).when(lead >= 2, 0).otherwise(-5)
-    kind = F.when(best == 0, fallback).otherwise(F.element_at(F.array(*map(F.lit, types)), F.array_position("_w", best).cast("int")))
-    return df.select(
-        *[c for c in df.columns if c != "_w"],
-        kind.alias("event_type"),
-        (margin + half_up((reliability - 60) / F.lit(4.0))).cast("long").alias("points"),
-        clamp(2 + weight_of(low, severity), 1, 5).cast("long").alias("event_severity"),
-    )
+    points = (margin + half_up((reliability - 60) / F.lit(4.0))).cast("long")
+    return [kind.alias("event_type"), points.alias("points"), clamp(2 + severe, 1, 5).cast("long").alias("event_severity")]
+
+
+def classify_by_tables(df: DataFrame, key: str, text: str, keywords: DataFrame, severity: DataFrame, reliability: Column, fallback: str = "alert", most: int = BOUND) -> DataFrame:
+    """classify_events with tables of any number of words: keywords (word, event_type, weight, seq) with weights above 0, and severity (word, weight).
+
+    Texts meet only words whose first letters they hold. Of types of equal weight the one whose first word has the smallest
+    seq wins. key is unique; rows without key or text have no words."""
+    order = F.min("seq").over(Window.partitionBy("event_type"))
+    words = keywords.select(F.lower("word").alias("word"), "event_type", "weight", order.alias("order"))
+    texts = df.select(key, text)
+    kinds = texts_with(texts, key, text, words, most).groupBy(key, "event_type", "order").agg(F.sum("weight").alias("w"))
+    # an entry for each type of a text, the best first
+    kinds = kinds.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "order", F.col("event_type").alias("kind")))).alias("_kinds"))
+    severe = texts_with(texts, key, text, severity.select(F.lower("word").alias("word"), "weight"), most).groupBy(key).agg(F.sum("weight").alias("_severe"))
+    joined = df.join(kinds, key, "left").join(severe, key, "left")
+    best, second = (F.coalesce(-F.get("_kinds", F.lit(i))["w"], F.lit(0)) for i in (0, 1))
+    kind = F.coalesce(F.get("_kinds", F.lit(0))["kind"], F.lit(fallback))
+    return joined.select(*df.columns, *judged(kind, best, second, F.coalesce("_severe", F.lit(0)), reliability))
 
 
 def classify_threat(text: Column, threats: list[tuple[str, str, str]], exclusions: list[str], confidence: dict[str, float], bounds: dict[str, str] | None = None, actions: tuple[str, ...] = (), targets: tuple[str, ...] = (), escalated: float = 0.85) -> Column:

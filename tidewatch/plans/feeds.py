@@ -215,6 +215,15 @@ def appended_events(events):
     return events.sparkSession.read.parquet(path).select("id", "occurred_at", "first_seen_at", "date")
 
 
+@query("fx_event", f"select id, occurred_at, {NOW} as first_seen_at, cast(occurred_at as date) as date, case when id % 2 = 0 then 'even' else 'odd' end as run from fx_event")
+def appended_runs(events):
+    """Two runs; the first was made with half of its events before."""
+    path = shared_dir(events.sparkSession, "events")
+    for run, part in (("even", F.col("id") % 4 == 0), ("even", F.col("id") % 2 == 0), ("odd", F.col("id") % 2 != 0)):
+        sinks.append_events(events.filter(part).select("id", "occurred_at"), path, AS_OF, run)
+    return events.sparkSession.read.parquet(path).select("id", "occurred_at", "first_seen_at", "date", "run")
+
+
 @query("fx_event", "select 'new_event' as type, '{\"id\":' || id || ',\"country\":\"' || country || '\"}' as payload from fx_event")
 def change_messages(events):
     return sinks.change_feed(events.select("id", "country"), "new_event")

@@ -47,6 +47,12 @@ def values(rows: list[tuple], name: str, columns: str) -> str:
     return f"{name}({columns}) as (values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
 
 
+def own_sql(name: str, views: str) -> str:
+    """The SQL of a query over its views, without them."""
+    body = ORACLE_SQL[name][len(with_views(*views.split())) :]
+    return "with " + body.removeprefix(",\n") if body.startswith(",") else body
+
+
 HAVERSINE = "2 * 6371.0 * atan2(sqrt({h}), sqrt(greatest(1.0 - {h}, 0.0)))"
 
 
@@ -372,6 +378,14 @@ def classify_event(headlines):
     return tx.classify_events(headlines.select("id", F.col("story").alias("title"), "source"), "title", d.EVENT_KEYWORDS, d.EVENT_TYPES, d.SEVERITY_WORDS, tx.domain_reliability(F.col("source"), d.RELIABILITY)).drop("title", "source")
 
 
+@query("fx_headline", own_sql("classify_event", "fx_headline"))
+def classify_event_words(headlines):
+    keywords = dimension(headlines, [(w, kind, weight, d.EVENT_TYPES.index(kind)) for kind, w, weight in d.EVENT_KEYWORDS], "word string, event_type string, weight int, seq int")
+    severity = dimension(headlines, d.SEVERITY_WORDS, "word string, weight int")
+    stories = headlines.select("id", F.col("story").alias("title"), "source")
+    return tx.classify_by_tables(stories, "id", "title", keywords, severity, tx.domain_reliability(F.col("source"), d.RELIABILITY)).drop("title", "source")
+
+
 def sql_threat(what: str) -> str:
     made = {"level": lambda lv, ct: f"'{lv}'", "category": lambda lv, ct: f"'{ct}'", "confidence": lambda lv, ct: f"cast({d.THREAT_CONFIDENCE[lv]} as double)"}[what]
     rules = "".join(f" when regexp_matches(lower(title), '(^|[^a-z0-9_]){w}') then {made(lv, ct)}" for lv, w, ct in d.THREATS)
@@ -831,6 +845,21 @@ def importance_ranks(headlines):
     return ev.ranked(importance_rank(headlines), "score", "id", 50)
 
 
+def ranks_sql(name: str, views: str, by: str, key: str, n: int) -> str:
+    """The n first rows of a query, by the SQL of the query."""
+    return f"with found as ({own_sql(name, views)}) select *, row_number() over (order by {by} desc, {key}) as rank from found order by {by} desc, {key} limit {n}"
+
+
+@query("fx_event fx_grid", ranks_sql("population_exposure", "fx_event fx_grid", "exposed", "id", 50))
+def exposure_ranks(events, grid):
+    return ev.ranked(population_exposure(events, grid), "exposed", "id", 50)
+
+
+@query("fx_headline", ranks_sql("trending_terms", "fx_headline", "recent_count", "term", 20))
+def term_ranks(headlines):
+    return ev.ranked(trending_terms(headlines), "recent_count", "term", 20)
+
+
 PLACE_RADII = {1: 5.0, 2: 25.0, 3: 80.0}
 KEYWORDS_SQL = ORACLE_SQL["classify_event"][len(with_views("fx_headline")) :].lstrip(",\n")
 
