@@ -34,6 +34,16 @@ def test_latest_positions(spark, tmp_path):
     assert {(r.object_id, r.ms) for r in found.collect()} == {(1, 20000), (2, 15000)}
 
 
+def test_latest_positions_of_many_fixes(spark, tmp_path):
+    """An object's fixes come in several frames, and of fixes of one time the least by the order counts."""
+    n = 25_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("object_id"), F.col("id").cast("double").alias("lat"), F.lit(0.0).alias("lon"), "id", F.timestamp_millis(F.least("id", F.lit(n - 3))).alias("updated_at"))
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/fixes")
+    stream = spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/fixes")
+    found = drained(streams.latest_positions(stream, order="id"), "many_positions", "update", tmp_path)
+    assert [(r.object_id, r.ms, r.lat) for r in found.collect()] == [(1, n - 3, n - 3.0)]
+
+
 def test_hourly_counts_close_with_the_watermark(spark, tmp_path):
     rows = [[("a", 0), ("a", 60)], [("a", 3700)], [("a", 20000)]]
     stream = arriving(spark, tmp_path, rows, "country string, s long").withColumn("occurred_at", F.timestamp_seconds("s"))
