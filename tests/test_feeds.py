@@ -2,10 +2,15 @@
 
 import json
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from tidewatch.plans import feeds as plans  # noqa: F401  registers its queries
+from tidewatch.plans.queries import ORACLE_SQL, QUERIES
 from tidewatch.sources import feeds, sinks
 
+from .oracle import same
+
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -91,3 +96,16 @@ def test_sinks(spark, tmp_path):
     sinks.append_events(spark.range(1).selectExpr("id", "timestamp_ntz '2024-01-02 03:00:00' as occurred_at").limit(0), first, AS_OF, "b")
     assert [r.run for r in spark.read.parquet(first).select("run").collect()] == ["a"]
     assert json.loads(sinks.change_feed(events.select("id"), "new_event").first().payload) == {"id": 1}
+
+
+def test_convergence_is_of_cells_of_one_degree(spark, tmp_path):
+    """Kinds of neighbouring degrees do not meet: events 12000 apart have one place, the next ids are in other degrees."""
+    kinds = ["error", "signup", "purchase"]
+    rows = [(12_000 * i + j, f"2024-01-0{1 + i} 10:00:00", j, kinds[i % 3] if j == 0 else kinds[j % 3], 1.0, '{"k": 1}') for i in range(6) for j in (0, 81, 82)]
+    rows += [(12_000 * (6 + i), "2024-01-02 11:00:00", 0, kinds[i], 1.0, '{"k": 1}') for i in range(3)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    pq.write_table(events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).toArrow(), tmp_path / "events.parquet")
+    (tmp_path / "nation.parquet").symlink_to("/root/testdata/sf0.001/nation.parquet")
+    found = QUERIES["convergence_streamed"](spark, str(tmp_path)).collect()
+    assert {r.cell for r in found} == {"12,25"} and len(found) == 24
+    same(spark, str(tmp_path), QUERIES["convergence_streamed"], ORACLE_SQL["convergence_streamed"])
