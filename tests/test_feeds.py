@@ -109,3 +109,12 @@ def test_convergence_is_of_cells_of_one_degree(spark, tmp_path):
     found = QUERIES["convergence_streamed"](spark, str(tmp_path)).collect()
     assert {r.cell for r in found} == {"12,25"} and len(found) == 24
     same(spark, str(tmp_path), QUERIES["convergence_streamed"], ORACLE_SQL["convergence_streamed"])
+
+
+def test_located_items_are_judged_by_stories(spark, tmp_path):
+    """Texts of even documents are not in titles, yet count: for the kind, and for the place where the title has none."""
+    texts = ["an earthquake and a drone strike", "calm", "in Beirut today", "calm", "two killed by missile attack near Gaza", None]
+    rows = [(200 + i, text, "en", f"src{i}", 1) for i, text in enumerate(texts * 4)]
+    spark.createDataFrame([r for r in rows if r[1]], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"file://{tmp_path}/made")
+    pq.write_table(spark.read.parquet(f"file://{tmp_path}/made").toArrow(), tmp_path / "documents.parquet")
+    same(spark, str(tmp_path), QUERIES["located_items"], ORACLE_SQL["located_items"])
