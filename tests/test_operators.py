@@ -157,6 +157,21 @@ def test_sparkline_means_and_bands(spark):
     assert value(spark, sc.recent_flag(F.lit("2024-01-30 22:00:00").cast("timestamp_ntz"), "2024-01-31 00:00:00"))
 
 
+def test_sparkline_lines_are_not_joined_with_themselves(spark):
+    """Lines of two rows are one; no point meets the others by a join, whose rows would be 24 times the points."""
+    rng = random.Random(2)
+    line = [(h, None if h % 5 == 0 else float(rng.randrange(40))) for h in rng.sample(range(60), 24)]
+    df = spark.createDataFrame([("p", line[:10]), ("p", line[10:]), ("q", line[:3])], "place_id string, sparkline array<struct<hour:int,value:double>>")
+    found = sc.sparkline_means(df)
+    expected = {}
+    for place, points in (("p", line), ("q", line[:3])):
+        for h, _ in points:
+            near = [v for _, _, v in sorted((abs(o - h), o, v) for o, v in points)[:7] if v is not None]
+            expected[place, h] = int(sum(near) / len(near) + 0.5) if near else None
+    assert {(r.place_id, r.hour): r["mean"] for r in found.collect()} == expected
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_many_boxes_equal_the_list(spark):
     rng = random.Random(4)
 

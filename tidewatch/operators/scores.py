@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.columns import banded, cell_id, clamp, half_up
 from .dictionary import small
@@ -180,11 +185,44 @@ def activity_index(places: DataFrame) -> DataFrame:
 
 
 def sparkline_means(places: DataFrame, k: int = 7) -> DataFrame:
-    """For each point of a place's sparkline (place_id, sparkline of (hour, value)) the rounded mean of the k nearest in time; a line has 24 points."""
-    points = places.select("place_id", F.explode("sparkline").alias("p")).select("place_id", "p.hour", "p.value")
-    other = points.select("place_id", F.col("hour").alias("o_hour"), F.col("value").alias("o_value"))
-    near = points.join(other, "place_id").withColumn("rank", F.row_number().over(Window.partitionBy("place_id", "hour").orderBy(F.abs(F.col("hour") - F.col("o_hour")), "o_hour")))
-    return near.filter(F.col("rank") <= k).groupBy("place_id", "hour").agg(half_up(F.avg("o_value")).alias("mean"))
+    """For each point of a place's sparkline (place_id, sparkline of (hour, value)) the rounded mean of the k nearest in time, of equally near ones the
+    earlier; a line has 24 points. Rows of one place are one line. Points of one hour are one, which counts its neighbours as often as it is there.
+
+    In the order of hours the k nearest points lie within k - 1 places, so each line is looked through by itself and only lines are shuffled."""
+    lines = places.groupBy("place_id").agg(F.sort_array(F.flatten(F.collect_list("sparkline"))).alias("line")).filter(F.size("line") > 0)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line = batch.column("line")
+            owner = line.value_parent_indices().to_numpy()
+            hours, values = line.flatten().field("hour"), line.flatten().field("value")
+            mean, known, first = line_means(owner, hours.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False).astype("float64"), values.is_valid().to_numpy(zero_copy_only=False), k)
+            result = pa.array(np.floor(mean[first] + 0.5).astype("int64"), pa.int64(), mask=~known[first])
+            yield pa.RecordBatch.from_arrays([batch.column("place_id").take(pa.array(owner[first])), hours.take(pa.array(first)), result], ["place_id", "hour", "mean"])
+
+    point = places.schema["sparkline"].dataType.elementType
+    schema = StructType([places.schema["place_id"], StructField("hour", point["hour"].dataType), StructField("mean", LongType())])
+    return lines.mapInArrow(means, schema)
+
+
+def line_means(owner: np.ndarray, hours: np.ndarray, values: np.ndarray, there: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For points in the order of their line and hour: the mean of the k nearest of the line, whether one of those has a value, and which points are the first of their hour."""
+    n = len(hours)
+    at = np.arange(n)[:, None] + np.arange(1 - k, k)[None, :]
+    inside = (at >= 0) & (at < n)
+    at = at.clip(0, max(n - 1, 0))
+    inside &= owner[at] == owner[:, None]
+    far = np.where(inside, np.abs(hours[at].astype("float64") - hours[:, None]), np.inf)
+    # candidates are in order of hours, which a stable sort keeps among equally far ones
+    nearest = np.argsort(far, axis=1, kind="stable")[:, :k]
+    at, inside, far = (np.take_along_axis(x, nearest, 1) for x in (at, inside, far))
+    first = np.flatnonzero((np.arange(n) == 0) | (owner != np.roll(owner, 1)) | (hours != np.roll(hours, 1)))
+    again = (far == 0).sum(axis=1)
+    for i in first[again[first] > 1]:  # points of one hour, which are rare
+        at[i], inside[i] = np.repeat(at[i], again[i])[:k], np.repeat(inside[i], again[i])[:k]
+    used = inside & there[at]
+    count = used.sum(axis=1)
+    return np.where(used, values[at], 0.0).sum(axis=1) / np.maximum(count, 1), count > 0, first
 
 
 def anomaly_message(kind: Column, n: Column, mean: Column, z: Column) -> Column:
