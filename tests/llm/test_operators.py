@@ -421,6 +421,46 @@ def test_long_texts_in_pieces_give_what_whole_texts_give(spark, words, length, g
         assert [bytes(r.kept) for r in cut] == brute.without_repeats(known, length)
 
 
+def around_a_passage():
+    """Texts around one passage, most windows of which are their own; some are met again."""
+    rng = random.Random(12)
+
+    def run(k):
+        return "".join(rng.choices("abcdefgh ", k=k))
+
+    common = run(300)
+    known = [run(250) + common + run(250) for _ in range(60)]
+    return [*known, *(t[100:600] + run(50) for t in known[::7]), None, "", common, known[0]]
+
+
+@pytest.mark.parametrize("together", [1, 300, 16_384])
+def test_windows_dealt_in_parts_equal_brute_force(spark, together):
+    known = around_a_passage()
+    df = spark.createDataFrame(list(enumerate(known)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df, together=together).collect()}
+    assert got == dict(enumerate(brute.without_repeats(known, 400)))
+
+
+def test_windows_of_a_common_passage_do_not_all_go_to_one_column():
+    raw = [(t or "").encode() for t in around_a_passage()]
+    blocks = [suffix_dedup.Block(raw[i::4], 400, 128, 128, 16, suffix_dedup.Buffer, suffix_dedup.PIECE) for i in range(4)]
+    family = suffix_dedup.Family(128)
+    for b in blocks:
+        family.add(b.keys, b.twice)
+    keys, ends = np.concatenate([b.keys for b in blocks]), np.cumsum([0, *(len(b.keys) for b in blocks)])
+
+    def dealt(found):
+        return [suffix_dedup.Windows(list(suffix_dedup.open_windows(b.judged(found[a:z]))), 16) for b, a, z in zip(blocks, ends[:-1], ends[1:], strict=True)]
+
+    whole, parts = dealt(family.found()), dealt(suffix_dedup.with_bits(family.suffixes(keys), family.found(), 4))
+    sizes = [sum(np.diff(w.cuts) for w in x) for x in (whole, parts)]
+    assert sizes[0].sum() == sizes[1].sum() > 5000
+    assert sizes[0].max() > 0.5 * sizes[0].sum() and sizes[1].max() < 0.25 * sizes[1].sum()
+    # equal windows stay together
+    pairs = np.unique(np.concatenate([np.stack([w.prints, w.groups]) for w in parts], 1), axis=1)
+    assert len(np.unique(pairs[0])) == pairs.shape[1]
+
+
 def keys_of(rng, n):
     """Keys of two bytes of suffix and one of stretch, as digests go."""
     return np.array([bytes([97 + int(a), 97 + int(b)]) + bytes([98 + int(c)]) * suffix_dedup.DIGEST for a, b, c in rng.integers(0, (6, 6, 3), (n, 3))], f"S{2 + suffix_dedup.DIGEST}")
