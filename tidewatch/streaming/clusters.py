@@ -24,14 +24,14 @@ def merged(clusters: DataFrame) -> DataFrame:
     return sums
 
 
-def cluster_stream(headlines: DataFrame, table: str, out: str, checkpoint: str, stop_words: list[str], threshold: float = 0.30, ttl_hours: int = 6, most: int = 200) -> StreamingQuery:
+def cluster_stream(headlines: DataFrame, table: str, out: str, checkpoint: str, stop_words: list[str], threshold: float = 0.30, ttl_hours: int = 6, most: int | None = None) -> StreamingQuery:
     """(id, cluster_id) of each batch's headlines (id, title, source, tier, published_at) in out, by batch; the live clusters in `table`-clusters, by version.
 
     A headline joins the cluster of the most alike earlier headline, from the threshold on; of equally alike ones the earliest. It meets
     every headline of the clusters that were live before its batch, however old, and those of its batch that are at most ttl_hours older. A cluster is live
-    for a headline until ttl_hours after the cluster's last one. After a batch, clusters that are older than that by the newest time of all go, and
-    beyond the `most` that were updated last (of equal times the later id) the others do too: that bound is part of the
-    operator, None keeps all. A headline that comes again while its cluster is live is left out; titles of fewer than two words have no cluster.
+    for a headline until ttl_hours after the cluster's last one. After a batch, clusters that are older than that by the newest time of all go; all others
+    stay. Only who asks for `most` keeps those that were updated last (of equal times the later id), and loses what would have joined the others.
+    A headline that comes again while its cluster is live is left out; titles of fewer than two words have no cluster.
 
     The index is a table of the live clusters' distinct word sets; only new headlines look for partners. A batch writes its own version of
     each table, so one that runs twice ends as one that runs once."""
